@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import url_filter
+from quillspark.llm import decontaminate, language_id, minhash_dedup, mixing, quality, toxicity, url_filter, warc
+from quillspark.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +34,89 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.classes(read(spark, sf_dir, "documents"), minhash_dedup.DedupParams(words=4))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'archives').root}/warc"
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.scan(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
+    dictionaries = language_id.fit(docs.where(~F.col("held_out")))
+    found = language_id.identify(docs.select("doc_id", "held_out", "text"), dictionaries)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "sure")
+
+
+def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, held_out, label): grade 0 is low quality, 1 good but toxic, 2 good and not toxic.
+
+    Of labels that repeat a doc_id the lowest quality and the highest toxicity count.
+    """
+    rated = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    grade = F.when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).when(F.col("quality") == 1, 2)
+    return docs.select("doc_id", "text").join(rated.select("doc_id", grade.alias("label")), "doc_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 2).alias("held_out"))
+    labels = read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 2)
+    model = quality.fit(graded(docs, sampled(labels, "quality", 16_000)))
+    rows = quality.grade(docs, model)
+    return rows.select("doc_id", "held_out", "expected_grade", "tail_prob", (F.col("tail_prob") >= 0.5).alias("kept"))
+
+
+def sampled(labels: DataFrame, column: str, rows: int) -> DataFrame:
+    """About ``rows`` labelled ids at most, chosen by a hash of the id; small enough to be
+    sent to all tasks, so that fitting never shuffles the texts."""
+    labels = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
+    total = max(1, labels.count())
+    share = min(1.0, rows / total)
+    return F.broadcast(labels.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * share) + 1))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.where("leaked").drop("leaked")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
+    rows = toxicity.score(docs, toxicity_model(docs.where(~F.col("held_out")), read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Toxic:
+    """Fitted on labelled rows of ``docs`` whose id is of the learning folds."""
+    labels = labels.where(fold("doc_id", 3) != 1)
+    rated = sampled(labels, "toxic", 30_000).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return toxicity.fit(docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter}
+    found = (op1_url_filter, op3_mixing, op5_minhash_dedup, op6_warc_revisits, op7_quality, op8_language_id, op9_decontamination, op10_toxicity)
+    return {f.__name__: f for f in found}
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT payload_digest, min(page_id) AS original FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN g.original <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.original <> p.page_id THEN g.original END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 100
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc_revisits": OP6_SQL}
