@@ -43,7 +43,7 @@ class LangParams:
 
 def _piece(text: str, size: int) -> bytes:
     """Up to ``size`` bytes of the text from a place that its own bytes decide."""
-    data = text.encode("utf-8")
+    data = text.lower().encode("utf-8")
     if len(data) <= size:
         return data
     start = zlib.crc32(data) % (len(data) - size + 1)
@@ -121,8 +121,8 @@ class Judge:
         return self.languages[order[0]], min(1.0, gap / (gap + 0.01 * best + 1.0)), bool(sure)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: LangParams = LangParams(), text: str = "text") -> DataFrame:
-    """Add lang_pred, score (0 to 1, from the margin) and sure to every row.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: LangParams = LangParams(), text: str = "text", into: str = "language") -> DataFrame:
+    """Add one column ``into`` to every row: a struct of lang_pred, score (0 to 1, from the margin) and sure.
 
     A null text, or one without a letter, is ``und`` with score 0 and not sure; so
     is every text if nothing was learned.  The dictionaries are at most
@@ -137,4 +137,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: LangParams
             made.append(Judge(*shared.value))
         return pd.DataFrame([made[0].predict(t) for t in column], columns=["lang_pred", "score", "sure"])
 
-    return docs.withColumn("__lang", judge(F.col(text))).select(*docs.columns, "__lang.*")
+    return docs.withColumn(into, judge(F.col(text)))

@@ -52,15 +52,15 @@ class DedupParams:
 
 
 def sketch(docs: DataFrame, params: DedupParams) -> DataFrame:
-    """(doc_id, h1, h2, n_shingles, sig) of each row: a 128-bit hash of its words in
-    order, the size of its set, and the minwise values, 4 bytes a slot."""
+    """(doc_id, text_hash, h1, h2, n_shingles, sig) of each row: a hash of its text, a 128-bit
+    hash of its words in order, the size of its set, and the minwise values, 4 bytes a slot."""
     seeds = mix(np.arange(1, params.slots + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
     size = params.words
-    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, hashed = batch.column(0), batch.column(2)
             for start, part in pieces(batch.column(1)):
                 found = words(part)
                 sets, counts = shingle_sets(found, size), found.counts
@@ -85,10 +85,12 @@ def sketch(docs: DataFrame, params: DedupParams) -> DataFrame:
                 row_of = {i: j for j, i in enumerate(full)}
                 sigs = [least[row_of[i]].tobytes() if i in row_of else None for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, len(part)), pa.array(h1), pa.array(h2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], schema=schema
+                    [ids.slice(start, len(part)), hashed.slice(start, len(part)), pa.array(h1), pa.array(h2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())],
+                    schema=schema,
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, h1 long, h2 long, n_shingles long, sig binary")
 
 
 def _branch(rows: DataFrame, params: DedupParams, level: int) -> DataFrame:
@@ -214,7 +216,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, params: DedupParams) -> DataFram
 
 
 def classes(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable by links, itself included.  Null
     and wordless texts have no shingles and link with nothing; texts of fewer than
@@ -252,6 +254,28 @@ def classes(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
         nodes = _branch(large.select("rep", "node", "sig"), params, level).select("rep", "node")
     named = reps.select("h1", "h2", "rep").join(known, F.col("rep") == F.col("node"), "left")
     named = scratch.save(named.select("h1", "h2", F.coalesce("component", "rep").alias("__component")), "classes")
-    rows = sketched.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    rows = sketched.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("__component")).alias("component_id"))
+    return rows.select("doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("__component")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group alone, all columns kept.
+
+    Rows without words stay, and so do rows without a doc_id.  Of rows that repeat
+    both doc_id and text one stays.  What goes is found by (doc_id, hash of the
+    text), and sent to all tasks while it is small.
+    """
+    scratch = Scratch(docs.sparkSession, "deduplicated")
+    found = scratch.save(classes(docs.select("doc_id", "text"), params), "decided")
+    gone = scratch.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone")
+    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = scratch.save(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "repeated")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= params.broadcast_ids // 2 else ids  # noqa: E731  16 bytes each
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = lambda ids: (F.col("doc_id") == ids["__id"]) & (F.col("__text_hash") == ids["__hash"])
+    kept = hashed.join(small(gone), same(gone), "left_anti")
+    if not again.isEmpty():
+        once = kept.join(small(again), same(again), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+        kept = kept.join(small(again), same(again), "left_anti").unionByName(once)
+    return kept.drop("__text_hash")

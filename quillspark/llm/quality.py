@@ -139,8 +139,8 @@ def fit(labelled: DataFrame, params: OrdinalParams = OrdinalParams()) -> Ordinal
     return Ordinal(w.astype(np.float32), thresholds(cuts), p.bits)
 
 
-def grade(docs: DataFrame, model: Ordinal, at_least: int = 1, text: str = "text") -> DataFrame:
-    """Add expected_grade and tail_prob, P(grade >= at_least), to every row.
+def grade(docs: DataFrame, model: Ordinal, at_least: int = 1, text: str = "text", into: str = "grade") -> DataFrame:
+    """Add one column ``into`` to every row: a struct of expected_grade and tail_prob, P(grade >= at_least).
 
     Null, empty and wordless texts have score 0: the thresholds alone decide.
     """
@@ -156,4 +156,4 @@ def grade(docs: DataFrame, model: Ordinal, at_least: int = 1, text: str = "text"
         above = 1 - _sigmoid(model.thresholds[None, :] - np.concatenate(out)[:, None])
         return pd.DataFrame({"expected_grade": above.sum(axis=1), "tail_prob": above[:, at_least - 1]})
 
-    return docs.withColumn("__grade", graded(F.col(text))).select(*docs.columns, "__grade.*")
+    return docs.withColumn(into, graded(F.col(text)))

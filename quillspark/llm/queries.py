@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, language_id, minhash_dedup, mixing, quality, toxicity, url_filter, warc
+from quillspark.llm import decontaminate, embedding_dedup, hmm, language_id, minhash_dedup, mixing, quality, toxicity, url_filter, warc
 from quillspark.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.classes(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out")))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.classes(read(spark, sf_dir, "documents"), minhash_dedup.DedupParams(words=4))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -54,7 +63,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
     dictionaries = language_id.fit(docs.where(~F.col("held_out")))
     found = language_id.identify(docs.select("doc_id", "held_out", "text"), dictionaries)
-    return found.select("doc_id", "held_out", "lang_pred", "score", "sure")
+    return found.select("doc_id", "held_out", "language.*")
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,7 +81,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 2)
     model = quality.fit(graded(docs, sampled(labels, "quality", 16_000)))
     rows = quality.grade(docs, model)
-    return rows.select("doc_id", "held_out", "expected_grade", "tail_prob", (F.col("tail_prob") >= 0.5).alias("kept"))
+    return rows.select("doc_id", "held_out", "grade.*", (F.col("grade.tail_prob") >= 0.5).alias("kept"))
 
 
 def sampled(labels: DataFrame, column: str, rows: int) -> DataFrame:
@@ -103,7 +112,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Toxic:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_url_filter, op3_mixing, op5_minhash_dedup, op6_warc_revisits, op7_quality, op8_language_id, op9_decontamination, op10_toxicity)
+    found = (op1_url_filter, op2_embedding_dedup, op3_mixing, op4_hmm, op5_minhash_dedup, op6_warc_revisits, op7_quality, op8_language_id, op9_decontamination, op10_toxicity)
     return {f.__name__: f for f in found}
 
 

@@ -30,10 +30,10 @@ class FtrlParams:
     sample: int = 30_000
     bits: int = 18
     shards: int = 4
-    rounds: int = 5
-    alpha: float = 0.15
+    rounds: int = 6
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 3.0
     l2: float = 1e-3
     seed: int = 13
 
@@ -129,8 +129,8 @@ def fit(labelled: DataFrame, params: FtrlParams = FtrlParams()) -> Toxic:
     return Toxic(_weights(z, n, p).astype(np.float32), float(intercept), p.bits)
 
 
-def score(docs: DataFrame, model: Toxic, text: str = "text") -> DataFrame:
-    """Add toxicity (0 to 1) to every row; null, empty and wordless texts get the intercept's."""
+def score(docs: DataFrame, model: Toxic, text: str = "text", into: str = "toxicity") -> DataFrame:
+    """Add ``into`` (0 to 1) to every row; null, empty and wordless texts get the intercept's."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -144,4 +144,4 @@ def score(docs: DataFrame, model: Toxic, text: str = "text") -> DataFrame:
             out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("toxicity", toxicity(F.col(text)))
+    return docs.withColumn(into, toxicity(F.col(text)))
