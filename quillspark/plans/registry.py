@@ -24,13 +24,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _load() -> None:
+    from quillspark.plans import corpus, relational, search  # noqa: F401  they register on import
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Questions to numbered citations: both tracks, fusion, one citation a place."""
+    return queries()["citations"](spark, sf_dir)
