@@ -12,7 +12,7 @@ from quillspark.plans.registry import query
 from quillspark.sources.files import table
 from quillspark.streaming import stateful
 
-NOW = "2024-01-20 12:00:00"
+NOW = "2024-01-06 12:00:00"
 
 
 @query(f"WITH {B.DOC} SELECT id, kb, doc_kind, created_at FROM doc WHERE status NOT IN ('disabled', 'deleting')")
@@ -28,11 +28,11 @@ def doc_search_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {B.DOC}, t AS (SELECT id, strftime(created_at + INTERVAL 8 HOURS, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS iso FROM doc)
-SELECT id, iso FROM t WHERE NOT (iso < '2024-01-05') AND NOT (iso > '2024-01-20T23:59:59')"""
+SELECT id, iso FROM t WHERE NOT (iso < '2024-01-01T10') AND NOT (iso > '2024-01-02T23:59:59')"""
 )
 def date_window(spark: SparkSession, d: str) -> DataFrame:
     rows = B.docs(spark, d).select("id", display.iso_offset(display.at_offset(F.col("created_at"))).alias("iso"))
-    return rows.where(G.within_dates(F.col("iso"), "2024-01-05", "2024-01-20"))
+    return rows.where(G.within_dates(F.col("iso"), "2024-01-01T10", "2024-01-02"))
 
 
 @query(f"WITH {B.DOC}, {B.KB}, {B.USR}, {B.PERM} SELECT doc_kind, count(*) AS n FROM doc WHERE status NOT IN ('disabled', 'deleting') AND kb IN (SELECT p.kb FROM perm p JOIN kb USING (kb) WHERE p.user_id = 7 AND kb.is_active) GROUP BY 1")
@@ -79,10 +79,10 @@ def dashboard_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {B.DOC}, days AS (SELECT CAST(unnest(range(DATE '2024-01-14', DATE '2024-01-21', INTERVAL 1 DAY)) AS DATE) AS day)
+    f"""WITH {B.DOC}, days AS (SELECT CAST(unnest(range(DATE '2023-12-31', DATE '2024-01-07', INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT day, coalesce(a.n, 0) AS documents, coalesce(b.n, 0) AS sessions FROM days
-LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM doc WHERE created_at >= TIMESTAMP '2024-01-14 12:00:00' GROUP BY 1) a USING (day)
-LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-14 12:00:00' GROUP BY 1) b USING (day)"""
+LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM doc WHERE created_at >= TIMESTAMP '2023-12-31 12:00:00' GROUP BY 1) a USING (day)
+LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2023-12-31 12:00:00' GROUP BY 1) b USING (day)"""
 )
 def daily_trend(spark: SparkSession, d: str) -> DataFrame:
     signups = table(spark, d, "events").where("event_type = 'signup'")
