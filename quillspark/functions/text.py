@@ -50,7 +50,8 @@ def terms(c: Column) -> Column:
             lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.struct(F.substr(r, i, F.lit(2)).alias("term"), F.lit(1.0).alias("weight"))),
         )
     )
-    return F.concat(word, F.filter(each, lambda x: x["term"] != ""), pair)
+    every = F.concat(word, F.filter(each, lambda x: x["term"] != ""), pair)
+    return F.when(F.regexp_like(low, F.lit(C.CJK_RUN)), every).otherwise(word)
 
 
 def count_tokens(c: Column) -> Column:
@@ -154,11 +155,3 @@ def dense_literal(v: pd.Series) -> pd.Series:
     import math
 
     return v.map(lambda x: None if x is None else "[" + ",".join(f"{y:.8g}" for y in x if y is not None and math.isfinite(y)) + "]")
-
-
-def char_vector(c: Column) -> Column:
-    """256 counts of code points modulo 256 of the lower-cased text, scaled to length one; zeros if empty."""
-    codes = F.transform(F.filter(F.split(F.lower(c), ""), lambda x: x != ""), lambda x: F.pmod(F.ascii(x), F.lit(256)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.size(F.filter(codes, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))

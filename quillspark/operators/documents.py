@@ -228,3 +228,19 @@ def simple_outline(docs: DataFrame, most: int = 200) -> DataFrame:
     rows = rows.select("id", "pos", level.alias("level"), title.alias("title")).where("level is not null")
     n = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
     return rows.withColumn("n", n).where(F.col("n") <= most).drop("pos")
+
+
+def char_weights(docs: DataFrame, dims: int = 256) -> DataFrame:
+    """(id, dim, value): code points of the lower-cased text modulo ``dims``, counted, scaled to length one."""
+    chars = docs.select("id", F.explode(F.split(F.lower("text"), "")).alias("c")).where("c <> ''")
+    counted = chars.groupBy("id", F.pmod(F.ascii("c"), F.lit(dims)).alias("dim")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
+    return counted.select("id", "dim", (F.col("n") / norm).alias("value"))
+
+
+def char_vectors(docs: DataFrame, dims: int = 256) -> DataFrame:
+    """(id, vector) of all documents; zeros for empty texts."""
+    weights = F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("w")  # ``dims`` entries at most
+    rows = docs.select("id").join(char_weights(docs, dims).groupBy("id").agg(weights), "id", "left")
+    every = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("w", i), F.lit(0.0)))
+    return rows.select("id", every.alias("vector"))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.sources.files import table
+from quillspark.sources.files import spread, table
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """id, kb, doc_kind, status, created_at, n_chars, text: disabled if labelled toxic; created at its event."""
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic")
     events = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("kb"), F.col("lang").alias("doc_kind"), "n_chars", "text")
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("source").alias("kb"), F.col("lang").alias("doc_kind"), "n_chars", "text")
     status = F.when(F.col("toxic") == 1, "disabled").otherwise("ready")
     return rows.join(labels, "id", "left").join(events, "id").withColumn("status", status).drop("toxic")
 
@@ -74,11 +74,11 @@ def questions(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
 
 
 def searchable(spark: SparkSession, d: str) -> DataFrame:
-    """id, kb, created_at, low, vector of live documents: text cleaned and lower-cased once, dealt over all cores."""
+    """id, kb, created_at, low, vector of live documents: text cleaned and lower-cased once."""
     from quillspark.operators.governance import live
 
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    rows = docs(spark, d).where(live(F.col("status"))).repartition("id")
+    rows = docs(spark, d).where(live(F.col("status")))
     return rows.select("id", "kb", "created_at", F.lower(T.clean(F.col("text"))).alias("low")).join(vectors, "id", "left")
 
 

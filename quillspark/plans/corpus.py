@@ -9,14 +9,14 @@ from quillspark.functions import boxes, display, text as T
 from quillspark.operators import analytics, documents as D, governance as G
 from quillspark.plans import bindings as B
 from quillspark.plans.registry import query
-from quillspark.sources.files import table
+from quillspark.sources.files import spread, table
 
 TOKENS_SQL = "CAST(len(regexp_extract_all({c}, '[A-Za-z0-9_]+')) + length(regexp_replace({c}, '[A-Za-z0-9_]+', '', 'g')) // 4 AS INTEGER)"
 
 
 @query(f"SELECT page_id, {B.clean_sql('html')} AS text, left({B.clean_sql('html')}, 200) AS snippet FROM pages")
 def clean_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").select("page_id", T.clean(F.col("html")).alias("text"))
+    rows = spread(table(spark, d, "pages")).select("page_id", T.clean(F.col("html")).alias("text"))
     return rows.select("page_id", "text", F.substring("text", 1, 200).alias("snippet"))
 
 
@@ -117,8 +117,8 @@ n AS (SELECT id, m, count(*) AS n FROM ch GROUP BY 1, 2), l AS (SELECT id, sqrt(
 SELECT id, CAST(m AS INTEGER) AS dim, round(n / norm, 6) AS value FROM n JOIN l USING (id)"""
 )
 def char_vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.char_vector(F.col("text"))).alias("dim", "value"))
-    return rows.where("value > 0").select("id", "dim", F.round("value", 6).alias("value"))
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
+    return D.char_weights(rows).select("id", "dim", F.round("value", 6).alias("value"))
 
 
 @query(

@@ -183,3 +183,9 @@ def test_grounding(spark):
 def test_simple_outline(spark):
     docs = spark.createDataFrame([(1, "## T\n第一章\n1.2 x\n12 y\nplain")], "id long, text string")
     assert [(r["level"], r["title"]) for r in D.simple_outline(docs).orderBy("n").collect()] == [(2, "T"), (1, "第一章"), (1, "1.2 x")]
+
+
+def test_char_vectors(spark):
+    rows = {r["id"]: r["vector"] for r in D.char_vectors(spark.createDataFrame([(1, "aAb"), (2, ""), (3, None)], "id long, text string")).collect()}
+    assert len(rows[1]) == 256 and abs(rows[1][97] - 2 / 5**0.5) < 1e-12 and abs(rows[1][98] - 1 / 5**0.5) < 1e-12
+    assert set(rows[2]) == set(rows[3]) == {0.0}
