@@ -4,8 +4,9 @@ The inverted index is of the test items, which are few; the training passages ar
 the queries.  Items are cut into segments; a segment's scores are divided by its
 score against itself, so one threshold fits all.  A document is read in windows
 that overlap by half, wide enough to hold any segment.  A window whose terms'
-upper bounds together stay below the threshold is dropped at once; the others run
-block-max WAND.  Every item so retrieved is verified against the whole document,
+upper bounds together stay below the threshold is dropped at once, and so is one
+that can't reach it in any block of neighbouring segments; the others run block-max
+WAND.  Every item so retrieved is verified against the whole document,
 by the part of its word shingles that occur there.
 """
 
@@ -26,7 +27,8 @@ from quillspark.llm.text import MARKS, U64, Words, grams, pieces, shingle_sets,
 @dataclass(frozen=True)
 class DecontaminationParams:
     """``segment``: words of an item's segment; windows have twice as many. ``retrieve``:
-    part of a segment's own score from which it is retrieved. ``shingle`` words and
+    part of a segment's own score from which it is retrieved. ``block`` postings of a list have
+    one maximum, and so have ``aligned`` neighbouring segments. ``shingle`` words and
     ``overlap``: what verifies. ``items``: items of one index at most, which bounds what is
     sent to tasks; more items make more indexes, each of which reads all passages."""
 
@@ -34,6 +36,7 @@ class DecontaminationParams:
     retrieve: float = 0.6
     shingle: int = 5
     overlap: float = 0.8
+    aligned: int = 4
     k1: float = 1.2
     b: float = 0.75
     block: int = 8
@@ -97,6 +100,20 @@ class Index:
             self.postings.append((ids, values, tops))
             self.most[t] = max(values)
 
+        # the same maxima by blocks of segments, a run of (block, maximum) for each term
+        place = terms[order] * (-(-max(1, n) // p.aligned)) + segs[order] // p.aligned
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+        self.block_of = segs[order][first] // p.aligned
+        self.block_most = np.maximum.reduceat(impact[order], first) if len(first) else np.zeros(0)
+        self.block_at = np.searchsorted(terms[order][first], np.arange(len(self.vocabulary) + 1))
+
+    def reaches(self, own: np.ndarray, least: float) -> bool:
+        """Whether any block of segments could reach ``least`` with the distinct terms ``own``."""
+        begin, end = self.block_at[own], self.block_at[own + 1]
+        n = end - begin
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return len(at) > 0 and np.bincount(self.block_of[at], weights=self.block_most[at]).max() >= least
+
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Term of each word, the last number for words that no item has."""
         out = np.full(len(hashes), len(self.vocabulary))
@@ -178,7 +195,7 @@ def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, float, flo
     for w in np.flatnonzero(bound[stops] - bound[begins] >= p.retrieve - 1e-9):
         own = np.unique(terms[begins[w] : stops[w]])
         own = own[own < len(index.vocabulary)]
-        if index.most[own].sum() < p.retrieve - 1e-9:
+        if not index.reaches(own, p.retrieve - 1e-9):
             continue
         for segment, score in index.retrieve(own, p.retrieve):
             key = int(docs[w]), index.item_of[segment]
