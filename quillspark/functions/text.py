@@ -8,6 +8,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from quillspark.functions import constants as C
 
@@ -24,7 +25,7 @@ def unescape(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(c: pd.Series) -> pd.Series:
     """Decode every HTML entity there is (in Python, by Arrow batches)."""
     return c.map(lambda x: None if x is None else html.unescape(x))
@@ -127,14 +128,14 @@ def keyword_hits(blob: Column, keywords: Column) -> Column:
     return F.when(F.size(keywords) > 0, F.round(hit / F.size(keywords), 4)).otherwise(1.0)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def sparse_dimension(term: pd.Series) -> pd.Series:
     """Dimension of a term: 64 bits of BLAKE2b, which Spark hasn't. Use it on distinct terms."""
     one = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") % C.SPARSE_DIMENSIONS + 1
     return term.map(one).astype("int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(c: pd.Series) -> pd.Series:
     return c.str.casefold()
 
@@ -144,12 +145,12 @@ def number_literal(x: Column) -> Column:
     return _number_literal(x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _number_literal(x: pd.Series) -> pd.Series:
     return x.map(lambda v: f"{v:.8g}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def dense_literal(v: pd.Series) -> pd.Series:
     """[a,b,...] of the finite components, eight significant digits each."""
     import math

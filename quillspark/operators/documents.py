@@ -62,8 +62,8 @@ def outline(docs: DataFrame) -> DataFrame:
     out = sections.join(paths, ["id", "section"], "left")
     level = F.coalesce("heading.level", F.lit(1))
     out = out.withColumn("level", level).withColumn("jump", F.coalesce(F.col("level") > F.lag("level").over(before) + 1, F.lit(False)))
-    # a document may begin with a heading: the untitled section is there all the same
-    missing = sections.groupBy("id").agg(F.min("section").alias("first")).where("first > 0").select("id")
+    # a document may begin with a heading, or have no line: the untitled section is there all the same
+    missing = docs.select("id").join(sections.where("section = 0").select("id"), "id", "left_anti")
     title = F.coalesce("heading.title", F.lit(C.UNTITLED))
     path = F.coalesce("section_path", F.array(F.lit(C.UNTITLED)))
     named = out.select("id", "section", title.alias("title"), "level", path.alias("section_path"), "content", "page_start", "page_end", "jump")
@@ -84,11 +84,14 @@ def semantic_pieces(content: Column) -> Column:
     return F.filter(F.transform(F.flatten(F.transform(paragraphs, cut)), T.strip), lambda p: p != "")
 
 
+PIECES = "array<struct<text:string,n:int>>"
+
+
 def _tail(pieces: Column, overlap: int) -> Column:
     """The fewest pieces at the end that hold ``overlap`` tokens; all if they don't."""
     if overlap <= 0:
-        return F.slice(pieces, 1, 0)
-    after = lambda i: F.aggregate(F.slice(pieces, i + 2, F.size(pieces)), F.lit(0), lambda s, x: s + T.count_tokens(x))
+        return F.array().cast(PIECES)
+    after = lambda i: F.aggregate(F.slice(pieces, i + 2, F.size(pieces)), F.lit(0), lambda s, x: s + x["n"])
     return F.filter(pieces, lambda x, i: after(i) < overlap)
 
 
@@ -96,28 +99,27 @@ def _packed(pieces: Column, limit: int, overlap: int) -> Column:
     """Greedy packing of pieces into texts of about ``limit`` tokens.
 
     A full text leaves its tail to the next one; a piece above the limit ends what is
-    open and is cut every ``limit`` characters, and nothing is carried over it."""
-    texts = "array<string>"
-    start = F.struct(F.array().cast(texts).alias("done"), F.array().cast(texts).alias("open"), F.lit(0).alias("tokens"))
-    join = lambda xs: F.array_join(xs, "\n\n")
+    open and is cut every ``limit`` characters, and nothing is carried over it.  Tokens
+    of a piece are counted once, before.
+    """
+    none, texts = F.array().cast(PIECES), "array<string>"
+    start = F.struct(F.array().cast(texts).alias("done"), none.alias("open"), F.lit(0).alias("tokens"))
+    join = lambda xs: F.array_join(F.transform(xs, lambda x: x["text"]), "\n\n")
 
     def step(state: Column, piece: Column) -> Column:
-        n = T.count_tokens(piece)
-        full = (F.size(state["open"]) > 0) & (state["tokens"] + n > limit)
+        full = (F.size(state["open"]) > 0) & (state["tokens"] + piece["n"] > limit)
         done = F.when(full, F.concat(state["done"], F.array(join(state["open"])))).otherwise(state["done"])
         rest = F.when(full, _tail(state["open"], overlap)).otherwise(state["open"])
         tokens = F.when(full, T.count_tokens(join(rest))).otherwise(state["tokens"])
-        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length(piece) - 1) / limit).cast("int")), lambda i: F.substr(piece, i * limit + 1, F.lit(limit)))
+        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length(piece["text"]) - 1) / limit).cast("int")), lambda i: F.substr(piece["text"], i * limit + 1, F.lit(limit)))
         ended = F.concat(done, F.when(F.size(rest) > 0, F.array(join(rest))).otherwise(F.array().cast(texts)), cuts)
-        large = n > limit
-        return F.struct(
-            F.when(large, ended).otherwise(done).alias("done"),
-            F.when(large, F.array().cast(texts)).otherwise(F.concat(rest, F.array(piece))).alias("open"),
-            F.when(large, 0).otherwise(tokens + n).alias("tokens"),
-        )
+        large = F.struct(ended.alias("done"), none.alias("open"), F.lit(0).alias("tokens"))
+        packed = F.struct(done.alias("done"), F.concat(rest, F.array(piece)).alias("open"), (tokens + piece["n"]).alias("tokens"))
+        return F.when(piece["n"] > limit, large).otherwise(packed)
 
+    counted = F.transform(pieces, lambda p: F.struct(p.alias("text"), T.count_tokens(p).alias("n")))
     finish = lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(join(s["open"])))).otherwise(s["done"])
-    return F.aggregate(pieces, start, step, finish)
+    return F.aggregate(counted, start, step, finish)
 
 
 def chunks(sections: DataFrame, limit: int = C.CHUNK_TOKENS, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
