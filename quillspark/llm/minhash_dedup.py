@@ -7,19 +7,19 @@ path, and every document goes to the child named by its own value there.  Simila
 documents share values, so they stay together.
 
 * A node with one document ends.
-* A small node is compared exhaustively.
-* In a large node every document is compared with the node's smallest one; what
-  that leaves in more than one component branches on.
-* A large node at the last level is compared exhaustively in blocks of bounded
-  size, documents of one component against all others only.
-
-Comparison in a node is by minhash estimate with a wide margin and by set sizes;
-each candidate is then confirmed on the full shingle sets.
+* A small node is compared exhaustively, by minhash estimate with a wide margin and
+  by set sizes; each candidate is then confirmed on the full shingle sets.
+* In a large node every document is compared with the node's smallest one, in the
+  same two steps.  Where that leaves more than one component, the node branches on
+  until its parts are leaves.
+* A leaf, and a node that is still larger at the last level, is compared on the
+  full sets at once, in blocks of bounded size.  It returns what hangs together, one
+  row a document, so a group of near copies never becomes all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,15 +38,16 @@ class DedupParams:
     """``words``: words of a shingle. ``percent``: similarity from which documents link.
     ``trees``: independent trees; a pair at 0.8 is missed by all with a chance under 1e-4.
     ``slots``: minwise coordinates. ``small``: documents of a node that is compared
-    exhaustively in one task, and the size of a block. ``levels``: branchings at most.
-    ``broadcast_ids``: ids up to which a filter is sent to all tasks (8 bytes each)."""
+    by its pairs. ``leaf``: documents that are compared on full sets together, and the size
+    of a block. ``levels``: branchings at most. ``broadcast_ids``: ids up to which a filter is sent to all tasks (8 bytes each)."""
 
     words: int = 5
     percent: int = 80
     trees: int = 8
     slots: int = 64
     small: int = 50
-    levels: int = 4
+    leaf: int = 200
+    levels: int = 6
     extra: float = 0.25
     broadcast_ids: int = 1_000_000
 
@@ -104,51 +105,107 @@ def _branch(rows: DataFrame, params: DedupParams, level: int) -> DataFrame:
     return out.withColumn("node", F.xxhash64("node", "__slot", F.expr("substring(sig, 4 * __slot + 1, 4)"))).drop("__slot")
 
 
-def _similar(sigs: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, params: DedupParams) -> np.ndarray:
-    """Of ``others`` those that may be similar to row i: sizes allow it, and so does the
-    estimate, five standard deviations below the threshold."""
+def _least_equal(params: DedupParams) -> float:
+    """Equal slots of a candidate at least: five standard deviations below the threshold's mean."""
     share = params.percent / 100
-    least = params.slots * share - 5 * (params.slots * share * (1 - share)) ** 0.5
-    low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-    others = others[100 * low >= params.percent * high]
-    return others[(sigs[others] == sigs[i]).sum(axis=1) >= least] if len(others) else others
-
-
-def _compare_block(block: pd.DataFrame, params: DedupParams) -> pd.DataFrame:
-    """Candidate pairs of one node's block pair, among rows of different components."""
-    block = block.drop_duplicates("rep").sort_values("rep", kind="stable")
-    reps, comps, part = block["rep"].to_numpy(), block["comp"].to_numpy(), block["part"].to_numpy()
-    sizes = block["n_shingles"].to_numpy()
-    sigs = np.frombuffer(b"".join(block["sig"]), np.uint32).reshape(len(block), params.slots)
-    a, b = [], []
-    left, right = block["left"].iloc[0], block["right"].iloc[0]
-    every = np.arange(len(reps))
-    for i in np.flatnonzero(part == left):
-        others = every[i + 1 :] if left == right else np.flatnonzero(part == right)
-        others = _similar(sigs, sizes, i, others[comps[others] != comps[i]], params)
-        a.extend([reps[i]] * len(others))
-        b.extend(reps[others])
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def _block_pairs(rows: DataFrame, params: DedupParams) -> DataFrame:
-    """Candidates of whole nodes: each node is cut into blocks of about ``small`` rows, and
-    every pair of its blocks is one group, so that no task holds a whole large node."""
-    blocks = F.ceil(F.col("n") / params.small).cast("int")
+    return params.slots * share - 5 * (params.slots * share * (1 - share)) ** 0.5
+
+
+def _by_run(rows: DataFrame, keys: list[str], columns: list[str], compare: Callable[[dict[str, pa.ChunkedArray | np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b) of ``compare`` over every group of equal ``keys``.
+
+    Groups are runs of sorted rows; a task reads one after the other and holds one at
+    a time, which is much cheaper than a grouped function call for each small group.
+    """
+
+    def found(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        flat = {c: table.column(c) if pa.types.is_binary(table.schema.field(c).type) else table.column(c).to_numpy() for c in columns}
+        pairs = [compare({c: v[begin:end] if isinstance(v, np.ndarray) else v.slice(begin, end - begin) for c, v in flat.items()}) for begin, end in zip(starts, ends)]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([*held, batch]).combine_chunks()
+                key = np.stack([table.column(k).to_numpy() for k in keys])
+                starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+                if len(starts) > 1:
+                    yield found(table, starts[:-1], starts[1:])
+                held = table.slice(starts[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield found(table, np.array([0]), np.array([table.num_rows]))
+
+    return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _small_pairs(rows: DataFrame, params: DedupParams) -> DataFrame:
+    """Candidates of small nodes: all their pairs that sizes and estimate allow."""
+    least, slots, percent = _least_equal(params), params.slots, params.percent
+
+    def compare(group: dict) -> tuple[np.ndarray, np.ndarray]:
+        rep, size = group["rep"], group["n_shingles"]
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(-1, slots)
+        a, b = np.triu_indices(len(rep), 1)
+        fits = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        a, b = a[fits], b[fits]
+        near = (sig[a] == sig[b]).sum(axis=1) >= least
+        return rep[a[near]], rep[b[near]]
+
+    return _by_run(rows, ["node"], ["rep", "n_shingles", "sig"], compare)
+
+
+def _overlaps(sets: list[np.ndarray], width: int = 20_000) -> np.ndarray:
+    """Sizes of all intersections, exactly: products of 0/1 columns, ``width`` shingles at a time."""
+    flat = np.concatenate(sets)
+    names, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    total = np.zeros((len(sets), len(sets)))
+    for begin in range(0, len(names), width):
+        part = slice(*np.searchsorted(column, [begin, begin + width]))
+        held = np.zeros((len(sets), min(width, len(names) - begin)), np.float32)
+        held[row[part], column[part] - begin] = 1.0
+        total += held @ held.T
+    return total
+
+
+def _leaf_links(rows: DataFrame, params: DedupParams) -> DataFrame:
+    """(a, b): each document of a leaf with the smallest one that it hangs together with there.
+
+    A node of more than ``leaf`` rows is cut into blocks, and every pair of its blocks
+    is one group; so no task holds a whole large node, and none of its links is lost.
+    """
+    blocks = F.ceil(F.col("n") / params.leaf).cast("int")
     cut = rows.withColumn("__blocks", blocks).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("__blocks")).cast("int"))
     cut = cut.withColumn("__other", F.explode(F.expr("sequence(0, __blocks - 1)")))
     cut = cut.withColumn("left", F.least("part", "__other")).withColumn("right", F.greatest("part", "__other"))
-    cut = cut.select("node", "left", "right", "part", "rep", "comp", "n_shingles", "sig")
-    return cut.groupBy("node", "left", "right").applyInPandas(lambda b: _compare_block(b, params), "a long, b long")
+    percent = params.percent
 
+    def compare(group: dict) -> tuple[np.ndarray, np.ndarray]:
+        rep, size = group["rep"], group["n_shingles"]
+        both = _overlaps([np.frombuffer(x, U64) for x in group["set"].to_pylist()])
+        linked = 100 * both >= percent * (size[:, None] + size - both)
+        root = np.arange(len(rep))
+        while True:  # the smallest row that each hangs together with
+            near = np.where(linked, rep[root][None, :], np.iinfo(np.int64).max).argmin(axis=1)
+            new = root[near]
+            if (new == root).all():
+                return rep[rep != rep[root]], rep[root][rep != rep[root]]
+            root = new
 
-def _shared_nodes(nodes: DataFrame, sigs: DataFrame, known: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """(node, rep, n, comp, n_shingles, sig) of nodes that hold more than one component."""
+    return _by_run(cut, ["node", "left", "right"], ["rep", "n_shingles", "set"], compare)
+
+
+def _shared_nodes(nodes: DataFrame, known: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(node, rep, n, comp) of nodes that hold more than one component."""
     sizes = scratch.save(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-    rows = nodes.join(sizes, "node").join(sigs, "rep")
+    rows = nodes.join(sizes, "node")
     if known is None:
-        return scratch.save(rows.withColumn("comp", F.col("rep")), "rows")
+        return rows.withColumn("comp", F.col("rep"))
     named = known.select(F.col("node").alias("rep"), "component")
     rows = rows.join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     rows = scratch.save(rows, "rows")
@@ -162,9 +219,7 @@ def _leader_pairs(rows: DataFrame, params: DedupParams, scratch: Scratch) -> Dat
     The leader is the node's smallest document.  Leaders are written first: both
     sides of the join are plain tables then, so a hot node's partition can be split.
     """
-    share = params.percent / 100
-    least = params.slots * share - 5 * (params.slots * share * (1 - share)) ** 0.5
-    slots = params.slots
+    least, slots = _least_equal(params), params.slots
 
     @F.pandas_udf("int")
     def equal(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -232,26 +287,31 @@ def classes(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     trees = F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))
     nodes = sigs.select("rep", "sig", trees.alias("__tree")).select("rep", "sig", F.xxhash64(F.lit(5), "__tree").alias("node"))
     nodes = _branch(nodes, params, 0).select("rep", "node")
-    links, known = None, None
-    for level in range(1, params.levels + 1):
-        last = level == params.levels
-        rows = _shared_nodes(nodes, sigs, known, scratch)
-        small = rows if last else rows.where(F.col("n") <= params.small)
-        large = rows.where(F.col("n") > params.small)
-        more = not last and not large.isEmpty()
-        pairs = _block_pairs(small, params)
-        if more:
-            pairs = pairs.union(_leader_pairs(large, params, scratch))
-        pairs = scratch.save(pairs.distinct(), "pairs")
-        ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        sets = scratch.save(_sets(docs, ids, params), "sets")
-        new = scratch.save(_confirm(pairs, sets, params), "links")
-        scratch.drop(sets)
-        links = new if links is None else links.union(new)
-        known = components(links, scratch)
-        if not more:
-            break
-        nodes = _branch(large.select("rep", "node", "sig"), params, level).select("rep", "node")
+    rows = scratch.save(_shared_nodes(nodes, None, scratch).join(sigs, "rep"), "rows")
+    small, large = rows.where(F.col("n") <= params.small), rows.where(F.col("n") > params.small)
+    pairs = scratch.save(_small_pairs(small, params).union(_leader_pairs(large, params, scratch)).distinct(), "pairs")
+    ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sets = scratch.save(_sets(docs, ids, params), "sets")
+    links = scratch.save(_confirm(pairs, sets, params), "links")
+    scratch.drop(sets)
+    known = components(links, scratch)
+    large = scratch.save(_shared_nodes(large.select("rep", "node"), known, scratch), "large")
+    scratch.drop(rows)
+    if not large.isEmpty():
+        leaves = large.where(F.col("n") <= params.leaf)
+        large = large.where(F.col("n") > params.leaf)
+        for level in range(1, params.levels + 1):
+            children = _branch(large.select("rep", "node").join(sigs, "rep"), params, level).select("rep", "node")
+            large = _shared_nodes(scratch.save(children, "children"), known, scratch)
+            leaf = F.lit(level == params.levels) | (F.col("n") <= params.leaf)
+            leaves, large = leaves.union(large.where(leaf)), large.where(~leaf)
+            if large.isEmpty():
+                break
+        leaves = scratch.save(leaves.select("node", "rep", "n"), "leaves")
+        sets = scratch.save(_sets(docs, scratch.save(leaves.select(F.col("rep").alias("id")).distinct(), "ids"), params), "sets")
+        sets = sets.select(F.col("id").alias("rep"), "set").join(reps.select("rep", "n_shingles"), "rep")
+        more = scratch.save(_leaf_links(leaves.join(sets, "rep"), params).distinct(), "links")
+        known = components(links.union(more), scratch)
     named = reps.select("h1", "h2", "rep").join(known, F.col("rep") == F.col("node"), "left")
     named = scratch.save(named.select("h1", "h2", F.coalesce("component", "rep").alias("__component")), "classes")
     rows = sketched.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
