@@ -6,9 +6,12 @@ into blocks.  A graph is built on each block by robust pruning, and the adjacenc
 lists of a vector from all its shards are united into one flat graph.  Each
 vector then searches all blocks of its shards: greedily from the block's medoid
 until nothing nearer turns up, then outwards over all neighbours within range.
-What is within range is verified by cosine in double precision.  An audit
-compares some vectors with all others by brute force; while the recall is below
-``recall``, the search is run again with a wider beam.
+What is within range is verified by cosine in double precision.  Centres that are
+themselves within range of each other become one, so a dense region is one shard;
+its blocks are compared exhaustively.  An audit compares some vectors, drawn whether
+or not they have links, with all others by brute force; while the mean recall of
+those with links is below ``recall``, shards and search are made again with twice
+the overlap and the beam, in the end as one shard that is compared exhaustively.
 
 Per pair only the smallest shard that both share counts it, so a group never
 emits its pairs: it returns a count for each vector, and one link of each vector
@@ -34,7 +37,7 @@ class GraphParams:
     """``cosine``: from which vectors link. ``shard``: rows of a block, about. ``centres``: at
     most, fitted on ``sample`` rows. ``overlap``: shards of a vector. ``degree``: edges that
     pruning keeps, of ``near`` nearest and ``far`` random candidates. ``alpha``: slack of
-    pruning. ``beam``: of the greedy search. ``audit``: vectors of the audit."""
+    pruning. ``beam``: of the greedy search. ``audit``: the audit draws 16 times as many vectors."""
 
     cosine: float = 0.9
     shard: int = 1_200
@@ -81,12 +84,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def centres(folded: DataFrame, params: GraphParams) -> dict[int, np.ndarray]:
-    """Spherical k-means by vector length, on a bounded sample; one centre a ``shard`` rows, about."""
+def _merged(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, frozenset[int]]:
+    """Centres of which none were within ``least`` of another, and those that stand for several."""
+    near = np.argmax(x @ c.T, axis=1)
+    close, kept, stands = c @ c.T >= least, [], np.full(len(c), -1)
+    for i in np.argsort(-np.bincount(near, minlength=len(c)), kind="stable"):
+        if stands[i] < 0:
+            stands[close[i] & (stands < 0)] = len(kept)
+            stands[i] = len(kept)
+            kept.append(i)
+    sums = np.zeros((len(kept), c.shape[1]))
+    np.add.at(sums, stands[near], x)
+    full = np.abs(sums).max(axis=1) > 0
+    dense = np.flatnonzero(np.bincount(stands, minlength=len(kept)) > 1)
+    return _unit(np.where(full[:, None], sums, c[kept])), frozenset(dense.tolist())
+
+
+def centres(folded: DataFrame, params: GraphParams) -> tuple[dict[int, np.ndarray], frozenset[int]]:
+    """Spherical k-means by vector length, on a bounded sample; one centre a ``shard`` rows, about,
+    but one alone in a dense region. Also the shards of those regions."""
     sizes = {r["d"]: r["n"] for r in folded.groupBy((F.octet_length("vec") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).collect()}
-    total, out = sum(sizes.values()), {}
+    total, out, dense = sum(sizes.values()), {}, set()
     if not total:
-        return out
+        return out, frozenset()
     place = F.pmod(F.xxhash64("h1", F.lit(params.seed)), F.lit(1 << 30))
     sample = folded.where(place < int((1 << 30) * min(1.0, params.sample / total)) + 1).orderBy("h1", "h2").select("vec").toPandas()["vec"]
     for d, n in sizes.items():
@@ -104,8 +124,14 @@ def centres(folded: DataFrame, params: GraphParams) -> dict[int, np.ndarray]:
             full = np.abs(sums).max(axis=1) > 0
             c = np.where(full[:, None], sums, c)
             c = _unit(c)
-        out[d] = c
-    return out
+        out[d], regions = _merged(x, c, params.cosine)
+        dense |= {_shard(8 * d, k) for k in regions}
+    return out, frozenset(dense)
+
+
+def _shard(size: int, centre: int) -> int:
+    """Number of the shard of a centre of vectors of ``size`` bytes."""
+    return int(size) * 1_000_000 + int(centre)
 
 
 def _members(folded: DataFrame, found: dict[int, np.ndarray], params: GraphParams) -> DataFrame:
@@ -126,7 +152,7 @@ def _members(folded: DataFrame, found: dict[int, np.ndarray], params: GraphParam
                 order = np.argsort(-(_unit(_matrix(column.iloc[at])) @ c.T), axis=1, kind="stable")
                 near = np.sort(order[:, :overlap], axis=1)
             for i, row in zip(at, near):
-                out[i] = [int(size) * 1_000_000 + int(k) for k in row]
+                out[i] = [_shard(size, k) for k in row]
         return pd.Series(out)
 
     return folded.select("id", "copies", "vec", nearest("vec").alias("shards"))
@@ -217,29 +243,23 @@ def _greedy(x: np.ndarray, table: np.ndarray, start: int, q: np.ndarray, beam: i
     return ids, seen
 
 
-def _search(block: pd.DataFrame, params: GraphParams) -> pd.DataFrame:
-    """Search one block of a shard with some of the shard's vectors.
+def _compared(x: np.ndarray, q: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, rows of ``x`` within range) of each query that has any, by comparing all."""
+    inside = q @ x.T >= least
+    for i in np.flatnonzero(inside.any(axis=1)):
+        yield int(i), np.flatnonzero(inside[i])
 
-    Returns (id, links, root) rows: how many vectors a query is linked with here, and
-    for every vector that has a link here the smallest that it hangs together with."""
-    shard = int(block["shard"].iloc[0])
-    index = block[block["near"].notna()].sort_values("id", kind="stable").reset_index(drop=True)
-    queries = block[block["near"].isna()].sort_values("id", kind="stable").reset_index(drop=True)
-    none = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-    if not len(index) or not len(queries):
-        return none
-    ids, q_ids = index["id"].to_numpy(), queries["id"].to_numpy()
-    x, q = _unit(_matrix(index["vec"])), _unit(_matrix(queries["vec"]))
+
+def _walked(x: np.ndarray, ids: np.ndarray, near: pd.Series, q: np.ndarray, params: GraphParams) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, rows of ``x`` within range) of each query that has any, along the graph."""
     place = {v: i for i, v in enumerate(ids.tolist())}
-    lists = [[place[j] for j in near.tolist() if j in place] for near in index["near"]]
+    lists = [[place[j] for j in own.tolist() if j in place] for own in near]
     medoid = int(np.argmax(x @ x.sum(axis=0)))
     table = np.full((len(x) + 1, max(1, max(map(len, lists)))), len(x))
     for i, own in enumerate(lists):
         table[i, : len(own)] = own
     beam, seen = _greedy(x, table, medoid, q, params.beam)
-    own_shards = [frozenset(s.tolist()) for s in index["shards"]]
-    copies, least = index["copies"].to_numpy(), params.cosine
-    links, left, right = np.zeros(len(q), np.int64), [], []
+    least = params.cosine
     for i in range(len(q)):
         found = beam[i][beam[i] < len(x)]
         found = found[x[found] @ q[i] >= least]
@@ -255,10 +275,34 @@ def _search(block: pd.DataFrame, params: GraphParams) -> pd.DataFrame:
             known[step] = True
             fresh = step[x[step] @ q[i] >= least]
             inside.append(fresh)
-        hit = np.concatenate(inside)
-        mine = set(queries["shards"].iloc[i].tolist())
-        count = np.array([min(mine & own_shards[j]) == shard for j in hit], bool)
-        hit = hit[count & (ids[hit] != q_ids[i])]
+        yield i, np.concatenate(inside)
+
+
+def _search(block: pd.DataFrame, params: GraphParams, dense: frozenset[int] | None) -> pd.DataFrame:
+    """Search one block of a shard with some of the shard's vectors; compare them all in
+    a shard of ``dense``, or in any if that is None.
+
+    Returns (id, links, root) rows: how many vectors a query is linked with here, and
+    for every vector that has a link here the smallest that it hangs together with."""
+    shard = int(block["shard"].iloc[0])
+    index = block[block["near"].notna()].sort_values("id", kind="stable").reset_index(drop=True)
+    queries = block[block["near"].isna()].sort_values("id", kind="stable").reset_index(drop=True)
+    none = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+    if not len(index) or not len(queries):
+        return none
+    ids, q_ids = index["id"].to_numpy(), queries["id"].to_numpy()
+    x, q = _unit(_matrix(index["vec"])), _unit(_matrix(queries["vec"]))
+    names = {p: n for n, p in enumerate(dict.fromkeys(tuple(v.tolist()) for v in index["shards"]))}
+    pattern = np.array([names[tuple(v.tolist())] for v in index["shards"]])
+    whole = dense is None or shard in dense
+    hits = _compared(x, q, params.cosine) if whole else _walked(x, ids, index["near"], q, params)
+    copies, counted = index["copies"].to_numpy(), {}
+    links, left, right = np.zeros(len(q), np.int64), [], []
+    for i, hit in hits:
+        mine = tuple(queries["shards"].iloc[i].tolist())
+        if mine not in counted:
+            counted[mine] = np.array([min({*mine} & {*p}) == shard for p in names], bool)
+        hit = hit[counted[mine][pattern[hit]] & (ids[hit] != q_ids[i])]
         links[i] = copies[hit].sum()
         left.append(np.full(len(hit), q_ids[i]))
         right.append(ids[hit])
@@ -282,46 +326,45 @@ def _search(block: pd.DataFrame, params: GraphParams) -> pd.DataFrame:
     return pd.concat([rows, counted[counted["links"] > 0]])
 
 
-def _searcher(params: GraphParams) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda block: _search(block, params)
+def _searcher(params: GraphParams, dense: frozenset[int] | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda block: _search(block, params, dense)
 
 
 def _audit(folded: DataFrame, counts: DataFrame, params: GraphParams) -> float:
-    """Recall of links for some classes, against brute force over all classes.
+    """Mean recall of the links of some classes, against brute force over all classes.
 
-    The audited vectors are a stated number chosen by a hash, sent to all tasks."""
+    The audited vectors are a stated number chosen by a hash, sent to all tasks;
+    those that brute force finds no link for don't count."""
     place = F.xxhash64("h1", F.lit(params.seed + 1))
-    some = folded.select("id", "vec", place.alias("p")).orderBy("p", "id").limit(params.audit).collect()
-    hot = counts.where("links > 0").select("id").join(folded.select("id", "vec"), "id")
-    some += hot.orderBy(F.xxhash64("id", F.lit(params.seed)), "id").limit(params.audit).select("id", "vec").collect()
+    some = folded.select("id", "vec", place.alias("p")).orderBy("p", "id").limit(16 * params.audit).collect()
     if not some:
         return 1.0
-    shared = folded.sparkSession.sparkContext.broadcast(sorted({(r["id"], bytes(r["vec"])) for r in some}))
+    shared = folded.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["vec"])) for r in some])
     least = params.cosine
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, v in shared.value:
-                own = batch[(batch["vec"].map(len) == len(v)) & (batch["id"] != i)]
-                if len(own):
-                    hit = _unit(_matrix(own["vec"])) @ _unit(np.frombuffer(v, np.float64)[None, :])[0] >= least
-                    yield pd.DataFrame({"id": [i], "truth": [int(own["copies"].to_numpy()[hit].sum())]})
+            lengths = batch["vec"].map(len).to_numpy()
+            for size in np.unique(lengths):
+                own = batch[lengths == size]
+                x, ids, copies = _unit(_matrix(own["vec"])), own["id"].to_numpy(), own["copies"].to_numpy()
+                asked = [r for r in shared.value if len(r[1]) == size]
+                for begin in range(0, len(asked), 256):
+                    part = asked[begin : begin + 256]
+                    names = np.array([i for i, _ in part])
+                    hit = _unit(_matrix(pd.Series([v for _, v in part]))) @ x.T >= least
+                    truth = (hit & (names[:, None] != ids[None, :])) @ copies
+                    yield pd.DataFrame({"id": names, "truth": truth})
 
     truth = folded.select("id", "copies", "vec").mapInPandas(brute, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
-    row = truth.join(counts, "id", "left").agg(F.sum("truth").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("truth"))).alias("f")).first()
-    return 1.0 if not row["t"] else row["f"] / row["t"]
-
+    share = F.least(F.coalesce("links", F.lit(0)), F.col("truth")) / F.col("truth")
+    mean = truth.where("truth > 0").join(counts, "id", "left").agg(F.avg(share)).first()[0]
+    return 1.0 if mean is None else mean
 
-def classes(vectors: DataFrame, params: GraphParams = GraphParams()) -> DataFrame:
-    """(vec_id, n_links, component_id) of every row of ``vectors`` (vec_id, embedding).
 
-    Null, empty and zero vectors and those with null or non-finite components link
-    with nothing, nor do vectors of different lengths.  Rows that repeat a vector are
-    linked with each other.  A row without a vec_id stays alone, with null component.
-    """
-    scratch = Scratch(vectors.sparkSession, "graph")
-    rows, folded = _folded(vectors, scratch)
-    members = scratch.save(_members(folded, centres(folded, params), params), "members")
+def _found(folded: DataFrame, near: dict[int, np.ndarray], dense: frozenset[int] | None, params: GraphParams, scratch: Scratch) -> DataFrame:
+    """(id, links, root) rows of all blocks of the shards around ``near``."""
+    members = scratch.save(_members(folded, near, params), "members")
     in_shard = members.select("id", "copies", "vec", "shards", F.explode("shards").alias("shard"))
     sizes = in_shard.groupBy("shard").agg(F.ceil(F.count("*") / params.shard).cast("int").alias("blocks"))
     in_shard = in_shard.join(F.broadcast(scratch.save(sizes, "shards")), "shard")  # at most the centres of each length
@@ -335,13 +378,29 @@ def classes(vectors: DataFrame, params: GraphParams = GraphParams()) -> DataFram
     nodes = in_shard.join(flat, "id").withColumn("chunk", every).select(columns)
     asking = in_shard.withColumn("chunk", F.col("block")).withColumn("block", every).withColumn("near", F.lit(None).cast("array<long>")).select(columns)
     groups = nodes.union(asking).groupBy("shard", "block", "chunk")
-    found = counts = None
-    for _ in range(3):
-        found = scratch.save(groups.applyInPandas(_searcher(params), "id long, links long, root long"), "found")
+    return scratch.save(groups.applyInPandas(_searcher(params, dense), "id long, links long, root long"), "found")
+
+def classes(vectors: DataFrame, params: GraphParams = GraphParams()) -> DataFrame:
+    """(vec_id, n_links, component_id) of every row of ``vectors`` (vec_id, embedding).
+
+    Null, empty and zero vectors and those with null or non-finite components link
+    with nothing, nor do vectors of different lengths.  Rows that repeat a vector are
+    linked with each other.  A row without a vec_id stays alone, with null component.
+    """
+    scratch = Scratch(vectors.sparkSession, "graph")
+    rows, folded = _folded(vectors, scratch)
+    near, dense = centres(folded, params)
+    while True:
+        found = _found(folded, near, dense, params, scratch)
         counts = scratch.save(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
-        if _audit(folded, counts, params) >= params.recall:
+        recall = _audit(folded, counts, params)
+        if recall >= params.recall:
             break
-        params = replace(params, beam=2 * params.beam)
+        if dense is None:
+            raise RuntimeError(f"recall {recall:.3f} after all were compared")
+        params = replace(params, beam=2 * params.beam, overlap=2 * params.overlap)
+        if params.overlap >= max(map(len, near.values())):  # all would share a shard
+            near, dense = {d: c[:1] for d, c in near.items()}, None
     known = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     named = folded.select("h1", "h2", "id", "copies").join(counts, "id", "left").join(known, F.col("id") == F.col("node"), "left")
     named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("__links"), F.coalesce("component", "id").alias("__component"))

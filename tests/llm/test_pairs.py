@@ -110,5 +110,33 @@ def test_embeddings_against_brute_force(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["component_id"] == i for i in range(good, len(rows)))
 
 
+def test_embeddings_of_a_dense_region(spark):
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=16)
+    x = np.vstack([rng.normal(size=(400, 16)), hot + rng.normal(size=(600, 16)) * 0.17 * np.abs(hot).mean()])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    assert close.sum() > 300_000
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.classes(table, embedding_dedup.GraphParams(shard=40)).collect()}
+    links, truth = np.array([found[i] for i in range(len(x))]), close.sum(axis=1)
+    assert (links <= truth).all()
+    assert links.sum() >= 0.97 * truth.sum()
+
+
+def test_embeddings_widen_until_the_audit_agrees(spark):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(120, 8))
+    x = np.vstack([base, base + rng.normal(size=base.shape) * 0.3])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    params = embedding_dedup.GraphParams(shard=8, overlap=1, recall=1.0)
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.classes(table, params).collect()}
+    assert [found[i] for i in range(len(x))] == close.sum(axis=1).tolist()
+
+
 def test_embeddings_empty_table(spark):
     assert embedding_dedup.classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
