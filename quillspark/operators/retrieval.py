@@ -51,18 +51,20 @@ def cosine(a: Column, b: Column, full_norms: bool = False) -> Column:
     return F.when(a.isNull() | b.isNull() | (n <= 0), 0.0).when(both > 0, dot / both).otherwise(0.0)
 
 
-def dense_track(queries: DataFrame, corpus: DataFrame, k: int, same_length: bool = True) -> DataFrame:
-    """(query_id, id, score, rank) of the ``k`` nearest of ``corpus`` (id, vector, group columns)
+def dense_track(queries: DataFrame, corpus: DataFrame, k: int, same_length: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, by, id, score, rank) of the ``k`` nearest of ``corpus`` (id, vector, group columns)
     to each of ``queries`` (query_id, query_vector); similarities above 0 alone.
 
+    ``by``: columns of ``corpus``; each of their groups has its own ``k`` nearest.
+
     ``same_length``: other lengths don't count; else the looser rule of :func:`cosine`.
     """
     rows = against(corpus.where(F.size("vector") > 0), queries.where(F.size("query_vector") > 0).select("query_id", "query_vector"))
     if same_length:
         rows = rows.where(F.size("vector") == F.size("query_vector"))
     score = F.round(cosine(F.col("query_vector"), F.col("vector"), full_norms=not same_length), 6)
-    rows = rows.select("query_id", "id", score.alias("score")).where("score > 0")
-    return top_k(rows, k, ["query_id"], [F.desc("score"), F.asc("id")])
+    rows = rows.select("query_id", *by, "id", score.alias("score")).where("score > 0")
+    return top_k(rows, k, ["query_id", *by], [F.desc("score"), F.asc("id")])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -71,14 +73,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", phrase.alias("phrase"), F.array_distinct(F.transform(T.terms(phrase), lambda t: t["term"])).alias("query_terms"))
 
 
-def lexical_track(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): occurrences of the query's terms in ``low`` (cleaned,
-    lower-cased text), inside words too, and 3 more if the whole query occurs."""
-    rows = against(corpus.select("id", "low"), query_terms(queries).where("phrase <> ''"))
+def lexical_track(queries: DataFrame, corpus: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, by, id, score, rank): occurrences of the query's terms in ``low`` (cleaned,
+    lower-cased text), inside words too, and 3 more if the whole query occurs.
+
+    ``by``: columns of ``corpus``; each of their groups has its own ``k`` best."""
+    rows = against(corpus.select(*by, "id", "low"), query_terms(queries).where("phrase <> ''"))
     counted = F.aggregate("query_terms", F.lit(0), lambda s, t: s + T.non_overlapping(F.col("low"), t))
     score = (counted + F.when(F.contains("low", "phrase"), 3).otherwise(0)).cast("double")
-    rows = rows.select("query_id", "id", score.alias("score")).where("score > 0")
-    return top_k(rows, k, ["query_id"], [F.desc("score"), F.asc("id")])
+    rows = rows.select("query_id", *by, "id", score.alias("score")).where("score > 0")
+    return top_k(rows, k, ["query_id", *by], [F.desc("score"), F.asc("id")])
 
 
 def postings(corpus: DataFrame) -> DataFrame:

@@ -110,10 +110,8 @@ def _by_kb(spark: SparkSession, d: str) -> DataFrame:
     seen = G.accessible(B.users(spark, d).where("user_id = 7"), B.kbs(spark, d), B.permissions(spark, d)).select("kb")
     corpus = B.searchable(spark, d).join(F.broadcast(seen), "kb", "left_semi")
     asked = B.questions(spark, d, 2)
-    keys = corpus.select("id", "kb")
-    within = lambda track: R.top_k(track.drop("rank").join(keys, "id"), 20, ["query_id", "kb"], [F.desc("score"), F.asc("id")])
-    dense, lexical = R.dense_track(asked, corpus, 5000), R.lexical_track(asked, corpus, 5000)
-    return R.fuse(within(dense), within(lexical), 20, by=("query_id", "kb"))
+    dense, lexical = R.dense_track(asked, corpus, 20, by=("kb",)), R.lexical_track(asked, corpus, 20, by=("kb",))
+    return R.fuse(dense, lexical, 20, by=("query_id", "kb"))
 
 
 _BY_KB = f"""WITH {B.DOC}, {B.KB}, {B.USR}, {B.PERM}, seen AS (SELECT p.kb FROM perm p JOIN kb USING (kb) WHERE p.user_id = 7 AND kb.is_active), {B.SEARCH},
