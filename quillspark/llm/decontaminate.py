@@ -6,7 +6,8 @@ score against itself, so one threshold fits all.  A document is read in windows
 that overlap by half, wide enough to hold any segment.  A window whose terms'
 upper bounds together stay below the threshold is dropped at once, and so is one
 that can't reach it in any block of neighbouring segments; the others run block-max
-WAND.  Every item so retrieved is verified against the whole document,
+WAND.  An item whose words stand further apart than a window is retrieved by
+the shingles that it shares with the whole document, if they verify it.  Every item so retrieved is verified against the whole document,
 by the part of its word shingles that occur there.
 """
 
@@ -59,6 +60,7 @@ class Index:
         split = [question_and_answer(t) for _, t in items]
         self.whole = self._parts(found)
         self.question, self.answer = (self._parts(words(pa.array([s[k] for s in split], pa.string()), MARKS)) for k in (0, 1))
+        self._list_shingles()
         self.item_of, segments = [], []
         for i, n in enumerate(found.counts):
             own = found.hashes[found.ends[i] - n : found.ends[i]]
@@ -76,6 +78,23 @@ class Index:
         """Of each text its distinct shingles and its number of words."""
         return list(zip(shingle_sets(found, self.params.shingle), found.counts.tolist()))
 
+    def _list_shingles(self) -> None:
+        """Shingles of all items in ascending order, and the item of each."""
+        sets = [s for s, _ in self.whole]
+        flat = np.concatenate([np.zeros(0, U64), *sets])
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.shingle_of = flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+        self.marked = np.zeros(1 << 20, bool)
+        self.marked[(flat >> U64(44)).astype(np.int64)] = True
+
+    def sharing(self, hashes: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) that have a shingle in common; ``owner`` is the row of each of ``hashes``."""
+        maybe = np.flatnonzero(self.marked[(hashes >> U64(44)).astype(np.int64)])
+        begin, end = (np.searchsorted(self.shingles, hashes[maybe], side) for side in ("left", "right"))
+        n = end - begin
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return set(zip(np.repeat(owner[maybe], n).tolist(), self.shingle_of[at].tolist()))
+
     def _weigh(self, segments: list[np.ndarray]) -> None:
         p, n = self.params, len(segments)
         lengths = np.array([len(s) for s in segments])
@@ -186,7 +205,8 @@ def _windows(ends: np.ndarray, counts: np.ndarray, half: int) -> tuple[np.ndarra
 
 
 def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, float, float, float, float]]:
-    """(row, item, best score, question, answer and whole overlap) of items retrieved for a text."""
+    """(row, item, best score, question, answer and whole overlap) of items retrieved for a text;
+    the score is 0 if no window retrieved the item."""
     p, found = index.params, words(texts, MARKS)
     terms = index.terms(found.hashes)
     bound = np.concatenate([[0.0], np.cumsum(index.most[terms])])
@@ -203,11 +223,14 @@ def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, float, flo
     hashes, owner = grams(found, p.shingle)
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     last, own = -1, None
-    for (row, item), score in sorted(best.items()):
+    far = {key: 0.0 for key in index.sharing(hashes, owner) if key not in best}
+    for (row, item), score in sorted((best | far).items()):
         if row != last:
             last, own = row, np.unique(hashes[cuts[row] : cuts[row + 1]])
         parts = (index.question[item], index.answer[item], index.whole[item])
-        yield row, item, score, *(_share(part, own, found, row, p.shingle) for part in parts)
+        question, answer, whole = (_share(part, own, found, row, p.shingle) for part in parts)
+        if (row, item) in best or max(whole, min(question, answer)) >= p.overlap - 1e-9:
+            yield row, item, score, question, answer, whole
 
 
 def _share(part: tuple[np.ndarray, int], own: np.ndarray, found: Words, row: int, size: int) -> float:
@@ -218,7 +241,9 @@ def _share(part: tuple[np.ndarray, int], own: np.ndarray, found: Words, row: int
     if n < size:
         text = found.hashes[found.ends[row] - found.counts[row] : found.ends[row]]
         own = np.unique(grams(Words(text, np.array([len(text)]), None), n)[0])
-    return float(np.isin(shingles, own, assume_unique=True).mean())
+    if not len(own):
+        return 0.0
+    return float((own[np.minimum(np.searchsorted(own, shingles), len(own) - 1)] == shingles).mean())
 
 
 def matches(docs: DataFrame, items: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:

@@ -85,6 +85,19 @@ def test_leaks_against_brute_force(spark):
         assert not extra
 
 
+def test_question_and_answer_far_apart(spark):
+    rng, items, docs = random.Random(12), [], []
+    for i in range(30):
+        question, answer = (" ".join(f"t{rng.randrange(4000)}" for _ in range(n)) for n in (21, 20))
+        items.append((i, f"{question}? {answer}."))
+        filler = [" ".join(f"f{rng.randrange(4000)}" for _ in range(200)) for _ in range(3)]
+        docs.append((i, f"{filler[0]} {question}? {filler[1]} {answer}. {filler[2]}"))
+        docs.append((100 + i, f"{filler[0]} {question}? {filler[1]}"))
+    table, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.matches(table, tests).where("leaked").collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, i) for i in range(30)]
+
+
 def test_windows_cover_every_half_pair():
     ends = np.array([0, 10, 10, 55, 200])
     docs, begins, stops = decontaminate._windows(ends, np.diff(ends, prepend=0), 16)
