@@ -8,7 +8,6 @@ expected grade, and the chance of a grade at least as high as one asked for.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,20 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shards import RANGE_SCHEMA, mean_of_ranges, packed_sample, range_rows
 from quillspark.llm.text import SPACES, U64, mix, pieces, words
 from quillspark.scratch import Scratch
 
 
 @dataclass(frozen=True)
 class OrdinalParams:
-    """``grades``: grades 0 to grades - 1. ``sample``: labelled rows of a fit, about, chosen
-    by a hash of the text. ``bits``: log2 of the weights. ``shards`` learn side by side and
-    are averaged after each of ``rounds``, of ``steps`` AdaGrad steps each."""
+    """``grades``: grades 0 to grades - 1. ``sample``: different labelled rows of a fit, about,
+    chosen by a hash of the row. ``bits``: log2 of the weights, summed in ``ranges``.
+    Shards of about ``shard_rows`` learn side by side and are averaged after each of
+    ``rounds``, of ``steps`` AdaGrad steps each."""
 
     grades: int = 3
     sample: int = 12_000
     bits: int = 16
-    shards: int = 4
+    ranges: int = 16
+    shard_rows: int = 4_000
     rounds: int = 3
     steps: int = 25
     rate: float = 1.0
@@ -48,6 +50,14 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(places)
 
 
+def _all_places(texts: pa.Array, bits: int) -> list[bytes]:
+    """The coordinates of each text, repeats included, packed."""
+    owner, place = features(texts, bits)
+    order = np.argsort(owner, kind="stable")
+    place, cut = place[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    return [place[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(len(texts))]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -96,45 +106,23 @@ class Ordinal:
 def fit(labelled: DataFrame, params: OrdinalParams = OrdinalParams()) -> Ordinal:
     """Train on rows (text, label 0 .. grades - 1); other and null labels teach nothing.
 
+    Rows alike in text and label (and doc_id, where there is one) teach once.
     Without rows the weights are 0 and all grades stand where the first thresholds put them.
     """
     spark, scratch, p = labelled.sparkSession, Scratch(labelled.sparkSession, "ordinal"), params
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where(F.col("label").between(0, p.grades - 1))
-    total = rows.count()
+    packed = packed_sample(labelled.where(F.col("label").between(0, p.grades - 1)), p.sample, p.seed, p.shard_rows, lambda part: _all_places(part, p.bits), scratch)
     w, cuts = np.zeros(1 << p.bits), np.zeros(p.grades - 1)
-    if total:
-        key = F.xxhash64("text", F.lit(p.seed))
-        chosen = rows.withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < int((1 << 30) * min(1.0, p.sample / total)) + 1)
-        bits, shards = p.bits, p.shards
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start, part in pieces(batch.column(0)):
-                    owner, place = features(part, bits)
-                    order = np.argsort(owner, kind="stable")
-                    place, cut = place[order], np.searchsorted(owner[order], np.arange(len(part) + 1))
-                    packed = [place[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(len(part))]
-                    label, hashed = (batch.column(k).slice(start, len(part)) for k in (1, 2))
-                    yield pa.RecordBatch.from_arrays([label, hashed, pa.array(packed, pa.binary())], names=["label", "key", "places"])
-
-        packed = chosen.mapInArrow(pack, "label int, key long, places binary")
-        packed = scratch.save(packed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(shards, "shard"), "sample")
-        for _ in range(p.rounds):
-            state = spark.sparkContext.broadcast((w, cuts))
-
-            def learn(shard: pd.DataFrame) -> pd.DataFrame:
-                w1, c1 = _learn(shard.sort_values(["key", "label"], kind="stable"), *state.value, p)
-                at = np.flatnonzero(w1)
-                return pd.DataFrame({"at": np.concatenate([at, -1 - np.arange(len(c1))]), "value": np.concatenate([w1[at], c1])})
-
-            learned = packed.groupBy("shard").applyInPandas(learn, "at long, value double")
-            merged = learned.groupBy("at").agg(F.sum("value").alias("value"), F.count("*").alias("n")).toPandas()
-            parts = int(merged["n"].max())
-            w, cuts = np.zeros(1 << p.bits), np.zeros(p.grades - 1)
-            real, edge = merged[merged["at"] >= 0], merged[merged["at"] < 0]
-            w[real["at"]] = (real["value"] / parts).round(9)
-            cuts[-1 - edge["at"].to_numpy()] = (edge["value"] / parts).round(9)
-            state.unpersist()
+    for _ in range(p.rounds if packed else 0):
+        state = spark.sparkContext.broadcast((w, cuts))
+
+        def learn(shard: pd.DataFrame) -> pd.DataFrame:
+            w1, c1 = _learn(shard.sort_values(["key", "label"], kind="stable"), *state.value, p)
+            return range_rows([*((x,) for x in np.split(w1, p.ranges)), (c1,)])
+
+        *ranges, cuts = mean_of_ranges(packed.groupBy("shard").applyInPandas(learn, RANGE_SCHEMA))
+        w = np.concatenate(ranges)
+        state.destroy()
+    if packed:
         scratch.drop(packed)
     return Ordinal(w.astype(np.float32), thresholds(cuts), p.bits)
 

@@ -2,13 +2,13 @@
 
 Each coordinate has its own learning rate, and the L1 term keeps the weights
 sparse.  A fit runs a few rounds; in each, every shard of the labelled sample
-passes over its rows from the shared state, and the states are averaged by a
-grouping over coordinates.  The state is 2 ** bits coordinates whatever the data.
+passes over its rows from the shared state, and the states are averaged range by
+range of coordinates.  The state is 2 ** bits coordinates whatever the data; it
+travels as packed arrays, a few rows of bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,19 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shards import RANGE_SCHEMA, mean_of_ranges, packed_sample, range_rows
 from quillspark.llm.text import MARKS, U64, grams, pieces, words
 from quillspark.scratch import Scratch
 
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``sample``: labelled rows of a fit, about, chosen by a hash of the text.
-    ``bits``: log2 of the coordinates. ``shards``: parts that pass over their rows side by
-    side. ``rounds``: passes. alpha, beta, l1, l2: the usual FTRL-proximal constants."""
+    """``sample``: different labelled rows of a fit, about, chosen by a hash of the row.
+    ``bits``: log2 of the coordinates, summed in ``ranges``. ``shard_rows``: rows of
+    a shard, about; shards pass over their rows side by side. ``rounds``: passes. alpha, beta, l1, l2: the usual
+    FTRL-proximal constants."""
 
     sample: int = 30_000
     bits: int = 18
-    shards: int = 4
+    ranges: int = 64
+    shard_rows: int = 4_000
     rounds: int = 6
     alpha: float = 2.0
     beta: float = 1.0
@@ -51,6 +54,26 @@ def _distinct(owner: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarr
     return keys >> bits, keys & ((1 << bits) - 1)
 
 
+def _gaps(place: np.ndarray) -> bytes:
+    """Ascending coordinates as 16-bit gaps; 65535 adds itself to the next."""
+    whole, rest = np.divmod(np.diff(place, prepend=0), 65_535)
+    out = np.full(int(whole.sum()) + len(place), 65_535, np.uint16)
+    out[np.cumsum(whole + 1) - 1] = rest
+    return out.tobytes()
+
+
+def _places(packed: bytes) -> np.ndarray:
+    gaps = np.frombuffer(packed, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 65_535]
+
+
+def _sparse(texts: pa.Array, bits: int) -> list[bytes]:
+    """The distinct coordinates of each text, packed."""
+    owner, place = _distinct(*features(texts, bits), bits)
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [_gaps(place[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
+
+
 def _weights(z: np.ndarray, n: np.ndarray, p: FtrlParams) -> np.ndarray:
     shrunk = np.sign(z) * np.maximum(np.abs(z) - p.l1, 0.0)
     return -shrunk / ((p.beta + np.sqrt(n)) / p.alpha + p.l2)
@@ -60,7 +83,7 @@ def _pass(rows: pd.DataFrame, z: np.ndarray, n: np.ndarray, bias: np.ndarray, p:
     """One pass over a shard's rows; changes the state in place. bias is (z, n) of a
     coordinate that every row has and L1 doesn't shrink."""
     for label, packed in zip(rows["label"], rows["places"]):
-        at = np.frombuffer(packed, np.int32)
+        at = _places(packed)
         zi, ni = z[at], n[at]
         w = _weights(zi, ni, p)
         base = -bias[0] / ((p.beta + bias[1] ** 0.5) / p.alpha)
@@ -85,45 +108,25 @@ class Toxic:
 def fit(labelled: DataFrame, params: FtrlParams = FtrlParams()) -> Toxic:
     """Train on rows (text, label 0/1); a null label teaches nothing, a null text is empty.
 
+    Rows alike in text and label (and doc_id, where there is one) teach once.
     Without rows all weights and the intercept are 0: every text scores 0.5.
     """
     spark, scratch, p = labelled.sparkSession, Scratch(labelled.sparkSession, "ftrl"), params
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("label is not null")
-    total = rows.count()
+    packed = packed_sample(labelled.where(F.col("label").isNotNull()), p.sample, p.seed, p.shard_rows, lambda part: _sparse(part, p.bits), scratch)
     z, n, bias = np.zeros(1 << p.bits), np.zeros(1 << p.bits), np.zeros(2)
-    if total:
-        key = F.xxhash64("text", F.lit(p.seed))
-        chosen = rows.withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < int((1 << 30) * min(1.0, p.sample / total)) + 1)
-        bits, shards = p.bits, p.shards
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start, part in pieces(batch.column(0)):
-                    owner, place = _distinct(*features(part, bits), bits)
-                    cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-                    packed = [place[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(len(part))]
-                    label, hashed = (batch.column(k).slice(start, len(part)) for k in (1, 2))
-                    yield pa.RecordBatch.from_arrays([label, hashed, pa.array(packed, pa.binary())], names=["label", "key", "places"])
-
-        packed = chosen.mapInArrow(pack, "label int, key long, places binary")
-        packed = scratch.save(packed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(shards, "shard"), "sample")
-        for _ in range(p.rounds):
-            state = spark.sparkContext.broadcast((z, n, bias))
-
-            def learn(shard: pd.DataFrame) -> pd.DataFrame:
-                z0, n0, b0 = (x.copy() for x in state.value)
-                _pass(shard.sort_values(["key", "label"], kind="stable"), z0, n0, b0, p)
-                at = np.flatnonzero(n0)
-                return pd.DataFrame({"at": np.append(at, -1), "z": np.append(z0[at], b0[0]), "n": np.append(n0[at], b0[1]), "rows": 1})
-
-            learned = packed.groupBy("shard").applyInPandas(learn, "at long, z double, n double, rows int")
-            merged = learned.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.sum("rows").alias("rows")).toPandas()
-            parts = int(merged.loc[merged["at"] == -1, "rows"].iloc[0])
-            merged[["z", "n"]] = (merged[["z", "n"]] / parts).round(9)
-            z, n, bias = np.zeros(1 << p.bits), np.zeros(1 << p.bits), merged.loc[merged["at"] == -1, ["z", "n"]].to_numpy()[0]
-            real = merged[merged["at"] >= 0]
-            z[real["at"]], n[real["at"]] = real["z"], real["n"]
-            state.unpersist()
+    for _ in range(p.rounds if packed else 0):
+        state = spark.sparkContext.broadcast((z, n, bias))
+
+        def learn(shard: pd.DataFrame) -> pd.DataFrame:
+            z0, n0, b0 = (x.copy() for x in state.value)
+            _pass(shard.sort_values(["key", "label"], kind="stable"), z0, n0, b0, p)
+            return range_rows([*zip(np.split(z0, p.ranges), np.split(n0, p.ranges)), (b0,)])
+
+        merged = mean_of_ranges(packed.groupBy("shard").applyInPandas(learn, RANGE_SCHEMA))
+        bias = merged.pop()
+        z, n = (np.concatenate(x) for x in zip(*(np.split(m, 2) for m in merged)))
+        state.destroy()
+    if packed:
         scratch.drop(packed)
     intercept = -bias[0] / ((p.beta + bias[1] ** 0.5) / p.alpha)
     return Toxic(_weights(z, n, p).astype(np.float32), float(intercept), p.bits)
