@@ -10,11 +10,16 @@ documents share values, so they stay together.
 * A small node is compared exhaustively, by minhash estimate with a wide margin and
   by set sizes; each candidate is then confirmed on the full shingle sets.
 * In a large node every document is compared with the node's smallest one, in the
-  same two steps.  Where that leaves more than one component, the node branches on
-  until its parts are leaves.
-* A leaf, and a node that is still larger at the last level, is compared on the
-  full sets at once, in blocks of bounded size.  It returns what hangs together, one
-  row a document, so a group of near copies never becomes all its pairs.
+  same two steps.  Where that leaves more than one component, and more than a few
+  documents outside the largest, the node branches on, two children a document.
+* Where few are left outside the largest component, and at the last level, a node is
+  compared on the full sets: those outside with each other and with blocks of the
+  largest component, whose members need not be compared among themselves.  That
+  returns what hangs together, one row a document, so a group of near copies never
+  becomes all its pairs.
+
+Components are found on representatives, one row each, before memberships are
+exploded; no join returns more rows than there are memberships.
 """
 
 from __future__ import annotations
@@ -36,28 +41,37 @@ from quillspark.scratch import Scratch
 @dataclass(frozen=True)
 class DedupParams:
     """``words``: words of a shingle. ``percent``: similarity from which documents link.
-    ``trees``: independent trees; a pair at 0.8 is missed by all with a chance under 1e-4.
-    ``slots``: minwise coordinates. ``small``: documents of a node that is compared
-    by its pairs. ``leaf``: documents that are compared on full sets together, and the size
-    of a block. ``levels``: branchings at most. ``broadcast_ids``: ids up to which a filter is sent to all tasks (8 bytes each)."""
+    ``trees``: independent trees. A pair at 0.8 follows a first branching of ``extra`` more
+    children with chance 0.84, and later ones, of two children each, with 0.94 for all
+    levels together, so all trees miss it with a chance of 7e-5 at most. ``slots``:
+    minwise coordinates. ``small``: documents of a node that is compared by its pairs.
+    ``rest``: documents outside the largest component of a node that is compared on full
+    sets, and of a block of them; ``block`` and ``block_shingles``: of a block of that
+    component. ``levels``: branchings at most. ``broadcast_ids``: ids up to which a filter
+    is sent to all tasks (24 bytes each)."""
 
     words: int = 5
     percent: int = 80
-    trees: int = 8
+    trees: int = 6
     slots: int = 64
     small: int = 50
-    leaf: int = 200
-    levels: int = 6
+    rest: int = 200
+    block: int = 1_000
+    block_shingles: int = 1_000_000
+    levels: int = 4
     extra: float = 0.25
-    broadcast_ids: int = 1_000_000
+    broadcast_ids: int = 500_000
 
 
 def sketch(docs: DataFrame, params: DedupParams) -> DataFrame:
-    """(doc_id, text_hash, h1, h2, n_shingles, sig) of each row: a hash of its text, a 128-bit
-    hash of its words in order, the size of its set, and the minwise values, 4 bytes a slot."""
+    """(doc_id, text_hash, rep, n_shingles, sig) of each row: a hash of its text, one of its
+    words in order, the size of its set, and the minwise values, 4 bytes a slot.
+
+    rep stands for all texts with these words; two of n different ones share it with a
+    chance of about ``n * n / 2 ** 65``, as their words do."""
     seeds = mix(np.arange(1, params.slots + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
     size = params.words
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("rep", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,15 +80,12 @@ def sketch(docs: DataFrame, params: DedupParams) -> DataFrame:
                 found = words(part)
                 sets, counts = shingle_sets(found, size), found.counts
                 ends = found.ends
-                h1, h2, sigs = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), []
+                rep = np.zeros(len(part), np.int64)
                 if len(found.hashes):
                     place = np.arange(len(found.hashes)) - np.repeat(ends - counts, counts)
-                    keyed = mix(found.hashes ^ mix(place.astype(U64)))
-                    other = mix(keyed + U64(77))
                     some = np.flatnonzero(counts)
-                    begins = (ends - counts)[some]
-                    h1[some] = np.add.reduceat(keyed, begins).view(np.int64)
-                    h2[some] = np.add.reduceat(other, begins).view(np.int64)
+                    keyed = np.add.reduceat(mix(found.hashes ^ mix(place.astype(U64))), (ends - counts)[some])
+                    rep[some] = mix(keyed).view(np.int64)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 least = np.zeros((len(full), params.slots), np.uint32)
                 if full:
@@ -86,20 +97,21 @@ def sketch(docs: DataFrame, params: DedupParams) -> DataFrame:
                 row_of = {i: j for j, i in enumerate(full)}
                 sigs = [least[row_of[i]].tobytes() if i in row_of else None for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, len(part)), hashed.slice(start, len(part)), pa.array(h1), pa.array(h2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())],
+                    [ids.slice(start, len(part)), hashed.slice(start, len(part)), pa.array(rep), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())],
                     schema=schema,
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, h1 long, h2 long, n_shingles long, sig binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, rep long, n_shingles long, sig binary")
 
 
 def _branch(rows: DataFrame, params: DedupParams, level: int) -> DataFrame:
-    """Children of each row's node: one coordinate, and with chance ``extra`` a second,
-    both chosen by the node alone, so that all its documents choose alike."""
+    """Children of each row's node: one coordinate, and a second one with chance ``extra``
+    at first and always later, chosen by the node alone, so that all its documents choose alike."""
+    extra = params.extra if level == 0 else 1.0
     first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(params.slots)).cast("int")
     second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(1)), F.lit(params.slots)).cast("int")
-    more = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(1000)) < int(1000 * params.extra)
+    more = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(1000)) < int(1000 * extra)
     chosen = F.when(more & (first != second), F.array(first, second)).otherwise(F.array(first))
     out = rows.withColumn("__slot", F.explode(chosen))
     return out.withColumn("node", F.xxhash64("node", "__slot", F.expr("substring(sig, 4 * __slot + 1, 4)"))).drop("__slot")
@@ -157,60 +169,86 @@ def _small_pairs(rows: DataFrame, params: DedupParams) -> DataFrame:
     return _by_run(rows, ["node"], ["rep", "n_shingles", "sig"], compare)
 
 
-def _overlaps(sets: list[np.ndarray], width: int = 20_000) -> np.ndarray:
-    """Sizes of all intersections, exactly: products of 0/1 columns, ``width`` shingles at a time."""
-    flat = np.concatenate(sets)
-    names, column = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    total = np.zeros((len(sets), len(sets)))
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8_192) -> np.ndarray:
+    """Sizes of the intersections of all on the left with all on the right, exactly: products
+    of 0/1 columns, ``width`` shingles that both sides have at a time."""
+    names = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for sets in (left, right):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.searchsorted(names, flat)
+        hit = names[np.minimum(column, len(names) - 1)] == flat if len(names) else np.zeros(len(flat), bool)
+        order = np.argsort(column[hit], kind="stable")
+        sides.append((len(sets), row[hit][order], column[hit][order]))
+    total = np.zeros((len(left), len(right)))
     for begin in range(0, len(names), width):
-        part = slice(*np.searchsorted(column, [begin, begin + width]))
-        held = np.zeros((len(sets), min(width, len(names) - begin)), np.float32)
-        held[row[part], column[part] - begin] = 1.0
-        total += held @ held.T
+        held = []
+        for n, row, column in sides:
+            part = slice(*np.searchsorted(column, [begin, begin + width]))
+            held.append(np.zeros((n, min(width, len(names) - begin)), np.float32))
+            held[-1][row[part], column[part] - begin] = 1.0
+        total += held[0] @ held[1].T
     return total
 
 
-def _leaf_links(rows: DataFrame, params: DedupParams) -> DataFrame:
-    """(a, b): each document of a leaf with the smallest one that it hangs together with there.
+def _dealt(rows: DataFrame, params: DedupParams) -> DataFrame:
+    """Rows of nodes that are compared, once for each group of (node, left, right) that they are in.
 
-    A node of more than ``leaf`` rows is cut into blocks, and every pair of its blocks
-    is one group; so no task holds a whole large node, and none of its links is lost.
-    """
-    blocks = F.ceil(F.col("n") / params.leaf).cast("int")
-    cut = rows.withColumn("__blocks", blocks).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("__blocks")).cast("int"))
-    cut = cut.withColumn("__other", F.explode(F.expr("sequence(0, __blocks - 1)")))
-    cut = cut.withColumn("left", F.least("part", "__other")).withColumn("right", F.greatest("part", "__other"))
+    Blocks of the largest component (left < 0) meet every block of the rest, and those meet
+    each other. ``side``: 0 left, 1 right, 2 both. So no task holds a whole large node, and
+    each document of the largest component is copied as often as the rest has blocks."""
+    blocks = lambda n, shingles, size: F.greatest(F.ceil(F.col(n) / size), F.ceil(F.col(shingles) / params.block_shingles)).cast("int")
+    cut = rows.withColumn("__most", blocks("n_most", "s_most", params.block)).withColumn("__rest", blocks("n_rest", "s_rest", params.rest))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("most"), F.col("__most")).otherwise(F.col("__rest"))).cast("int"))
+    most = "transform(sequence(0, __rest - 1), k -> struct(-1 - part AS left, k AS right, 0 AS side))"
+    rest = "transform(sequence(0, __most - 1), i -> struct(-1 - i AS left, part AS right, 1 AS side))"
+    each = "transform(sequence(0, __rest - 1), k -> struct(least(part, k) AS left, greatest(part, k) AS right, CASE WHEN k > part THEN 0 WHEN k < part THEN 1 ELSE 2 END AS side))"
+    groups = F.explode(F.expr(f"IF(most, {most}, concat({rest}, {each}))"))
+    return cut.withColumn("__in", groups).select("node", "__in.*", "rep", "n_shingles", "set")
+
+
+def _leaf_links(rows: DataFrame, params: DedupParams) -> DataFrame:
+    """(a, b): each document of a group with the smallest one that it hangs together with there."""
     percent = params.percent
 
     def compare(group: dict) -> tuple[np.ndarray, np.ndarray]:
-        rep, size = group["rep"], group["n_shingles"]
-        both = _overlaps([np.frombuffer(x, U64) for x in group["set"].to_pylist()])
-        linked = 100 * both >= percent * (size[:, None] + size - both)
-        root = np.arange(len(rep))
-        while True:  # the smallest row that each hangs together with
-            near = np.where(linked, rep[root][None, :], np.iinfo(np.int64).max).argmin(axis=1)
-            new = root[near]
+        rep, size, side = group["rep"], group["n_shingles"], group["side"]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right):
+            return rep[:0], rep[:0]
+        sets = [np.frombuffer(x, U64) for x in group["set"].to_pylist()]
+        both = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+        u, v = np.nonzero(100 * both >= percent * (size[left][:, None] + size[right][None, :] - both))
+        u, v = left[u], right[v]
+        order = np.argsort(np.argsort(rep, kind="stable"), kind="stable")  # the smallest rep of a part is its root
+        root = order.copy()
+        while True:
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, u, low)
+            np.minimum.at(new, v, low)
             if (new == root).all():
-                return rep[rep != rep[root]], rep[root][rep != rep[root]]
+                break
             root = new
+        named = np.sort(rep, kind="stable")[root]
+        some = named != rep
+        return rep[some], named[some]
 
-    return _by_run(cut, ["node", "left", "right"], ["rep", "n_shingles", "set"], compare)
+    return _by_run(_dealt(rows, params), ["node", "left", "right"], ["rep", "n_shingles", "side", "set"], compare)
 
 
-def _shared_nodes(nodes: DataFrame, known: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """(node, rep, n, comp) of nodes that hold more than one component."""
-    sizes = scratch.save(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-    rows = nodes.join(sizes, "node")
-    if known is None:
-        return rows.withColumn("comp", F.col("rep"))
-    named = known.select(F.col("node").alias("rep"), "component")
-    rows = rows.join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    rows = scratch.save(rows, "rows")
-    mixed = rows.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
-    return scratch.save(rows.join(scratch.save(mixed, "mixed"), "node", "left_semi"), "rows")
+def _mixed(members: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """Rows (rep, comp, n_shingles, node) of nodes with more than ``least`` documents and more
+    than one component: with ``most``, whether the row is of the node's largest component, and
+    numbers and shingles of that and of the rest."""
+    each = members.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    top = F.max(F.struct("n", (-F.col("comp")).alias("c"), "s")).alias("top")
+    nodes = each.groupBy("node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("comps"), top)
+    nodes = nodes.where((F.col("n") > least) & (F.col("comps") > 1)).select(
+        "node", (-F.col("top.c")).alias("__top"), F.col("top.n").alias("n_most"), F.col("top.s").alias("s_most"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("s") - F.col("top.s")).alias("s_rest")
+    )
+    rows = members.join(scratch.save(nodes, "nodes"), "node")
+    return scratch.save(rows.withColumn("most", F.col("comp") == F.col("__top")).drop("__top"), "mixed")
 
 
 def _leader_pairs(rows: DataFrame, params: DedupParams, scratch: Scratch) -> DataFrame:
@@ -227,28 +265,30 @@ def _leader_pairs(rows: DataFrame, params: DedupParams, scratch: Scratch) -> Dat
         right = np.frombuffer(b"".join(y), np.uint32).reshape(len(x), slots)
         return pd.Series((left == right).sum(axis=1).astype("int32"))
 
-    leader = F.min_by(F.struct("rep", "comp", "n_shingles", "sig"), "rep").alias("leader")
+    leader = F.min_by(F.struct("rep", "n_shingles", "sig"), "rep").alias("leader")
     leaders = scratch.save(rows.groupBy("node").agg(leader), "leaders")
-    joined = rows.join(leaders, "node").where("comp <> leader.comp")
+    joined = rows.join(leaders, "node").where("rep <> leader.rep")
     sizes = F.col("n_shingles"), F.col("leader.n_shingles")
     joined = joined.where(100 * F.least(*sizes) >= params.percent * F.greatest(*sizes))
     joined = joined.where(equal("sig", "leader.sig") >= least)
     return joined.select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, params: DedupParams) -> DataFrame:
-    """(id, set) of the documents in ``ids``: their sorted shingles, 8 bytes each."""
-    wanted = F.broadcast(ids) if ids.count() <= params.broadcast_ids else ids
+def _sets(docs: DataFrame, wanted: DataFrame, params: DedupParams) -> DataFrame:
+    """(rep, set) of the representatives ``wanted`` (rep, doc_id, text_hash): their sorted
+    shingles, 8 bytes each. A row that is repeated counts once."""
+    small = F.broadcast(wanted) if wanted.count() <= params.broadcast_ids else wanted
     size = params.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, part in pieces(batch.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(words(part), size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(sets, pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(sets, pa.binary())], names=["rep", "set"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    return some.mapInArrow(run, "id long, set binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    some = rows.join(small, ["doc_id", "text_hash"]).select("rep", "text").mapInArrow(run, "rep long, set binary")
+    return some.groupBy("rep").agg(F.first("set").alias("set"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, params: DedupParams) -> DataFrame:
@@ -266,10 +306,69 @@ def _confirm(pairs: DataFrame, sets: DataFrame, params: DedupParams) -> DataFram
             out.append(100 * both >= percent * (len(left) + len(right) - both))
         return pd.Series(out, dtype=bool)
 
-    first, second = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    first, second = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
     return pairs.join(first, "a").join(second, "b").where(linked("x", "y")).select("a", "b")
 
 
+def _memberships(reps: DataFrame, params: DedupParams, columns: list[str]) -> DataFrame:
+    """Rows of ``columns`` and node, one for each tree and child of a representative's first branching."""
+    trees = F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))
+    rows = reps.select(*columns, "sig", trees.alias("__tree")).withColumn("node", F.xxhash64(F.lit(5), "__tree"))
+    return _branch(rows, params, 0).select(*columns, "node")
+
+
+def _links(docs: DataFrame, reps: DataFrame, params: DedupParams, scratch: Scratch) -> DataFrame | None:
+    """(node, component) of the representatives (rep, doc_id, text_hash, n_shingles, sig) that have a link."""
+    found = reps.select("rep", "doc_id", "text_hash")
+    nodes = _memberships(reps, params, ["rep"])
+    sizes = scratch.save(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+    rows = scratch.save(nodes.join(sizes, "node").join(reps.select("rep", "n_shingles", "sig"), "rep"), "rows")
+    small, large = rows.where(F.col("n") <= params.small), rows.where(F.col("n") > params.small)
+    pairs = scratch.save(_small_pairs(small, params).union(_leader_pairs(large, params, scratch)).distinct(), "pairs")
+    some = scratch.save(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "some")
+    sets = scratch.save(_sets(docs, scratch.save(found.join(some, "rep"), "wanted"), params), "sets")
+    links = scratch.save(_confirm(pairs, sets, params), "links")
+    known = components(links, scratch)
+    scratch.drop(rows, sets, pairs)
+    named = reps.join(known, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sig", F.coalesce("component", "rep").alias("comp"))
+    named = scratch.save(named, "named")
+    members, leaves = _memberships(named, params, ["rep", "comp", "n_shingles"]), None
+    for level in range(params.levels + 1):
+        mixed = _mixed(members, params.small if level == 0 else 1, scratch)
+        ready = F.lit(level == params.levels) | (F.col("n_rest") <= params.rest)
+        leaves = mixed.where(ready) if leaves is None else leaves.unionByName(mixed.where(ready))
+        deep = mixed.where(~ready)
+        if deep.isEmpty():
+            break
+        deep = deep.select("rep", "comp", "n_shingles", "node").join(named.select("rep", "sig"), "rep")
+        members = scratch.save(_branch(deep, params, level + 1).select("rep", "comp", "n_shingles", "node"), "children")
+    if leaves.isEmpty():
+        return known
+    some = scratch.save(leaves.select("rep").distinct(), "some")
+    sets = scratch.save(_sets(docs, scratch.save(found.join(some, "rep"), "wanted"), params), "sets")
+    more = scratch.save(_leaf_links(leaves.join(sets, "rep"), params).distinct(), "links")
+    scratch.drop(sets)
+    return known if more.isEmpty() else components(links.union(more), scratch)
+
+
+def _classified(docs: DataFrame, params: DedupParams, scratch: Scratch) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, group, least) of every row: least is the smallest
+    (doc_id, text_hash) of its group; both are null where the row links with nothing by rule."""
+    sketched = scratch.save(sketch(docs, params), "sketch")
+    usable = sketched.where("n_shingles > 0 and doc_id is not null")
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    reps = usable.groupBy("rep").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    reps = scratch.save(reps.select("rep", "least.doc_id", "least.text_hash", "n_shingles", "sig"), "representatives")
+    known = _links(docs, reps, params, scratch)
+    named = reps.join(known, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("group"), F.struct("doc_id", "text_hash").alias("own"))
+    named = scratch.save(named, "grouped")
+    least = scratch.save(named.groupBy("group").agg(F.min("own").alias("least")), "least")
+    named = scratch.save(named.join(least, "group").select("rep", "group", "least"), "classes")
+    usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    rows = sketched.select("doc_id", "text_hash", "n_shingles", F.when(usable, F.col("rep")).alias("rep"))
+    return rows.join(named, "rep", "left").drop("rep")
+
+
 def classes(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -278,60 +377,25 @@ def classes(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     ``words`` words are one shingle.  Rows that repeat a doc_id are each judged by
     their own text; rows without a doc_id stay alone with a null component.
     """
-    scratch = Scratch(docs.sparkSession, "minhash")
-    sketched = scratch.save(sketch(docs, params), "sketch")
-    usable = sketched.where("n_shingles > 0 and doc_id is not null")
-    reps = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = scratch.save(reps, "representatives")
-    sigs = reps.select("rep", "n_shingles", "sig")
-    trees = F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))
-    nodes = sigs.select("rep", "sig", trees.alias("__tree")).select("rep", "sig", F.xxhash64(F.lit(5), "__tree").alias("node"))
-    nodes = _branch(nodes, params, 0).select("rep", "node")
-    rows = scratch.save(_shared_nodes(nodes, None, scratch).join(sigs, "rep"), "rows")
-    small, large = rows.where(F.col("n") <= params.small), rows.where(F.col("n") > params.small)
-    pairs = scratch.save(_small_pairs(small, params).union(_leader_pairs(large, params, scratch)).distinct(), "pairs")
-    ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = scratch.save(_sets(docs, ids, params), "sets")
-    links = scratch.save(_confirm(pairs, sets, params), "links")
-    scratch.drop(sets)
-    known = components(links, scratch)
-    large = scratch.save(_shared_nodes(large.select("rep", "node"), known, scratch), "large")
-    scratch.drop(rows)
-    if not large.isEmpty():
-        leaves = large.where(F.col("n") <= params.leaf)
-        large = large.where(F.col("n") > params.leaf)
-        for level in range(1, params.levels + 1):
-            children = _branch(large.select("rep", "node").join(sigs, "rep"), params, level).select("rep", "node")
-            large = _shared_nodes(scratch.save(children, "children"), known, scratch)
-            leaf = F.lit(level == params.levels) | (F.col("n") <= params.leaf)
-            leaves, large = leaves.union(large.where(leaf)), large.where(~leaf)
-            if large.isEmpty():
-                break
-        leaves = scratch.save(leaves.select("node", "rep", "n"), "leaves")
-        sets = scratch.save(_sets(docs, scratch.save(leaves.select(F.col("rep").alias("id")).distinct(), "ids"), params), "sets")
-        sets = sets.select(F.col("id").alias("rep"), "set").join(reps.select("rep", "n_shingles"), "rep")
-        more = scratch.save(_leaf_links(leaves.join(sets, "rep"), params).distinct(), "links")
-        known = components(links.union(more), scratch)
-    named = reps.select("h1", "h2", "rep").join(known, F.col("rep") == F.col("node"), "left")
-    named = scratch.save(named.select("h1", "h2", F.coalesce("component", "rep").alias("__component")), "classes")
-    rows = sketched.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return rows.select("doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("__component")).alias("component_id"))
+    rows = _classified(docs.select("doc_id", "text"), params, Scratch(docs.sparkSession, "minhash"))
+    return rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group alone, all columns kept.
+    """``docs`` with one row of each group alone, that of the smallest doc_id, all columns kept.
 
     Rows without words stay, and so do rows without a doc_id.  Of rows that repeat
     both doc_id and text one stays.  What goes is found by (doc_id, hash of the
     text), and sent to all tasks while it is small.
     """
     scratch = Scratch(docs.sparkSession, "deduplicated")
-    found = scratch.save(classes(docs.select("doc_id", "text"), params), "decided")
-    gone = scratch.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone")
-    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
-    again = scratch.save(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "repeated")
-    small = lambda ids: F.broadcast(ids) if ids.count() <= params.broadcast_ids // 2 else ids  # noqa: E731  16 bytes each
+    found = scratch.save(_classified(docs.select("doc_id", "text"), params, scratch).where("group is not null"), "decided")
+    own = F.struct("doc_id", "text_hash")
+    named = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    gone = scratch.save(found.where(own != F.col("least")).select(*named).distinct(), "gone")
+    again = found.where(own == F.col("least")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = scratch.save(again.select(*named), "repeated")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= params.broadcast_ids else ids  # noqa: E731  16 bytes each
     hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
     same = lambda ids: (F.col("doc_id") == ids["__id"]) & (F.col("__text_hash") == ids["__hash"])
     kept = hashed.join(small(gone), same(gone), "left_anti")

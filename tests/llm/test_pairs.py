@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import components, embedding_dedup, minhash_dedup
 from quillspark.scratch import Scratch
@@ -63,6 +64,48 @@ def test_minhash_against_brute_force(spark, small):
     assert {r["doc_id"]: r["component_id"] for r in found} == component
 
 
+def test_minhash_where_ids_repeat(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "AB"}
+    rows = [(3, text["A"] + " x"), (5, text["A"]), (5, text["B"]), (9, text["B"] + " y"), (5, text["A"].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash_dedup.classes(docs).join(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"]).collect()
+    assert {(r["text"][:2].upper(), r["doc_id"], r["component_id"]) for r in found} == {("A0", 3, 3), ("A0", 5, 3), ("B0", 5, 5), ("B0", 9, 5)}
+    kept = minhash_dedup.deduplicated(docs).collect()
+    assert sorted((r["doc_id"], r["text"][:2]) for r in kept) == [(3, "A0"), (5, "B0")]
+
+
+def test_minhash_in_a_node_of_near_copies_and_a_shared_passage(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for i in range(900):  # near copies of one text
+        copy = list(base)
+        copy[rng.randrange(80)] = f"x{i}"
+        texts.append(copy)
+    for i in range(500):  # texts of their own that share a passage of most of their words
+        own = passage + [rng.choice(vocabulary) for _ in range(20)]
+        texts.append(own)
+        if i % 10 == 0:
+            near = list(own)
+            near[-4] = f"y{i}"
+            texts.append(near + ["tail"])
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect = _brute(rows, 5)[1]
+    for params in (minhash_dedup.DedupParams(), minhash_dedup.DedupParams(small=10, rest=30, block=50)):
+        assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.classes(docs, params).collect()} == expect
+
+
+def test_minhash_of_a_very_long_text(spark):
+    long_ = " ".join(f"v{i % 70_001}" for i in range(150_000))
+    rows = [(1, long_), (2, long_ + " end"), (3, "short text of five words")]
+    found = minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3}
+
+
 def test_deduplicated_keeps_other_columns_and_odd_rows(spark):
     long_ = " ".join(f"a{i}" for i in range(40))
     rows = [(1, long_, 7), (2, long_ + " more", 8), (2, long_ + " more", 8), (3, "other words", 9), (3, "other words", 9), (None, long_, 1), (4, None, 2), (5, "", 3)]
