@@ -130,7 +130,7 @@ def test_quality_odd_texts(spark):
     assert len({tuple(r) for r in out}) == 1
 
 
-PARAMS = hmm.HmmParams(states=3, symbols=20, classes=5, head=60, sample=200, starts=4, segment=8)
+PARAMS = hmm.HmmParams(states=3, symbols=20, classes=5, head=60, sample=2_000, starts=4, segment=8)
 
 
 def _hmm_rows():
@@ -161,11 +161,11 @@ def test_forward_equals_the_sum_over_paths():
     k, m = 2, 4
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
     model = hmm.Hmm(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((m, k)), 0))
-    texts = [[0, 2, 1], [], [1], [2, 2, 0, 1, 1]]
+    texts = [[0, 2, 1, 3], [3], [1, 3], [2, 2, 0, 1, 1, 3]]
     flat, ends = np.array([s for t in texts for s in t]), np.cumsum([len(t) for t in texts])
-    got = hmm.forward(flat, ends, m - 1, model)
-    for i, text in enumerate(texts):
-        seq, total = [*text, m - 1], 0.0
+    got = hmm.forward(hmm.segments(flat, ends, m, 2), model)
+    for i, seq in enumerate(texts):
+        total = 0.0
         for path in np.ndindex(*(k,) * len(seq)):
             p = model.start[path[0]]
             for t, s in enumerate(path):
@@ -174,17 +174,44 @@ def test_forward_equals_the_sum_over_paths():
         assert math.isclose(got[i], math.log10(total), rel_tol=1e-9)
 
 
-def test_expected_counts_add_up_and_raise_the_likelihood():
+def _uncut(seq, model):
+    """Expected counts and log likelihood of one sequence, by the textbook recursions."""
+    n, k = len(seq), len(model.start)
+    alpha, scale = np.zeros((n, k)), np.zeros(n)
+    for t in range(n):
+        now = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[seq[t]]
+        scale[t] = now.sum()
+        alpha[t] = now / scale[t]
+    beta, move, emit = np.ones(k), np.zeros((k, k)), np.zeros_like(model.emit)
+    for t in range(n - 1, -1, -1):
+        emit[seq[t]] += alpha[t] * beta
+        if t:
+            ahead = model.emit[seq[t]] * beta / scale[t]
+            move += alpha[t - 1][:, None] * model.move * ahead[None, :]
+            beta = model.move @ ahead
+    return alpha[0] * beta, move, emit, np.log(scale).sum()
+
+
+def test_expected_counts_equal_those_of_uncut_texts():
     rng = np.random.default_rng(3)
-    rows = hmm._segments(rng.integers(0, 5, 200), np.array([70, 70, 120, 200]), 5, 16)
-    assert (rows < 6).sum() == 200 + 4
+    symbol, ends = rng.integers(0, 6, 3_000), np.array([1, 70, 134, 135, 3_000])
     params = hmm.HmmParams(states=3, prior=0.1)
-    model, last = hmm._first(rows, 6, params), -np.inf
+    segs = hmm.segments(symbol, ends, 6, 16)
+    assert (segs.rows < 6).sum() == 3_000
+    model, last = hmm._beginning(np.bincount(symbol, minlength=6), params), -np.inf
     for _ in range(4):
-        start, move, emit, log = hmm.expect(rows, model)
-        assert math.isclose(emit.sum(), 204) and math.isclose(start.sum(), len(rows)) and math.isclose(move.sum(), 204 - len(rows))
-        assert log > last - 0.5
-        model, last = hmm._maximise(start, move, emit, params), log
+        got = hmm.expect(segs, model, chunk=50)
+        want = [sum(x) for x in zip(*(_uncut(symbol[a:b], model) for a, b in zip([0, *ends[:-1]], ends)))]
+        assert all(np.allclose(x, y, rtol=1e-8) for x, y in zip(got, want))
+        assert got[3] > last - 0.5
+        model, last = hmm._maximise(*got[:3], params), got[3]
+
+
+def test_hmm_repeated_rows_and_a_very_long_text(spark):
+    rows = [(1, "same text here", False)] * 40 + [(2, " ".join(f"w{i % 97}" for i in range(60_000)), False), (3, "same other", True), (3, "same other", True)]
+    out = hmm.language_model(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), PARAMS).collect()
+    assert len(out) == len(rows) and len({tuple(r) for r in out}) == 3
+    assert all(np.isfinite(r["score"]) for r in out) and {r["n_tokens"] for r in out} == {4, 60_001, 3}
 
 
 def test_hmm_empty_table(spark):
