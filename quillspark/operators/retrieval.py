@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import constants as C
 from quillspark.functions import text as T
+from quillspark.scratch import Scratch
 
 #: Queries of one batch at most; more belong into several batches.
 MOST_QUERIES = 10_000
@@ -25,12 +26,17 @@ def top_k(rows: DataFrame, k: int, by: list[str], order: list[Column], rank: str
     return rows.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def against(corpus: DataFrame, queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
-    """Every corpus row with every query of a batch whose size is checked."""
+def batch(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """A batch of queries, its size checked, to be sent to all tasks."""
     n = queries.count()
     if n > most:
         raise ValueError(f"{n} queries; a batch holds {most} at most")
-    return corpus.crossJoin(F.broadcast(queries))
+    return F.broadcast(queries)
+
+
+def against(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every corpus row with every query of a batch whose size is checked."""
+    return corpus.crossJoin(batch(queries))
 
 
 def cosine(a: Column, b: Column, full_norms: bool = False) -> Column:
@@ -73,34 +79,71 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", phrase.alias("phrase"), F.array_distinct(F.transform(T.terms(phrase), lambda t: t["term"])).alias("query_terms"))
 
 
+def _containing(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, df, term, times): the terms that occur in each word, and how often without overlap.
+
+    A word is cut into its parts of the lengths that terms have, which meet the terms
+    by equality; so the cost follows the vocabulary, not vocabulary times terms."""
+    lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())  # a few small numbers
+    size = F.length("word")
+    of = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), size - (k - 1)), lambda i: F.substr("word", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.flatten(F.array(*(of(k) for k in lengths)))) if lengths else F.array().cast("array<string>")
+    pairs = vocabulary.withColumn("term", F.explode(parts)).join(F.broadcast(terms), "term")
+    return pairs.withColumn("times", T.non_overlapping(F.col("word"), F.col("term")))
+
+
 def lexical_track(queries: DataFrame, corpus: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, by, id, score, rank): occurrences of the query's terms in ``low`` (cleaned,
     lower-cased text), inside words too, and 3 more if the whole query occurs.
 
-    ``by``: columns of ``corpus``; each of their groups has its own ``k`` best."""
-    rows = against(corpus.select(*by, "id", "low"), query_terms(queries).where("phrase <> ''"))
-    counted = F.aggregate("query_terms", F.lit(0), lambda s, t: s + T.non_overlapping(F.col("low"), t))
-    score = (counted + F.when(F.contains("low", "phrase"), 3).otherwise(0)).cast("double")
-    rows = rows.select("query_id", *by, "id", score.alias("score")).where("score > 0")
+    ``by``: columns of ``corpus``; each of their groups has its own ``k`` best.  ``id``
+    names a row.  Terms lie within runs of their own kind of character, so they are
+    looked for in the distinct words, and words' counts are joined; the whole query
+    is looked for only in texts that hold its rarest term.
+    """
+    scratch, keys = Scratch(corpus.sparkSession, "lexical"), [*by, "id"]
+    asked = scratch.save(query_terms(queries).where("phrase <> ''"), "asked")
+    each = batch(asked).select("query_id", F.explode("query_terms").alias("term"))
+    words = corpus.select(*keys, F.explode(F.regexp_extract_all("low", F.lit(f"{C.ASCII_TOKEN}|{C.CJK_RUN}"), F.lit(0))).alias("word"))
+    words = scratch.save(words.groupBy(*keys, "word").agg(F.count("*").alias("n")), "words")
+    pairs = _containing(words.groupBy("word").agg(F.count("*").alias("df")), each.select("term").distinct())
+    pairs = scratch.save(pairs, "pairs")
+    weights = pairs.join(F.broadcast(each), "term").groupBy("word", "query_id").agg(F.sum("times").alias("times"))
+    counted = words.join(weights, "word").groupBy("query_id", *keys).agg(F.sum(F.col("n") * F.col("times")).alias("counted"))
+
+    common = pairs.groupBy("term").agg(F.sum("df").alias("df"))
+    rarest = each.join(common, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    holding = rarest.join(pairs.select("term", "word"), "term").join(words, "word").select("query_id", *keys).distinct()
+    texts = holding.join(F.broadcast(asked.select("query_id", "phrase")), "query_id").join(corpus.select(*keys, "low"), keys)
+    whole = texts.where(F.contains("low", "phrase")).select("query_id", *keys, F.lit(3).alias("bonus"))
+    rows = counted.join(whole, ["query_id", *keys], "left").select("query_id", *keys, (F.col("counted") + F.coalesce("bonus", F.lit(0))).cast("double").alias("score"))
+    bare = asked.where(F.size("query_terms") == 0)  # marks alone: every text is asked
+    if not bare.isEmpty():
+        found = against(corpus.select(*keys, "low"), bare).where(F.contains("low", "phrase"))
+        rows = rows.union(found.select("query_id", *keys, F.lit(3.0).alias("score")))
     return top_k(rows, k, ["query_id", *by], [F.desc("score"), F.asc("id")])
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """(term, id, weight) of ``corpus`` (id, low)."""
-    return corpus.select("id", F.explode(T.terms(F.col("low"))).alias("t")).groupBy("id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight"))
+    """(term, id, weight, length) of ``corpus`` (id, low); length is the row's sum of weights. A table: written once, read by every branch."""
+    found = corpus.select("id", T.terms(F.col("low")).alias("t"))
+    length = F.aggregate("t", F.lit(0.0), lambda s, t: s + t["weight"])
+    each = found.select("id", length.alias("length"), F.explode("t").alias("t"))
+    index = each.groupBy("id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight"), F.first("length").alias("length"))
+    return Scratch(corpus.sparkSession, "postings").save(index.select("term", "id", "weight", "length"), "index")
 
 
 def bm25_track(queries: DataFrame, index: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 over ``index`` (term, id, weight).
+    """(query_id, id, score, rank) by BM25 over ``index``, a table of :func:`postings`.
 
-    Only postings of query terms are read past the join, so a query costs what
+    Postings of other terms are dropped in the scan's own stage, so a query costs what
     its terms' postings do.
     """
-    lengths = index.groupBy("id").agg(F.sum("weight").alias("length"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = query_terms(queries).select("query_id", F.explode("query_terms").alias("term"))
-    df = index.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = index.join(F.broadcast(asked), "term").join(df, "term").join(lengths, "id").crossJoin(F.broadcast(whole))
+    whole = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = batch(query_terms(queries)).select("query_id", F.explode("query_terms").alias("term"))
+    kept = index.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    df = kept.groupBy("term").agg(F.count("*").alias("df"))
+    hits = kept.join(F.broadcast(asked.join(df, "term")), "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("weight") * (k1 + 1) / (F.col("weight") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     rows = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -110,24 +153,35 @@ def bm25_track(queries: DataFrame, index: DataFrame, k: int, k1: float = 1.2, b:
 def sparse_track(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) by inner product over hashed dimensions.
 
-    ``queries`` (query_id, query). Terms become dimensions once each, not once a posting.
+    ``queries`` (query_id, query). Terms become dimensions once each, not once a posting;
+    postings of other dimensions are dropped before they are shuffled.
     """
-    asked = queries.select("query_id", F.explode(T.terms(F.lower(T.clean(F.col("query"))))).alias("t"))
+    asked = batch(queries).select("query_id", F.explode(T.terms(F.lower(T.clean(F.col("query"))))).alias("t"))
     asked = asked.groupBy("query_id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("query_weight"))
-    dims = index.select("term").union(asked.select("term")).distinct().withColumn("dim", T.sparse_dimension("term"))
-    left = asked.join(dims, "term").groupBy("query_id", "dim").agg(F.sum("query_weight").alias("query_weight"))
+    left = asked.withColumn("dim", T.sparse_dimension("term")).groupBy("query_id", "dim").agg(F.sum("query_weight").alias("query_weight"))
+    dims = index.select("term").distinct().withColumn("dim", T.sparse_dimension("term"))
+    dims = dims.join(F.broadcast(left.select("dim").distinct()), "dim", "left_semi")
     right = index.join(dims, "term").groupBy("id", "dim").agg(F.sum("weight").alias("weight"))
     rows = right.join(F.broadcast(left), "dim").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score"))
     return top_k(rows.where("score > 0"), k, ["query_id"], [F.desc("score"), F.asc("id")])
 
 
-def sparse_literal(index: DataFrame) -> DataFrame:
-    """(id, literal): ``{dim:weight,...}`` by dimension; rows without terms are not there."""
+def merged(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of two lexical tracks as one: of an id in both the better
+    score counts, ties go to the first track, then to the smaller id."""
+    rows = first.select("query_id", "id", "score", F.lit(1).alias("t")).union(second.select("query_id", "id", "score", F.lit(2).alias("t")))
+    best = rows.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min("t").alias("t"))
+    return top_k(best, k, ["query_id"], [F.desc("score"), F.asc("t"), F.asc("id")]).drop("t")
+
+
+def sparse_literal(index: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, literal): ``{dim:weight,...}`` by dimension; null for those of ``ids`` without terms."""
     dims = index.select("term").distinct().withColumn("dim", T.sparse_dimension("term"))
     summed = index.where("weight > 0").join(dims, "term").groupBy("id", "dim").agg(F.sum("weight").alias("weight"))
     part = F.concat(F.col("dim").cast("string"), F.lit(":"), T.number_literal(F.col("weight")))
     ordered = F.array_sort(F.collect_list(F.struct("dim", part.alias("part"))))
-    return summed.groupBy("id").agg(F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda x: x["part"]), ","), F.lit("}")).alias("literal"))
+    rows = summed.groupBy("id").agg(F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda x: x["part"]), ","), F.lit("}")).alias("literal"))
+    return rows if ids is None else ids.select("id").join(rows, "id", "left")
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, raw_single: bool = True, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -182,21 +236,3 @@ def contexts(cited: DataFrame, queries: DataFrame) -> DataFrame:
     joined = lines.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "line"))).alias("x"))
     text = F.array_join(F.transform("x", lambda r: r["line"]), "\n\n")
     return queries.select("query_id").join(joined, "query_id", "left").select("query_id", F.coalesce(text, F.lit("(无检索结果)")).alias("context"))
-
-
-def lsh_candidates(queries: DataFrame, corpus: DataFrame, planes: int = 12, tables: int = 4, seed: int = 1) -> DataFrame:
-    """Approximate candidates (query_id, id): vectors that share a signature of random
-    hyperplanes with a query in any table. Score them with :func:`cosine` afterwards."""
-
-    def keys(v: Column) -> Column:
-        def side(table: int, plane: int) -> Column:
-            # a plane's component at i is a hash of (table, plane, i) spread over -1 .. 1
-            weight = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(table), F.lit(plane), i), F.lit(2001)) / 1000.0 - 1.0
-            dot = F.aggregate(F.transform(v.cast("array<double>"), lambda x, i: x * weight(i)), F.lit(0.0), lambda s, x: s + x)
-            return F.when(dot > 0, "1").otherwise("0")
-
-        return F.array(*(F.concat(F.lit(f"{t}:"), *(side(t, p) for p in range(planes))) for t in range(tables)))
-
-    left = queries.select("query_id", F.explode(keys(F.col("query_vector"))).alias("key"))
-    right = corpus.where(F.size("vector") > 0).select("id", F.explode(keys(F.col("vector"))).alias("key"))
-    return right.join(F.broadcast(left), "key").select("query_id", "id").distinct()

@@ -15,7 +15,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
     rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("source").alias("kb"), F.col("lang").alias("doc_kind"), "n_chars", "text")
     status = F.when(F.col("toxic") == 1, "disabled").otherwise("ready")
-    return rows.join(labels, "id", "left").join(events, "id").withColumn("status", status).drop("toxic")
+    return rows.join(labels, "id", "left").join(events, "id", "left").withColumn("status", status).drop("toxic")
 
 
 def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -66,9 +66,9 @@ def receipts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), step.alias("step"), status.alias("status"), F.col("l_shipdate").alias("ts"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
 
 
-def questions(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
-    """query_id, query, query_vector: the first ``k`` benchmark items with the vectors of the same ids."""
-    rows = table(spark, d, "benchmark").where(F.col("item_id") < k).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, query, query_vector: all benchmark items with the vectors of the same ids."""
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return rows.join(vectors, "query_id", "left")
 
@@ -87,7 +87,7 @@ def searchable(spark: SparkSession, d: str) -> DataFrame:
 DOC = """doc AS (
   SELECT d.doc_id AS id, d.source AS kb, d.lang AS doc_kind, d.n_chars, d.text, e.ts AS created_at,
          CASE WHEN l.toxic = 1 THEN 'disabled' ELSE 'ready' END AS status
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id JOIN events e ON e.event_id = d.doc_id)"""
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN events e ON e.event_id = d.doc_id)"""
 KB = """kb AS (SELECT DISTINCT source AS kb, 'Base ' || source AS name, NOT ends_with(source, '7') AS is_active FROM documents)"""
 USR = """usr AS (
   SELECT c_custkey AS user_id, c_name AS username, CASE WHEN c_custkey % 50 = 0 THEN 'admin' ELSE 'user' END AS role,
@@ -122,7 +122,7 @@ SEARCH = f"""live AS (
   FROM doc d LEFT JOIN embeddings v ON v.vec_id = d.id WHERE d.status NOT IN ('disabled', 'deleting')),
 ask AS (
   SELECT b.item_id AS query_id, lower({clean_sql('b.text')}) AS phrase, CAST(v.embedding AS DOUBLE[]) AS query_vector
-  FROM benchmark b LEFT JOIN embeddings v ON v.vec_id = b.item_id WHERE b.item_id < 5),
+  FROM benchmark b LEFT JOIN embeddings v ON v.vec_id = b.item_id),
 ask_term AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(phrase, '[a-z0-9_]+')) AS term FROM ask)"""
 DENSE = """dense AS (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (

@@ -103,7 +103,7 @@ def sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
     from quillspark.operators import retrieval as R
 
     corpus = B.docs(spark, d).select("id", F.lower(T.clean(F.col("text"))).alias("low"))
-    return R.sparse_literal(R.postings(corpus))
+    return R.sparse_literal(R.postings(corpus), corpus)
 
 
 @query()

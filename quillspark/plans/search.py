@@ -88,11 +88,12 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     return R.contexts(_cited(spark, d).withColumn("document_title", F.lit("")), B.questions(spark, d))
 
 
-@query(
-    f"""{_CITED}, kw AS (SELECT query_id, list_distinct(regexp_extract_all(phrase, '[a-z0-9_]+')) AS k0, phrase FROM ask),
+_GOLDEN = f"""{_CITED}, kw AS (SELECT query_id, list_distinct(regexp_extract_all(phrase, '[a-z0-9_]+')) AS k0, phrase FROM ask),
 kws AS (SELECT query_id, list_sort(k0)[1:5] AS keywords FROM kw), blob AS (SELECT a.query_id, lower('' || coalesce(chr(10) || string_agg(c.snippet, chr(10) ORDER BY c.index), '')) AS blob, count(c.id) AS n FROM ask a LEFT JOIN cited c USING (query_id) GROUP BY 1)
 SELECT query_id, round(len(list_filter(keywords, lambda k: contains(blob, k))) / len(keywords), 4) AS keyword_hit_ratio, n AS citation_count FROM kws JOIN blob USING (query_id)"""
-)
+
+
+@query(_GOLDEN)
 def golden_eval(spark: SparkSession, d: str) -> DataFrame:
     phrase = F.lower(T.clean(F.col("query")))
     keywords = F.slice(F.array_sort(F.array_distinct(F.transform(T.terms(phrase), lambda t: t["term"]))), 1, 5)
@@ -100,7 +101,10 @@ def golden_eval(spark: SparkSession, d: str) -> DataFrame:
     return analytics.evaluation(cases, _cited(spark, d))
 
 
-@query()
+@query(
+    f"""SELECT count(*) AS cases, round(avg(CASE WHEN citation_count > 0 THEN 1 ELSE 0 END), 4) AS coverage, round(avg(keyword_hit_ratio), 4) AS keyword_hit_ratio,
+round(avg(citation_count), 3) AS citations FROM ({_GOLDEN})"""
+)
 def golden_summary(spark: SparkSession, d: str) -> DataFrame:
     return analytics.evaluation_summary(golden_eval(spark, d))
 
@@ -109,16 +113,16 @@ def _by_kb(spark: SparkSession, d: str) -> DataFrame:
     """Fused tracks within each base that user 7 may read, merged without rescaling."""
     seen = G.accessible(B.users(spark, d).where("user_id = 7"), B.kbs(spark, d), B.permissions(spark, d)).select("kb")
     corpus = B.searchable(spark, d).join(F.broadcast(seen), "kb", "left_semi")
-    asked = B.questions(spark, d, 2)
+    asked = B.questions(spark, d)
     dense, lexical = R.dense_track(asked, corpus, 20, by=("kb",)), R.lexical_track(asked, corpus, 20, by=("kb",))
     return R.fuse(dense, lexical, 20, by=("query_id", "kb"))
 
 
 _BY_KB = f"""WITH {B.DOC}, {B.KB}, {B.USR}, {B.PERM}, seen AS (SELECT p.kb FROM perm p JOIN kb USING (kb) WHERE p.user_id = 7 AND kb.is_active), {B.SEARCH},
-d AS (SELECT * FROM (SELECT a.query_id, l.kb, l.id, round(list_cosine_similarity(a.query_vector, l.vector), 6) AS score FROM live l, ask a WHERE a.query_id < 2 AND l.kb IN (SELECT kb FROM seen)) WHERE score > 0
+d AS (SELECT * FROM (SELECT a.query_id, l.kb, l.id, round(list_cosine_similarity(a.query_vector, l.vector), 6) AS score FROM live l, ask a WHERE l.kb IN (SELECT kb FROM seen)) WHERE score > 0
   QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) <= 20),
 x AS (SELECT * FROM (SELECT a.query_id, l.kb, l.id, CAST(sum((length(l.low) - length(replace(l.low, t.term, ''))) // length(t.term)) + any_value(CASE WHEN contains(l.low, a.phrase) THEN 3 ELSE 0 END) AS DOUBLE) AS score
-  FROM live l, ask a JOIN ask_term t ON t.query_id = a.query_id WHERE a.query_id < 2 AND l.kb IN (SELECT kb FROM seen) GROUP BY 1, 2, 3) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) <= 20),
+  FROM live l, ask a JOIN ask_term t ON t.query_id = a.query_id WHERE l.kb IN (SELECT kb FROM seen) GROUP BY 1, 2, 3) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) <= 20),
 t AS (SELECT 1 AS track, *, row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) AS rank FROM d UNION ALL SELECT 2, *, row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) FROM x),
 n AS (SELECT query_id, kb, count(DISTINCT track) AS tracks FROM t GROUP BY 1, 2),
 m AS (SELECT query_id, kb, id, round(CASE WHEN any_value(tracks) = 1 THEN max(score) ELSE sum(1.0 / (60 + rank)) / (any_value(tracks) / 61.0) END, 6) AS score, max(CASE WHEN track = 1 THEN rank END) AS r1, max(CASE WHEN track = 2 THEN rank END) AS r2
@@ -142,9 +146,13 @@ def export_rows(spark: SparkSession, d: str) -> DataFrame:
     return files.export_rows(hits)
 
 
-@query()
-def ann_candidates(spark: SparkSession, d: str) -> DataFrame:
+@query(
+    f"""{_VIEWS} SELECT query_id, vec_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (
+  SELECT a.query_id, e.vec_id, round(list_cosine_similarity(a.query_vector, CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, ask a WHERE len(e.embedding) = len(a.query_vector))
+WHERE score > 0 QUALIFY rank <= {K}"""
+)
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The index scan without joins: whole table of vectors, exact."""
     asked = B.questions(spark, d).select("query_id", "query_vector")
     corpus = files.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    # exact: neighbours of these vectors are too far for signatures, which lost most of them
     return R.dense_track(asked, corpus, K)
