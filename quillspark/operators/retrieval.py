@@ -128,7 +128,7 @@ def postings(corpus: DataFrame) -> DataFrame:
     """(term, id, weight, length) of ``corpus`` (id, low); length is the row's sum of weights. A table: written once, read by every branch."""
     found = corpus.select("id", T.terms(F.col("low")).alias("t"))
     length = F.aggregate("t", F.lit(0.0), lambda s, t: s + t["weight"])
-    each = found.select("id", length.alias("length"), F.explode("t").alias("t"))
+    each = found.select("id", "t", length.alias("length")).select("id", "length", F.explode("t").alias("t"))  # the array ends here, no row copies it
     index = each.groupBy("id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight"), F.first("length").alias("length"))
     return Scratch(corpus.sparkSession, "postings").save(index.select("term", "id", "weight", "length"), "index")
 
