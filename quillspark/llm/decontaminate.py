@@ -31,7 +31,8 @@ class DecontaminationParams:
     part of a segment's own score from which it is retrieved. ``block`` postings of a list have
     one maximum, and so have ``aligned`` neighbouring segments. ``shingle`` words and
     ``overlap``: what verifies. ``items``: items of one index at most, which bounds what is
-    sent to tasks; more items make more indexes, each of which reads all passages."""
+    sent to tasks at once; more items make more indexes, all of which one scan of the passages
+    asks. Words are weighed over all items, so scores don't depend on it."""
 
     segment: int = 48
     retrieve: float = 0.6
@@ -50,29 +51,54 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
+def _cut(found: Words, size: int) -> tuple[list[int], list[np.ndarray]]:
+    """The item and the words of every segment."""
+    owners, out = [], []
+    for i, n in enumerate(found.counts):
+        own = found.hashes[found.ends[i] - n : found.ends[i]]
+        for part in np.array_split(own, max(1, -(-n // size))):
+            if len(part):
+                owners.append(i)
+                out.append(part)
+    return owners, out
+
+
+class Statistics:
+    """Of the segments of all items: their number, mean length, and how many hold each word."""
+
+    def __init__(self, segment: int):
+        self.segment, self.n, self.words = segment, 0, 0
+        self.vocabulary, self.df = np.zeros(0, U64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> Statistics:
+        _, segments = _cut(words(pa.array(texts, pa.string()), MARKS), self.segment)
+        own, counts = np.unique(np.concatenate([np.zeros(0, U64), *map(np.unique, segments)]), return_counts=True)
+        every, where = np.unique(np.concatenate([self.vocabulary, own]), return_inverse=True)
+        self.df = np.bincount(where, weights=np.concatenate([self.df, counts]), minlength=len(every)).astype(np.int64)
+        self.vocabulary, self.n, self.words = every, self.n + len(segments), self.words + sum(map(len, segments))
+        return self
+
+
 class Index:
-    """Impact-ordered postings with block maxima, and what verification needs."""
+    """Impact-ordered postings with block maxima, and what verification needs.
+
+    ``whole``: of all items, where these are a part of them."""
 
-    def __init__(self, items: list[tuple[int, str]], params: DecontaminationParams):
+    def __init__(self, items: list[tuple[int, str]], params: DecontaminationParams, whole: Statistics | None = None):
         self.params, self.ids = params, [i for i, _ in items]
+        self.statistics = whole or Statistics(params.segment).add([t for _, t in items])
         texts = pa.array([t for _, t in items], pa.string())
         found = words(texts, MARKS)
         split = [question_and_answer(t) for _, t in items]
         self.whole = self._parts(found)
         self.question, self.answer = (self._parts(words(pa.array([s[k] for s in split], pa.string()), MARKS)) for k in (0, 1))
         self._list_shingles()
-        self.item_of, segments = [], []
-        for i, n in enumerate(found.counts):
-            own = found.hashes[found.ends[i] - n : found.ends[i]]
-            parts = max(1, -(-n // params.segment))
-            for part in np.array_split(own, parts):
-                if len(part):
-                    self.item_of.append(i)
-                    segments.append(part)
+        self.item_of, segments = _cut(found, params.segment)
         self.vocabulary = np.unique(np.concatenate(segments)) if segments else np.zeros(0, U64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.vocabulary >> U64(44)).astype(np.int64)] = True
         self._weigh(segments)
+        self.statistics = None  # not sent to tasks
 
     def _parts(self, found: Words) -> list[tuple[np.ndarray, int]]:
         """Of each text its distinct shingles and its number of words."""
@@ -103,9 +129,10 @@ class Index:
             terms, counts = np.unique(np.searchsorted(self.vocabulary, s), return_counts=True)
             rows.append(terms), cols.append(np.full(len(terms), j)), freq.append(counts)
         terms, segs, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, freq))
-        df = np.bincount(terms, minlength=len(self.vocabulary))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[terms] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * lengths[segs] / max(lengths.mean() if n else 1, 1)))
+        whole = self.statistics
+        df = whole.df[np.searchsorted(whole.vocabulary, self.vocabulary)]
+        idf = np.log1p((whole.n - df + 0.5) / (df + 0.5))
+        impact = idf[terms] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * lengths[segs] / max(whole.words / max(1, whole.n), 1)))
         own = np.bincount(segs, weights=impact, minlength=n)
         impact = impact / np.maximum(own[segs], 1e-12)
         order = np.lexsort((segs, terms))
@@ -258,25 +285,29 @@ def matches(docs: DataFrame, items: DataFrame, params: DecontaminationParams = D
     usable = items.select(F.col("item_id").cast("long"), "text").where("text is not null and item_id is not null")
     shards = max(1, -(-usable.count() // params.items))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
-    found = None
+
+    def part(shard: int) -> list[tuple[int, str]]:
+        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text")
+        return [(r["item_id"], r["text"]) for r in rows.collect()]
+
+    whole = Statistics(params.segment)
     for shard in range(shards):
-        part = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text")
-        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.collect()], params))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                ids = batch.column(0)
-                for start, texts in pieces(batch.column(1)):
-                    rows = list(search(texts, index))
-                    if rows:
+        whole.add([t for _, t in part(shard)])
+    shared = [spark.sparkContext.broadcast(Index(part(shard), params, whole)) for shard in range(shards)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for start, texts in pieces(batch.column(1)):
+                for index in (s.value for s in shared):
+                    if rows := list(search(texts, index)):
                         columns = list(zip(*rows))
                         own = ids.take(pa.array([start + r for r in columns[0]], pa.int64()))
                         item = pa.array([index.ids[i] for i in columns[1]], pa.int64())
                         yield pa.RecordBatch.from_arrays([own, item, *(pa.array(c, pa.float64()) for c in columns[2:])], names=[c.split()[0] for c in schema.split(", ")])
 
-        rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-        found = rows if found is None else found.union(rows)
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
     enough = F.lit(params.overlap - 1e-9)
     both = (F.col("question_overlap") >= enough) & (F.col("answer_overlap") >= enough)
+    found = found.withColumn("score", F.round("score", 9))  # sums in another order differ beyond
     return found.withColumn("leaked", (F.col("overlap") >= enough) | both)

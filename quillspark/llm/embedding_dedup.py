@@ -50,7 +50,7 @@ class GraphParams:
     alpha: float = 1.2
     beam: int = 12
     audit: int = 64
-    recall: float = 0.95
+    recall: float = 0.99
     seed: int = 23
 
 

@@ -9,7 +9,6 @@ to the second language says how sure that is; narrow margins can be rejected.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,21 +19,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LETTER = re.compile(r"[^\W\d_]")
+from quillspark.llm.shards import row_key
 
 
 @dataclass(frozen=True)
 class LangParams:
     """``rows``: labelled rows that a language's dictionary is made of, about.
-    ``dictionary``: bytes of a dictionary. ``piece``: bytes that one row adds to it at most,
-    from a place given by a hash. ``languages``: the commonest labels that are learned.
+    ``dictionary``: bytes of a dictionary. ``piece``: bytes of a row's text that it is made
+    of at most, from a place given by a hash. ``languages``: more labels are refused, as
+    what is sent to tasks would have no bound.
     ``segment``: bytes compressed together. ``margin``: part by which the second language
     must be larger than the first, with one byte at least, for a sure answer."""
 
     rows: int = 300
     dictionary: int = 65_536
     piece: int = 512
-    languages: int = 200
+    languages: int = 1_000
     segment: int = 4_096
     margin: float = 0.003
     level: int = 5
@@ -53,14 +53,16 @@ def _piece(text: str, size: int) -> bytes:
 def fit(labelled: DataFrame, params: LangParams = LangParams()) -> dict[str, bytes]:
     """Dictionaries by language of (text, lang) rows; rows with a null in either teach nothing.
 
-    The rows in use are bounded by ``rows`` a language (on average; chosen by a hash
-    of the text) and the languages by ``languages``, the commonest by rows.
+    Every language is learned.  The rows in use are bounded by ``rows`` a language (on
+    average; chosen by a hash of the row); equal pieces count once.
     """
-    rows = labelled.select("text", "lang").where("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages).collect()
+    place = F.pmod(row_key(labelled, params.seed), F.lit(1 << 40)) / float(1 << 40)
+    rows = labelled.select("text", "lang", place.alias("place")).where("lang is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(params.languages + 1).collect()
+    if len(counts) > params.languages:
+        raise ValueError(f"more than {params.languages} languages")
     if not counts:
         return {}
-    place = F.pmod(F.xxhash64("text", F.lit(params.seed)), F.lit(1 << 40)) / float(1 << 40)
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], min(1.0, params.rows / r["n"])).otherwise(share)
@@ -70,7 +72,7 @@ def fit(labelled: DataFrame, params: LangParams = LangParams()) -> dict[str, byt
         for batch in batches:
             yield pd.DataFrame({"lang": batch["lang"], "piece": [_piece(t, size) for t in batch["text"]]})
 
-    chosen = rows.where(F.col("text").isNotNull() & (place < share)).mapInPandas(cut, schema).distinct()
+    chosen = rows.where(F.col("text").isNotNull() & (F.col("place") < share)).select("text", "lang").mapInPandas(cut, schema).distinct()
     out: dict[str, bytes] = {r["lang"]: b"" for r in counts}
     for r in chosen.orderBy("lang", F.xxhash64("piece"), "piece").collect():  # rows x piece bytes a language
         if len(out[r["lang"]]) < params.dictionary:
@@ -109,7 +111,7 @@ class Judge:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, sure). Ties go to the first language by name."""
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0, False
         sizes = self.sizes(text)
         order = np.argsort(sizes, kind="stable")

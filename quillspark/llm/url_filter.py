@@ -41,13 +41,14 @@ class Rule:
 
 @dataclass(frozen=True)
 class UrlParams:
-    """``sample``: labelled URLs that a fit may use, about, over both classes.
-    ``order``: characters in the longest n-gram. ``most_grams``: n-grams a model keeps.
+    """``sample``: different labelled URLs that a fit may use, about, over both classes.
+    ``order``: characters in the longest n-gram. ``least``: times that an n-gram of three
+    characters or more occurs in the sample at least to be in a model; rarer ones are smoothed.
     ``calibrate``: one labelled URL in so many sets the cut and trains nothing."""
 
-    sample: int = 40_000
+    sample: int = 20_000
     order: int = 6
-    most_grams: int = 60_000
+    least: int = 2
     calibrate: int = 5
     seed: int = 7
 
@@ -153,7 +154,7 @@ def fit(labelled: DataFrame, params: UrlParams = UrlParams()) -> tuple[Ratio, fl
 
     Null URLs and labels teach nothing.  The labelled rows in use are bounded by
     ``params.sample``, chosen by a hash of the URL, the same share of each class
-    at least up to half of the bound; the kept n-grams by ``params.most_grams``.
+    at least up to half of the bound; a URL counts once, however often it occurs.
     """
     rows = labelled.select("url", F.col("good").cast("boolean").alias("good")).dropna()
     sizes = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count("*").alias("n")).collect()}
@@ -161,7 +162,7 @@ def fit(labelled: DataFrame, params: UrlParams = UrlParams()) -> tuple[Ratio, fl
         return None
     place = F.pmod(F.xxhash64("url", F.lit(params.seed)), F.lit(1 << 30)) / float(1 << 30)
     share = {g: min(1.0, params.sample / 2 / n) for g, n in sizes.items()}
-    chosen = rows.where(place < F.when(F.col("good"), share[True]).otherwise(share[False]))
+    chosen = rows.where(place < F.when(F.col("good"), share[True]).otherwise(share[False])).distinct()
     fold = F.pmod(F.xxhash64("url", F.lit(params.seed + 1)), F.lit(params.calibrate))
     order = params.order
     counted = (
@@ -169,18 +170,20 @@ def fit(labelled: DataFrame, params: UrlParams = UrlParams()) -> tuple[Ratio, fl
         .mapInPandas(lambda batches: _grams(batches, order), "good boolean, gram string, n long")
         .groupBy("good", "gram")
         .agg(F.sum("n").alias("n"))
+        .where((F.length("gram") < 3) | (F.col("n") >= params.least))
     )
-    models = []
-    for good in (True, False):
-        top = counted.where(F.col("good") == good).orderBy(F.desc("n"), "gram").limit(params.most_grams).collect()
-        models.append(CharModel({r["gram"]: r["n"] for r in top}, order))
-    ratio = Ratio(*models)
+    kept: dict[bool, dict[str, int]] = {True: {}, False: {}}
+    for part in counted.toArrow().to_batches():  # of sample URLs
+        for good, gram, n in zip(*(part.column(k).to_pylist() for k in range(3))):
+            kept[good][gram] = n
+    ratio = Ratio(CharModel(kept[True], order), CharModel(kept[False], order))
     held = chosen.where(fold == 0).select("url", "good").collect()  # at most sample rows
     return ratio, _cut([(ratio.score(r["url"]), r["good"]) for r in held])
 
 
 def judge(urls: DataFrame, rules: Sequence[Rule], params: UrlParams = UrlParams(), url: str = "url") -> DataFrame:
-    """Add host, path, rule, verdict and score to every row of ``urls``.
+    """Add host, path, rule, verdict and score to every row of ``urls``; columns that have
+    these names already are replaced.
 
     verdict is the rule's; without a rule it is block if the score is under the
     calibrated cut, else allow.  URLs that are null score 0 and are allowed; so

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import hmm, language_id, quality, toxicity, url_filter
@@ -64,13 +65,21 @@ def test_language_by_compression(spark):
     learn = spark.createDataFrame(_language_rows(150, 1), "doc_id long, text string, lang string")
     found = language_id.fit(learn)
     assert set(found) == set(SYLLABLES) and all(len(v) <= 65_536 for v in found.values())
-    rows = _language_rows(80, 2) + [(900, None, None), (901, "", None), (902, "12 !?", None)]
+    rows = _language_rows(80, 2) + [(900, None, None), (901, "", None), (902, "12 !?", None), (903, "½ ² Ⅷ", None)]
     out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), found).select("*", "language.*").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in out if r["lang"]]) > 0.97
     assert all(r["lang_pred"] == "und" and r["score"] == 0 and not r["sure"] for r in out if not r["lang"])
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_no_language_is_dropped(spark):
+    rows = [(i, f"{lang} " * 40, lang) for lang in ("aa", "bb") for i in range(400)] + [(900, "rare words " * 20, "zz")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.fit(labelled)) == {"aa", "bb", "zz"}
+    with pytest.raises(ValueError):
+        language_id.fit(labelled, language_id.LangParams(languages=2))
+
+
 def test_segments_join_to_the_text():
     data = ("word " * 3000 + "x" * 9000 + "é" * 900).encode()
     assert b"".join(language_id.segments(data, 4096)) == data

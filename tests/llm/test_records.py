@@ -233,3 +233,11 @@ def test_folds_are_of_the_id_as_text(spark):
 
     got = spark.range(50).select("id", queries.fold("id", 7).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 7 for r in got)
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark):
+    items = [(i, f"what is item number {i} about and why . it is about thing{i} and thing{i + 1}") for i in range(30)]
+    docs = [(i, f"some words before {items[i][1]} and some after") for i in range(0, 30, 3)] + [(99, "nothing of the kind here"), (100, None)]
+    asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.matches(*asked, decontaminate.DecontaminationParams(items=n)).collect())) for n in (20_000, 7))
+    assert one == many and {(r[0], r[1]) for r in one if r[-1]} >= {(i, i) for i in range(0, 30, 3)}
