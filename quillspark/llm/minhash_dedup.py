@@ -9,8 +9,8 @@ documents share values, so they stay together.
 * A node with one document ends.
 * A small node is compared exhaustively, by minhash estimate with a wide margin and
   by set sizes; each candidate is then confirmed on the full shingle sets.
-* In a large node every document is compared with the node's smallest one, in the
-  same two steps.  Where that leaves more than one component, and more than a few
+* In a large node of the first trees every document is compared with the node's
+  smallest one, in the same two steps.  Where that leaves more than one component, and more than a few
   documents outside the largest, the node branches on, two children a document.
 * Where few are left outside the largest component, and at the last level, a node is
   compared on the full sets: those outside with each other and with blocks of the
@@ -45,6 +45,8 @@ class DedupParams:
     children with chance 0.84, and later ones, of two children each, with 0.94 for all
     levels together, so all trees miss it with a chance of 7e-5 at most. ``slots``:
     minwise coordinates. ``small``: documents of a node that is compared by its pairs.
+    ``leader_trees``: trees whose large nodes are compared with their smallest document
+    first; that only saves later work.
     ``rest``: documents outside the largest component of a node that is compared on full
     sets, and of a block of them; ``block`` and ``block_shingles``: of a block of that
     component. ``levels``: branchings at most. ``broadcast_ids``: ids up to which a filter
@@ -55,6 +57,7 @@ class DedupParams:
     trees: int = 6
     slots: int = 64
     small: int = 50
+    leader_trees: int = 3
     rest: int = 200
     block: int = 1_000
     block_shingles: int = 1_000_000
@@ -311,28 +314,30 @@ def _confirm(pairs: DataFrame, sets: DataFrame, params: DedupParams) -> DataFram
 
 
 def _memberships(reps: DataFrame, params: DedupParams, columns: list[str]) -> DataFrame:
-    """Rows of ``columns`` and node, one for each tree and child of a representative's first branching."""
+    """Rows of ``columns``, tree and node, one for each tree and child of a representative's first branching."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))
-    rows = reps.select(*columns, "sig", trees.alias("__tree")).withColumn("node", F.xxhash64(F.lit(5), "__tree"))
-    return _branch(rows, params, 0).select(*columns, "node")
+    rows = reps.select(*columns, "sig", trees.alias("tree")).withColumn("node", F.xxhash64(F.lit(5), "tree"))
+    return _branch(rows, params, 0).select(*columns, "tree", "node")
 
 
 def _links(docs: DataFrame, reps: DataFrame, params: DedupParams, scratch: Scratch) -> DataFrame | None:
     """(node, component) of the representatives (rep, doc_id, text_hash, n_shingles, sig) that have a link."""
     found = reps.select("rep", "doc_id", "text_hash")
     nodes = _memberships(reps, params, ["rep"])
-    sizes = scratch.save(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-    rows = scratch.save(nodes.join(sizes, "node").join(reps.select("rep", "n_shingles", "sig"), "rep"), "rows")
-    small, large = rows.where(F.col("n") <= params.small), rows.where(F.col("n") > params.small)
+    sizes = scratch.save(nodes.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+    few, led = F.col("n") <= params.small, F.col("tree") < params.leader_trees
+    signed = lambda part: scratch.save(part.join(reps.select("rep", "n_shingles", "sig"), "rep"), "rows")
+    small = signed(nodes.join(sizes.where(few).select("node"), "node", "left_semi"))
+    large = signed(nodes.where(led).join(sizes.where(led & ~few).select("node"), "node", "left_semi"))
     pairs = scratch.save(_small_pairs(small, params).union(_leader_pairs(large, params, scratch)).distinct(), "pairs")
     some = scratch.save(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "some")
     sets = scratch.save(_sets(docs, scratch.save(found.join(some, "rep"), "wanted"), params), "sets")
     links = scratch.save(_confirm(pairs, sets, params), "links")
     known = components(links, scratch)
-    scratch.drop(rows, sets, pairs)
+    scratch.drop(small, large, sets, pairs)
     named = reps.join(known, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sig", F.coalesce("component", "rep").alias("comp"))
     named = scratch.save(named, "named")
-    members, leaves = _memberships(named, params, ["rep", "comp", "n_shingles"]), None
+    members, leaves = _memberships(named, params, ["rep", "comp", "n_shingles"]).drop("tree"), None
     for level in range(params.levels + 1):
         mixed = _mixed(members, params.small if level == 0 else 1, scratch)
         ready = F.lit(level == params.levels) | (F.col("n_rest") <= params.rest)
