@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import constants as C
+from quillspark.scratch import Scratch
 
 
 def live(status: Column) -> Column:
@@ -213,8 +214,10 @@ def first_of_each(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 def batches(rows: DataFrame, order: list[Column], size: int = C.EMBED_BATCH) -> DataFrame:
     """Adds batch: rows in order, ``size`` together.
 
-    Positions come from counts of range partitions, so no single task orders all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    Positions come from counts of range partitions, so no single task orders all rows.
+    The ranges are written once: counts and rows read the same ones."""
+    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = Scratch(rows.sparkSession, "batches").save(ranged, "ranged")
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     numbered = ranged.withColumn("__n", inside)
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))  # one row a partition

@@ -21,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         if "dir" not in _OWN:
             _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         base = _OWN["dir"]

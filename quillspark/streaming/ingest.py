@@ -40,4 +40,12 @@ def current(rows: DataFrame, receipts: DataFrame) -> DataFrame:
 
 def start(stream: DataFrame, path: str, checkpoint: str):
     """Run over a stream of documents until what is there has been taken."""
-    return stream.writeStream.foreachBatch(lambda docs, n: write_batch(docs.persist(), n, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def take(docs: DataFrame, batch_id: int) -> None:
+        docs = docs.persist()
+        try:
+            write_batch(docs, batch_id, path)
+        finally:
+            docs.unpersist()
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
