@@ -33,15 +33,13 @@ SENTENCE_END = r"(?U)(?<=[。！？；.!?;])\s+"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 PAGE_SPLIT = "<--- Page Split --->"
 UNTITLED = "未分章节"
-EMPTY_DOCUMENT = "空文档"
 NO_EVIDENCE = ("无法在知识库中找到依据", "未在知识库中找到依据", "没有在知识库中找到依据")
-GROUNDING_MARKS = ("<|ref|>", "<|/ref|>", "<|det|>", "<|/det|>")
 UNIT_SEPARATORS = "，,。；;！？\n"
 
 # fixed values: numbers
 SPARSE_DIMENSIONS = 500_000
 FUSION_OFFSET = 60
 CHUNK_TOKENS, CHUNK_OVERLAP, PARAGRAPH_TOKENS = 512, 64, 256
-EMBED_BATCH, MULTIMODAL_BATCH = 25, 20
+EMBED_BATCH = 25
 LOGIN_LIMIT, LOGIN_WINDOW = 5, 900
 BUCKET_SIZE, BUCKET_REFILL = 10.0, 10.0

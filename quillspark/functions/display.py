@@ -42,6 +42,10 @@ def size_label(size: Column) -> Column:
     return F.when(size >= mb, F.format_string("%.1f MB", size / mb)).otherwise(F.format_string("%.1f KB", size / 1024))
 
 
+def short_id(c: Column) -> Column:
+    return F.left(c, F.lit(8))
+
+
 def score_label(score: Column) -> Column:
     return F.format_string("%.3f", score)
 

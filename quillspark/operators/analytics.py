@@ -79,3 +79,13 @@ def evaluation_summary(results: DataFrame) -> DataFrame:
         mean(F.col("keyword_hit_ratio"), 4).alias("keyword_hit_ratio"),
         mean(F.col("citation_count"), 3).alias("citations"),
     )
+
+
+def evaluation_run(summary: DataFrame, run_key: str, golden_file: str) -> DataFrame:
+    """(run_key, golden_file, summary_json): one row to append to the table of runs."""
+    return summary.select(F.lit(run_key).alias("run_key"), F.lit(golden_file).alias("golden_file"), F.to_json(F.struct("*")).alias("summary_json"))
+
+
+def user_counts(users: DataFrame) -> DataFrame:
+    """One row: all accounts, active ones, administrators."""
+    return users.agg(F.count("*").alias("users"), F.count_if("is_active").alias("active"), F.count_if(F.col("role") == "admin").alias("admins"))

@@ -25,7 +25,7 @@ def with_citations(messages: DataFrame, cited: DataFrame) -> DataFrame:
     """Messages with the ordered array of their citations, empty without any."""
     fields = [c for c in cited.columns if c != "message_id"]
     kept = cited.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("index", *(c for c in fields if c != "index")))).alias("citations"))
-    return messages.join(kept, "message_id", "left").withColumn("citations", F.coalesce("citations", F.slice("citations", 1, 0), F.array().cast(kept.schema["citations"].dataType)))
+    return messages.join(kept, "message_id", "left").withColumn("citations", F.coalesce("citations", F.array().cast(kept.schema["citations"].dataType)))
 
 
 def turns(answers: DataFrame) -> DataFrame:
@@ -83,6 +83,11 @@ def valid_tokens(tokens: DataFrame, now: Column) -> DataFrame:
     return tokens.where(F.col("revoked_at").isNull() & (F.col("expires_at") > now)).withColumn("seconds_left", left.cast("long"))
 
 
+def expires_at(created_at: Column, hours: int = 24) -> Column:
+    """When an export ends."""
+    return created_at + F.expr(f"INTERVAL {hours} HOURS")
+
+
 def recognition_status(status: Column) -> Column:
     """Recognition service states as running, succeeded or failed; other text is pending."""
     s = F.lower(F.trim(F.coalesce(status, F.lit(""))))

@@ -148,13 +148,73 @@ def artifact_paths(*tables: tuple[DataFrame, str]) -> DataFrame:
     return out.distinct()
 
 
-def dead_letters(jobs: DataFrame, errors: DataFrame, most: int = 4000, note: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Jobs with the failed ones dead and their error cut, and an audit row for each."""
+def audit_rows(rows: DataFrame, action: str, target_type: str, details: Column) -> DataFrame:
+    """Audit rows to append, of ``rows`` (actor, target_id, forwarded, peer, agent): the first
+    address, 512 characters of the agent, the details as JSON."""
+    return rows.select(
+        "actor", F.lit(action).alias("action"), F.lit(target_type).alias("target_type"), F.col("target_id").cast("string").alias("target_id"),
+        client_ip(F.col("forwarded"), F.coalesce("peer", F.lit("unknown"))).alias("ip_address"), F.left(F.coalesce("agent", F.lit("")), F.lit(512)).alias("user_agent"), F.to_json(details).alias("details"),
+    )
+
+
+def dead_letters(documents: DataFrame, jobs: DataFrame, errors: DataFrame, most: int = 4000, note: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (document_id, uploader, status) and jobs with those that ``errors`` (job_id, error)
+    names failed and dead, and an audit row for each; an error is cut, and comes once a job."""
+    bad = jobs.join(errors, "job_id")
+    gone = bad.select("document_id", F.lit("failed").alias("__new")).distinct()
+    marked = documents.join(gone, "document_id", "left").withColumn("status", F.coalesce("__new", "status")).select(*documents.columns)
     rows = jobs.join(errors, "job_id", "left")
     failed = F.col("error").isNotNull()
     updated = rows.withColumn("status", F.when(failed, "dead").otherwise(F.col("status"))).withColumn("last_error", F.when(failed, F.left("error", F.lit(most))).otherwise(F.col("last_error")))
-    audit = rows.where(failed).select(F.lit("ingest.dead_letter").alias("action"), F.col("job_id").alias("target_id"), F.left("error", F.lit(note)).alias("details"))
-    return updated.select(*jobs.columns), audit
+    noted = bad.join(documents.select("document_id", F.col("uploader").alias("actor")), "document_id", "left")
+    noted = noted.withColumns({"target_id": F.col("document_id"), "forwarded": F.lit(""), "peer": F.lit("worker"), "agent": F.lit("celery")})
+    audit = audit_rows(noted, "ingest.step_failed", "document", F.struct("job_id", F.left("error", F.lit(note)).alias("error")))
+    return marked, updated.select(*jobs.columns), audit
+
+
+def retry(documents: DataFrame, jobs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents pending again, and a queued job more for each of ``asked`` (document_id, job_id, created_at)."""
+    again = asked.select("document_id", F.lit("pending").alias("__new")).distinct()
+    marked = documents.join(again, "document_id", "left").withColumn("status", F.coalesce("__new", "status")).select(*documents.columns)
+    queued = asked.withColumn("status", F.lit("queued"))
+    return marked, jobs.unionByName(queued.select(*jobs.columns))
+
+
+def batch_deletions(asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """(request_id, decision, deleted) of ``asked`` (request_id, kb, role, document_id): 403 unless an
+    owner or admin asks, 404 unless all documents are in the base, else 200 with their number."""
+    there = documents.select("document_id", "kb", F.lit(1).alias("__there")).distinct()
+    each = asked.dropDuplicates(["request_id", "document_id"]).join(there, ["document_id", "kb"], "left")
+    whole = each.groupBy("request_id").agg(F.max("role").alias("role"), F.count("document_id").alias("n"), F.count("__there").alias("found"))
+    code = F.when(~F.coalesce(F.col("role").isin("owner", "admin"), F.lit(False)), 403).when(F.col("found") < F.col("n"), 404).otherwise(200)
+    return whole.select("request_id", code.alias("decision"), F.when(code == 200, F.col("n")).otherwise(0).alias("deleted"))
+
+
+def bases(kbs: DataFrame, is_active: bool | None = None, text: str = "") -> DataFrame:
+    """Bases for administrators: active ones unless the other state is asked for."""
+    return kbs.where((F.col("is_active") == F.lit(True if is_active is None else is_active)) & containing(text, "name"))
+
+
+def page_of_each(rows: DataFrame, by: list[str], order: list[Column], number: int, size: int) -> DataFrame:
+    """Page ``number`` of each group's rows in a total order, each with its place and the group's total."""
+    one = Window.partitionBy(*by)
+    numbered = rows.withColumn("place", F.row_number().over(one.orderBy(*order))).withColumn("total", F.count("*").over(one))
+    return numbered.where((F.col("place") > (number - 1) * size) & (F.col("place") <= number * size))
+
+
+def queue(requests: DataFrame, size: int = 16) -> DataFrame:
+    """``requests`` (request_id, priority, at) with status and place: the first ``size`` to come wait,
+    by priority, time and id; the others are refused with 429."""
+    first = requests.orderBy("at", "request_id").limit(size)
+    waiting = first.withColumn("place", F.row_number().over(Window.orderBy("priority", "at", "request_id"))).select("request_id", "place")  # ``size`` rows
+    return requests.join(F.broadcast(waiting), "request_id", "left").withColumn("status", F.when(F.col("place").isNull(), 429).otherwise(202))
+
+
+def arity_faults(files: DataFrame, requests: DataFrame, most: int = 50) -> DataFrame:
+    """(request_id, fault) of ``requests`` by the number of their ``files``: none, too_many, or null."""
+    n = files.groupBy("request_id").agg(F.count("*").alias("n"))
+    rows = requests.select("request_id").join(n, "request_id", "left")
+    return rows.select("request_id", F.when(F.col("n").isNull(), "none").when(F.col("n") > most, "too_many").alias("fault"))
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -239,6 +299,23 @@ def seed_users(users: DataFrame, keep: DataFrame) -> dict[str, DataFrame]:
     return {"write": kept, "remove": a.join(b.select("key"), "key", "left_anti").drop("key")}
 
 
+def prune_users(removed: DataFrame, heir: int, documents: DataFrame, kbs: DataFrame, audit: DataFrame, sessions: DataFrame, messages: DataFrame, owned: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables once the accounts ``removed`` (user_id) are gone: documents (uploader) and bases
+    (creator) go to ``heir``, audit rows lose their actor, sessions (session_id, user_id) go with
+    their messages, and so do the rows of ``owned`` (user_id)."""
+    gone = removed.select("user_id").distinct()
+
+    def instead(rows: DataFrame, column: str, value: Column) -> DataFrame:
+        marked = rows.join(gone.select(F.col("user_id").alias(column), F.lit(True).alias("__gone")), column, "left")
+        return marked.withColumn(column, F.when(F.col("__gone"), value).otherwise(F.col(column))).select(*rows.columns)
+
+    dead = sessions.join(gone, "user_id", "left_semi").select("session_id")
+    return {
+        "documents": instead(documents, "uploader", F.lit(heir)), "kbs": instead(kbs, "creator", F.lit(heir)), "audit": instead(audit, "actor", F.lit(None)),
+        "sessions": sessions.join(gone, "user_id", "left_anti"), "messages": messages.join(dead, "session_id", "left_anti"),
+    } | {name: rows.join(gone, "user_id", "left_anti") for name, rows in owned.items()}
+
+
 def protected(actor: Column, target: Column, new_role: Column, new_active: Column) -> Column:
     """Reason why an admin may not change an account: their own role or state. Null if they may."""
     own = actor == target

@@ -174,6 +174,19 @@ def merged(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return top_k(best, k, ["query_id"], [F.desc("score"), F.asc("t"), F.asc("id")]).drop("t")
 
 
+def or_else(track: DataFrame, other: DataFrame) -> DataFrame:
+    """``track``, and the rows of ``other`` for the queries that it has no row for."""
+    missing = other.join(track.select("query_id").distinct(), "query_id", "left_anti")
+    return track.unionByName(missing.select(*track.columns))
+
+
+def hybrid_track(queries: DataFrame, corpus: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): BM25 and sparse hits fused, or the one that has any; queries
+    without either are answered by occurrences in the text."""
+    native = fuse(bm25_track(queries, index, k), sparse_track(queries, index, k), k)
+    return or_else(native, lexical_track(queries, corpus, k))
+
+
 def sparse_literal(index: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, literal): ``{dim:weight,...}`` by dimension; null for those of ``ids`` without terms."""
     dims = index.select("term").distinct().withColumn("dim", T.sparse_dimension("term"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import display
+from quillspark.functions import display, text as T
 from quillspark.operators import analytics, governance as G
 from quillspark.plans import bindings as B
 from quillspark.plans.registry import query
@@ -154,7 +154,7 @@ SELECT kb, name, pos FROM (SELECT *, row_number() OVER (PARTITION BY kb, lower(t
 )
 def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_brand").alias("kb"), F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"))
-    return G.new_names(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1").withColumn("name", F.upper("name")), F.lower(F.trim("name")))
+    return G.new_names(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1").withColumn("name", F.upper("name")), T.casefold(F.trim("name")))
 
 
 @query(f"WITH {B.JOB} SELECT document_id, job_id, status, created_at FROM job QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, job_id DESC) = 1")
@@ -226,9 +226,9 @@ def request_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def login_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("event_type") != "error").alias("success"), "user_id")
-    keys = F.explode(F.array(F.concat(F.lit("subject:"), F.col("user_id")), F.concat(F.lit("ip:"), F.col("user_id") % 16)))
-    return stateful.login_blocks_batch(rows.select(keys.alias("key"), "event_id", "at", "success"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    rows = table(spark, d, "events").select("event_id", at.alias("at"), F.col("user_id").cast("string").alias("subject"), F.floor(F.col("user_id") / 8).cast("string").alias("address"), (F.col("event_type") != "error").alias("success"))
+    return stateful.login_blocks_batch(rows)
 
 
 @query("SELECT doc_id AS id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 25) AS BIGINT) AS batch FROM documents")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import text as T
+from quillspark.functions import display, text as T
 from quillspark.operators import analytics, governance as G, retrieval as R
+from quillspark.operators.documents import char_vectors
 from quillspark.plans import bindings as B
 from quillspark.plans.registry import query
 from quillspark.sources import files
 
 K = 6
+DEPTH = 5_000  # results of one base
 _VIEWS = f"WITH {B.DOC}, {B.SEARCH}"
 _TRACKS = f"{_VIEWS}, {B.DENSE.format(k=2 * K)}, {B.LEXICAL.format(k=2 * K)}"
 
@@ -114,20 +116,20 @@ def _by_kb(spark: SparkSession, d: str) -> DataFrame:
     seen = G.accessible(B.users(spark, d).where("user_id = 7"), B.kbs(spark, d), B.permissions(spark, d)).select("kb")
     corpus = B.searchable(spark, d).join(F.broadcast(seen), "kb", "left_semi")
     asked = B.questions(spark, d)
-    dense, lexical = R.dense_track(asked, corpus, 20, by=("kb",)), R.lexical_track(asked, corpus, 20, by=("kb",))
-    return R.fuse(dense, lexical, 20, by=("query_id", "kb"))
+    dense, lexical = R.dense_track(asked, corpus, 2 * DEPTH, by=("kb",)), R.lexical_track(asked, corpus, 2 * DEPTH, by=("kb",))
+    return R.fuse(dense, lexical, DEPTH, by=("query_id", "kb"))
 
 
 _BY_KB = f"""WITH {B.DOC}, {B.KB}, {B.USR}, {B.PERM}, seen AS (SELECT p.kb FROM perm p JOIN kb USING (kb) WHERE p.user_id = 7 AND kb.is_active), {B.SEARCH},
 d AS (SELECT * FROM (SELECT a.query_id, l.kb, l.id, round(list_cosine_similarity(a.query_vector, l.vector), 6) AS score FROM live l, ask a WHERE l.kb IN (SELECT kb FROM seen)) WHERE score > 0
-  QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) <= 20),
+  QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) <= {2 * DEPTH}),
 x AS (SELECT * FROM (SELECT a.query_id, l.kb, l.id, CAST(sum((length(l.low) - length(replace(l.low, t.term, ''))) // length(t.term)) + any_value(CASE WHEN contains(l.low, a.phrase) THEN 3 ELSE 0 END) AS DOUBLE) AS score
-  FROM live l, ask a JOIN ask_term t ON t.query_id = a.query_id WHERE l.kb IN (SELECT kb FROM seen) GROUP BY 1, 2, 3) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) <= 20),
+  FROM live l, ask a JOIN ask_term t ON t.query_id = a.query_id WHERE l.kb IN (SELECT kb FROM seen) GROUP BY 1, 2, 3) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) <= {2 * DEPTH}),
 t AS (SELECT 1 AS track, *, row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) AS rank FROM d UNION ALL SELECT 2, *, row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) FROM x),
 n AS (SELECT query_id, kb, count(DISTINCT track) AS tracks FROM t GROUP BY 1, 2),
 m AS (SELECT query_id, kb, id, round(CASE WHEN any_value(tracks) = 1 THEN max(score) ELSE sum(1.0 / (60 + rank)) / (any_value(tracks) / 61.0) END, 6) AS score, max(CASE WHEN track = 1 THEN rank END) AS r1, max(CASE WHEN track = 2 THEN rank END) AS r2
   FROM t JOIN n USING (query_id, kb) GROUP BY 1, 2, 3),
-f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) <= 20)"""
+f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) <= {DEPTH})"""
 
 
 @query(f"{_BY_KB} SELECT query_id, id, kb, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM f QUALIFY rank <= 10")
@@ -135,6 +137,49 @@ def multi_kb_search(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(_by_kb(spark, d).drop("rank"), 10, ["query_id"], [F.desc("score"), F.asc("id")]).select("query_id", "id", "kb", "score", "rank")
 
 
+@query(
+    f"""{_BY_KB} SELECT query_id, id, kb, score, total, place::INTEGER AS place FROM (SELECT f.query_id, f.id, f.kb, f.score, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY d.created_at DESC, f.id) AS place
+FROM f JOIN doc d USING (id) WHERE d.created_at >= TIMESTAMP '2023-12-31 17:00:00' AND d.created_at < TIMESTAMP '2024-01-03 16:00:00') WHERE place BETWEEN 6 AND 10"""
+)
+def multi_kb_page(spark: SparkSession, d: str) -> DataFrame:
+    """The search over bases between two days, latest first: the second page of five, with totals."""
+    hits = _by_kb(spark, d).drop("rank").join(B.docs(spark, d).where(G.live(F.col("status"))).select("id", "created_at"), "id")
+    iso = display.iso_offset(display.at_offset(F.col("created_at")))
+    shown = hits.where(G.within_dates(iso, "2024-01-01T01", "2024-01-03"))
+    return G.page_of_each(shown, ["query_id"], [F.desc("created_at"), F.asc("id")], 2, 5).select("query_id", "id", "kb", "score", "total", "place")
+
+
+@query()
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with BM25 and sparse hits; a question without those is answered by occurrences."""
+    asked, corpus = B.questions(spark, d), B.searchable(spark, d)
+    return R.fuse(R.dense_track(asked, corpus, 2 * K), R.hybrid_track(asked, corpus, R.postings(corpus), 2 * K), K)
+
+
+@query(
+    f"""{_VIEWS}, ch AS (SELECT 'd' AS side, id, low AS t FROM live UNION ALL SELECT 'q', query_id, phrase FROM ask), c AS (SELECT side, id, ascii(c) % 256 AS m FROM (SELECT side, id, unnest(string_split(t, '')) AS c FROM ch) WHERE c <> ''),
+n AS (SELECT side, id, m, count(*) AS n FROM c GROUP BY 1, 2, 3), v AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY side, id)) AS v FROM n)
+SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT q.id AS query_id, d.id, round(sum(q.v * d.v), 6) AS score FROM v q JOIN v d ON d.m = q.m AND d.side = 'd' WHERE q.side = 'q' GROUP BY 1, 2)
+WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {K}""".replace("rank::INTEGER AS rank", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank")
+)
+def text_dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest texts by their vectors of characters, for questions without a vector."""
+    texts = B.searchable(spark, d).select("id", F.col("low").alias("text"))
+    asked = B.questions(spark, d).select(F.col("query_id").alias("id"), F.lower(T.clean(F.col("query"))).alias("text"))
+    return R.dense_track(char_vectors(asked).withColumnsRenamed({"id": "query_id", "vector": "query_vector"}), char_vectors(texts), K)
+
+
+@query(
+    f"""{_VIEWS}, a AS (SELECT query_id, query_vector[1:48] AS q FROM ask WHERE query_vector IS NOT NULL)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM (
+  SELECT query_id, id, round(list_dot_product(q, vector[1:48]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(vector, vector))), 6) AS score FROM a, live WHERE vector IS NOT NULL) WHERE score > 0 QUALIFY rank <= {K}"""
+)
+def chat_dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The looser rule of chats: a shorter question vector, norms of the whole ones."""
+    asked = B.questions(spark, d).withColumn("query_vector", F.slice("query_vector", 1, 48))
+    return R.dense_track(asked, B.searchable(spark, d), K, same_length=False)
+
+
 @query(
     f"""{_TRACKS}, {B.FUSED.format(raw='true', k=K)} SELECT row_number() OVER (ORDER BY f.score DESC, f.id)::INTEGER AS index, f.id AS chunk_id, f.id AS document_id, 'T' || f.id AS document_title, d.kb AS knowledge_base_id,
 d.kb || ' > ' || d.doc_kind AS section_path, 1 AS page_start, 1 AS page_end, left({B.clean_sql('d.text')}, 200) AS snippet, printf('%.4f', f.score) AS score FROM fused f JOIN doc d USING (id) WHERE f.query_id = 1"""

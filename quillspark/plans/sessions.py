@@ -30,7 +30,7 @@ def session_titles(spark: SparkSession, d: str) -> DataFrame:
     return first.select("session_id", V.session_title(F.col("question")).alias("title"))
 
 
-def _cited(spark: SparkSession, d: str) -> DataFrame:
+def cited_lines(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as citations: a path with a clause, a box."""
     rows = table(spark, d, "lineitem")
     path = F.array(F.concat(F.lit("Part "), F.col("l_suppkey")), F.concat(F.lit("Clause "), F.col("l_linenumber"), F.lit("."), F.col("l_quantity").cast("int")))
@@ -47,7 +47,7 @@ def _cited(spark: SparkSession, d: str) -> DataFrame:
 SELECT query_id, document_id, coalesce(string_agg(clause, '、' ORDER BY a, b), '') AS clauses, document_id || coalesce(' ' || string_agg(clause, '、' ORDER BY a, b), '') AS reference FROM c GROUP BY 1, 2"""
 )
 def document_clauses(spark: SparkSession, d: str) -> DataFrame:
-    return V.document_clauses(_cited(spark, d)).withColumn("clauses", F.array_join("clauses", "、"))
+    return V.document_clauses(cited_lines(spark, d)).withColumn("clauses", F.array_join("clauses", "、"))
 
 
 @query(
@@ -55,7 +55,7 @@ def document_clauses(spark: SparkSession, d: str) -> DataFrame:
 '/documents/' || (l_partkey % 9) || '/pdf?page=' || (CASE WHEN l_linenumber > 2 THEN l_linenumber ELSE 1 END) || '#bbox=' || l_linenumber || ',2,3.5,' || CAST(l_quantity AS INTEGER) AS url FROM lineitem"""
 )
 def reference_urls(spark: SparkSession, d: str) -> DataFrame:
-    return V.references(_cited(spark, d)).select("l_orderkey", "index", "l_partkey", "l_suppkey", "reference_id", "page", "url")
+    return V.references(cited_lines(spark, d)).select("l_orderkey", "index", "l_partkey", "l_suppkey", "reference_id", "page", "url")
 
 
 @query(

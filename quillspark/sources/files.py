@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,12 +79,16 @@ def export_csv(hits: DataFrame, path: str) -> None:
 
 
 def export_json(hits: DataFrame, filters: dict[str, object], path: str) -> None:
-    """results, and one row of metadata with the filters that are set."""
-    spark = hits.sparkSession
-    export_rows(hits).write.mode("overwrite").json(f"{path}/results")
-    kept = {k: str(v) for k, v in filters.items() if v not in (None, "")}
-    one = spark.range(1).select(F.lit(str(sorted(kept.items()))).alias("filters"))
-    one.write.mode("overwrite").json(f"{path}/metadata")
+    """results of twelve fields, with the text and box of each section where ``hits`` has them
+    (section_text, bbox), and one row of metadata: the filters that are set, as JSON, and the
+    number of results."""
+    more = [(F.col(c) if c in hits.columns else F.lit(None).cast("string")).alias(c) for c in ("section_text", "bbox")]
+    rows = export_rows(hits).join(hits.select(F.col("id").alias("chunk_id"), *more), "chunk_id")
+    order = ["index", "chunk_id", "document_id", "document_title", "knowledge_base_id", "section_path", "section_text", "page_start", "page_end", "bbox", "snippet", "score"]
+    rows.select(*order).write.mode("overwrite").json(f"{path}/results")
+    kept = {k: v for k, v in filters.items() if v not in (None, "")}
+    count = hits.agg(F.count("*").alias("result_count"))
+    count.select(F.lit(json.dumps(kept, ensure_ascii=False, sort_keys=True)).alias("filters"), "result_count").write.mode("overwrite").json(f"{path}/metadata")
 
 
 def assets(payloads: DataFrame) -> DataFrame:

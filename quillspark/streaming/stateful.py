@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,49 +11,85 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.functions import constants as C
+from quillspark.operators.components import components
+from quillspark.scratch import Scratch
 
 
-def _fold_logins(state: tuple[int, float], events: pd.DataFrame, limit: int, window: float) -> tuple[list[dict], tuple[int, float]]:
-    """A fixed window from the first failure; at the limit all is blocked until it ends; success clears it."""
-    count, ends = state
-    out = []
-    for row in events.itertuples(index=False):
-        if count and row.at >= ends:
-            count = 0
-        blocked = count >= limit
-        if not blocked and row.success:
-            count = 0
-        elif not blocked:
-            ends = row.at + window if count == 0 else ends
-            count += 1
-        out.append({"event_id": row.event_id, "failures": count, "blocked": blocked})
-    return out, (count, ends)
+Counters = dict[str, tuple[int, float]]
+
 
+def _fold_logins(state: Counters, events: pd.DataFrame, limit: int, window: float) -> list[dict]:
+    """Attempts in order against the counters of subjects and addresses, which are changed.
 
-LOGIN_SCHEMA = "key string, event_id long, failures int, blocked boolean"
+    A counter ends ``window`` after its first failure. An attempt whose subject or address
+    has reached ``limit`` is refused and counts nothing; a success clears both; a failure
+    counts for both, and the one that reaches the limit is itself answered as blocked."""
+    out = []
+    for row in events.itertuples(index=False):
+        keys = (f"subject:{row.subject}", f"address:{row.address}")
+        live = {k: state[k] for k in keys if k in state and state[k][1] > row.at}
+        blocked = max((n for n, _ in live.values()), default=0) >= limit
+        if not blocked:
+            for k in keys:
+                state.pop(k, None)
+            if not row.success:
+                live = {k: (live[k][0] + 1, live[k][1]) if k in live else (1, row.at + window) for k in keys}
+                state.update(live)
+                blocked = max(n for n, _ in live.values()) >= limit
+            else:
+                live = {}
+        out.append({"event_id": row.event_id, "failures": max((n for n, _ in live.values()), default=0), "blocked": blocked})
+    if len(events):
+        now = events["at"].iloc[-1]
+        for k in [k for k, (_, ends) in state.items() if ends <= now]:
+            del state[k]
+    return out
+
+
+LOGIN_SCHEMA = "event_id long, failures int, blocked boolean"
 
 
 def login_blocks(events: DataFrame, limit: int = C.LOGIN_LIMIT, window: float = C.LOGIN_WINDOW) -> DataFrame:
-    """(key, event_id, failures, blocked) of a stream of (key, event_id, at seconds, success);
-    a subject and an address are each a key. Events of a key in one trigger go by time."""
+    """(event_id, failures, blocked) of a stream of (realm, event_id, at seconds, subject, address, success).
+
+    Subject and address count together, so both belong to one ``realm``, the part of the
+    stream that is followed in order; its state is the counters that have not ended.
+    Events of one trigger go by time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
-        out, after = _fold_logins(state.get if state.exists else (0, 0.0), events, limit, window)
-        state.update(after)
-        yield pd.DataFrame(out).assign(key=key[0])[["key", "event_id", "failures", "blocked"]]
+        counters = {k: (n, ends) for k, n, ends in json.loads(state.get[0])} if state.exists else {}
+        out = _fold_logins(counters, events, limit, window)
+        state.update((json.dumps([[k, n, ends] for k, (n, ends) in counters.items()]),))
+        yield pd.DataFrame(out)
 
-    return events.groupBy("key").applyInPandasWithState(step, LOGIN_SCHEMA, "count int, ends double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withColumn("subject", F.lower(F.trim("subject")))
+    return rows.groupBy("realm").applyInPandasWithState(step, LOGIN_SCHEMA, "counters string", "append", GroupStateTimeout.NoTimeout)
 
 
 def login_blocks_batch(events: DataFrame, limit: int = C.LOGIN_LIMIT, window: float = C.LOGIN_WINDOW) -> DataFrame:
-    """The same over a finished table."""
-
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, _ = _fold_logins((0, 0.0), rows.sort_values(["at", "event_id"], kind="stable"), limit, window)
-        return pd.DataFrame(out).assign(key=key[0])[["key", "event_id", "failures", "blocked"]]
-
-    return events.groupBy("key").applyInPandas(whole, LOGIN_SCHEMA)
+    """The same over a finished table (event_id, at, subject, address, success); it needs no realm.
+
+    Subjects and addresses that attempts connect are followed together, in order of time.
+    Spark shuffles and sorts them; a task reads its rows batch after batch and holds the
+    counters that have not ended, so no history is held whole. Null subjects or addresses
+    count as empty ones."""
+    scratch = Scratch(events.sparkSession, "logins")
+    subject, address = F.coalesce(F.lower(F.trim("subject")), F.lit("")), F.coalesce(F.col("address").cast("string"), F.lit(""))
+    rows = events.select("event_id", F.col("at").cast("double").alias("at"), subject.alias("subject"), address.alias("address"), "success")
+    pairs = rows.select(F.concat(F.lit("s"), "subject").alias("a"), F.concat(F.lit("a"), "address").alias("b")).distinct()
+    known = components(pairs, scratch)
+    keyed = rows.join(known, F.concat(F.lit("s"), "subject") == F.col("node")).select("component", *rows.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, counters = None, {}
+        for batch in batches:
+            for component, part in batch.groupby("component", sort=False):
+                if component != last:
+                    last, counters = component, {}
+                yield pd.DataFrame(_fold_logins(counters, part, limit, window))
+
+    return keyed.repartition("component").sortWithinPartitions("component", "at", "event_id").mapInPandas(run, LOGIN_SCHEMA)
 
 
 def token_buckets(requests: DataFrame, size: float = C.BUCKET_SIZE, refill: float = C.BUCKET_REFILL) -> DataFrame:

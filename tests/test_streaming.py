@@ -18,17 +18,64 @@ def events(spark, tmp_path, rows, schema, parts=2):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
 
 
-def test_login_blocks_stream_equals_batch(spark, tmp_path):
-    schema = "key string, event_id long, at double, success boolean"
-    rows = [("a", i, float(i), False) for i in range(5)] + [("a", 5, 5.0, True), ("b", 6, 6.0, False), ("b", 7, 7.0, True), ("b", 8, 8.0, False)] + [("a", 9, 899.0, True), ("a", 10, 900.0, True), ("a", 11, 901.0, False)]
-    batch = sorted(tuple(r) for r in stateful.login_blocks_batch(spark.createDataFrame(rows, schema)).collect())
-    by_id = {r[1]: (r[2], r[3]) for r in batch}
-    assert by_id[4] == (5, False) and by_id[5] == (5, True) and by_id[8] == (1, False)
-    assert by_id[9][1] and by_id[10] == (0, False) and by_id[11] == (1, False)
-    streamed = run(spark, stateful.login_blocks(events(spark, tmp_path, rows, schema)), "logins")
+def attempts(events, limit=5, window=900.0):
+    """Counters of subjects and addresses, one attempt after the other."""
+    count, ends, out = {}, {}, []
+    for _, _, event, at, subject, address, success in sorted((e[2], e[1], e[1], e[2], *e[3:]) for e in events):
+        keys = [("s", subject.strip().lower()), ("a", address)]
+        for k in keys:
+            if k in ends and ends[k] <= at:
+                del count[k], ends[k]
+        most = max(count.get(k, 0) for k in keys)
+        if most >= limit:
+            out.append((event, most, True))
+            continue
+        for k in keys:
+            if success:
+                count.pop(k, None), ends.pop(k, None)
+            else:
+                ends.setdefault(k, at + window)
+                count[k] = count.get(k, 0) + 1
+        most = max(count.get(k, 0) for k in keys)
+        out.append((event, most, most >= limit))
+    return sorted(out)
+
+
+LOGINS = "realm string, event_id long, at double, subject string, address string, success boolean"
+
+
+def test_login_blocks_couple_subject_and_address(spark, tmp_path):
+    rows = [("r", i, float(i), "Ann ", "x", False) for i in range(5)]
+    rows += [("r", 5, 5.0, "ann", "y", True), ("r", 6, 6.0, "bob", "x", True), ("r", 7, 7.0, "bob", "z", False), ("r", 8, 8.0, "bob", "z", True)]
+    rows += [("r", 9, 899.0, "ann", "y", True), ("r", 10, 900.0, "ann", "x", True), ("r", 11, 901.0, "ann", "x", False)]
+    batch = sorted(tuple(r) for r in stateful.login_blocks_batch(spark.createDataFrame(rows, LOGINS)).collect())
+    by_id = {r[0]: r[1:] for r in batch}
+    assert by_id[3] == (4, False) and by_id[4] == (5, True)  # the fifth failure is itself blocked
+    assert by_id[5] == (5, True) and by_id[6] == (5, True)  # by the subject, by the address
+    assert by_id[7] == (1, False) and by_id[8] == (0, False) and by_id[9][1] and by_id[10] == (0, False) and by_id[11] == (1, False)
+    assert batch == attempts(rows)
+    streamed = run(spark, stateful.login_blocks(events(spark, tmp_path, rows, LOGINS)), "logins")
     assert sorted(tuple(r) for r in streamed) == batch
 
 
+def test_login_blocks_over_many_attempts_equal_one_pass(spark):
+    import random
+
+    dice = random.Random(3)
+    rows = [("r", i, dice.random() * 20_000, f"u{dice.randrange(60)}", f"a{dice.randrange(25)}", dice.random() < 0.2) for i in range(4_000)]
+    found = stateful.login_blocks_batch(spark.createDataFrame(rows, LOGINS)).collect()
+    assert sorted(tuple(r) for r in found) == attempts(rows)
+
+
+def test_login_query_equals_one_pass(spark):
+    from quillspark.plans import registry
+
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()
+    rows = [("r", r["event_id"], r["ts"].timestamp(), str(r["user_id"]), str(r["user_id"] // 8), r["event_type"] != "error") for r in table]
+    found = registry.queries()["login_blocks"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(tuple(r) for r in found) == attempts(rows)
+
+
 def test_token_buckets(spark, tmp_path):
     schema = "key string, event_id long, at double, tokens double"
     rows = [("m", 1, 0.0, 10.0), ("m", 2, 0.0, 5.0), ("m", 3, 0.1, 5.0), ("n", 4, 0.0, 1.0), ("m", 5, 9.0, 10.0)]
