@@ -279,10 +279,11 @@ def matches(docs: DataFrame, items: DataFrame, params: DecontaminationParams = D
 
     leaked: the overlap of the whole item is enough, or those of its question and
     its answer both are.  Null, empty and wordless texts retrieve nothing, and such
-    items are never retrieved.  Items with the same id are each looked for.
+    items are never retrieved.  Items with the same id and other texts are each looked
+    for, full repeats once; rows that repeat a doc_id are each judged.
     """
     spark = docs.sparkSession
-    usable = items.select(F.col("item_id").cast("long"), "text").where("text is not null and item_id is not null")
+    usable = items.select(F.col("item_id").cast("long"), "text").where("text is not null and item_id is not null").distinct()
     shards = max(1, -(-usable.count() // params.items))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 

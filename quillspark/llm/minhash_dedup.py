@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.text import U64, mix, pieces, shingle_sets, words
+from quillspark.llm.text import U64, mix, pieces, shingle_sets, unused, words
 from quillspark.scratch import Scratch
 
 
@@ -401,10 +401,13 @@ def deduplicated(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFr
     again = found.where(own == F.col("least")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     again = scratch.save(again.select(*named), "repeated")
     small = lambda ids: F.broadcast(ids) if ids.count() <= params.broadcast_ids else ids  # noqa: E731  16 bytes each
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = lambda ids: (F.col("doc_id") == ids["__id"]) & (F.col("__text_hash") == ids["__hash"])
+    own_hash = unused(docs.columns, "__text_hash")
+    key, mark = unused(docs.columns, "__id"), unused(docs.columns, "__hash")
+    hashed = docs.withColumn(own_hash, F.xxhash64("text"))
+    gone, again = gone.toDF(key, mark), again.toDF(key, mark)
+    same = lambda ids: (F.col("doc_id") == F.col(key)) & (F.col(own_hash) == F.col(mark))
     kept = hashed.join(small(gone), same(gone), "left_anti")
     if not again.isEmpty():
-        once = kept.join(small(again), same(again), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+        once = kept.join(small(again), same(again), "left_semi").dropDuplicates(["doc_id", own_hash])
         kept = kept.join(small(again), same(again), "left_anti").unionByName(once)
-    return kept.drop("__text_hash")
+    return kept.drop(own_hash)

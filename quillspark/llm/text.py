@@ -147,3 +147,11 @@ def shingle_sets(found: Words, size: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, U64))
     return out
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or with marks before it that no column has; names are compared without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
