@@ -10,38 +10,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, language_id, minhash_dedup, mixing, queries, toxicity
+from quillspark.llm.text import unused
 from quillspark.scratch import Scratch
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter or fit two languages about equally well."""
+    """Rejects texts that are null, have no letter or fit two languages about equally well.
+
+    Repeated rows are judged alike; other columns stay, whatever their names."""
     dictionaries = language_id.fit(docs.where(queries.fold("doc_id", 4) != 2))
-    judged = language_id.identify(docs, dictionaries, into="__language")
-    return judged.where("__language.sure").drop("__language")
+    into = unused(docs.columns, "__language")
+    return language_id.identify(docs, dictionaries, into=into).where(F.col(into)["sure"]).drop(into)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts whose toxicity is 0.7 or more; learns from the labels of those that it is given."""
+    """Rejects texts whose toxicity is 0.7 or more; learns from the labels of those that it is given.
+
+    Null and empty texts have the intercept's; repeated rows are judged alike; other columns stay."""
     model = queries.toxicity_model(docs, queries.read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, into="__toxicity").where("__toxicity < 0.7").drop("__toxicity")
+    into = unused(docs.columns, "__toxicity")
+    return toxicity.score(docs, model, into=into).where(F.col(into) < 0.7).drop(into)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near duplicates (five words, similarity 0.8) the smallest doc_id stays.
+
+    Null and wordless texts, and rows without a doc_id, all stay; of full repeats one does."""
     return minhash_dedup.deduplicated(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that hold a test item; a text is known by its hash, with an id or without."""
+    """Rejects texts that hold a test item; a text is known by its hash, with an id or without.
+
+    Null and empty texts hold none; repeated rows go or stay together; other columns stay."""
     keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     found = decontaminate.matches(keyed, queries.read(spark, sf_dir, "benchmark")).where("leaked")
-    leaks = Scratch(spark, "leaks").save(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    leak = unused(docs.columns, "__leak")
+    leaks = Scratch(spark, "leaks").save(found.select(F.col("doc_id").alias(leak)).distinct(), "leaks")
     small = F.broadcast(leaks) if leaks.count() <= 1_000_000 else leaks  # 8 bytes each
-    return docs.join(small, F.xxhash64("text") == F.col("__leak"), "left_anti")
+    return docs.join(small, F.xxhash64("text") == F.col(leak), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document, and the words that they come to."""
+    """Copies of each document, and the words that they come to.
+
+    Null, empty and wordless texts have size 0 and no copy; repeated rows each count; null
+    sources are one source, the last."""
     mixed = mixing.mix(docs)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
