@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import components, embedding_dedup, minhash_dedup
+from quillspark.llm import embedding_dedup, minhash_dedup
+from quillspark.operators import components
 from quillspark.scratch import Scratch
 
 
