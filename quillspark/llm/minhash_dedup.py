@@ -12,7 +12,9 @@ documents share values, so they stay together.
 * In a large node of the first trees every document is compared with the node's
   smallest one, in the same two steps.  Where that leaves more than one component, and more than a few
   documents outside the largest, the node branches on, two children a document.
-* Where few are left outside the largest component, and at the last level, a node is
+  The next branchings are wide, so that no pair at the threshold is lost on the way;
+  later ones are narrow, so that documents below it become fewer with every level.
+* Where those outside the largest component make a few blocks at most, a node is
   compared on the full sets: those outside with each other and with blocks of the
   largest component, whose members need not be compared among themselves.  That
   returns what hangs together, one row a document, so a group of near copies never
@@ -42,14 +44,15 @@ from quillspark.scratch import Scratch
 class DedupParams:
     """``words``: words of a shingle. ``percent``: similarity from which documents link.
     ``trees``: independent trees. A pair at 0.8 follows a first branching of ``extra`` more
-    children with chance 0.84, and later ones, of two children each, with 0.94 for all
-    levels together, so all trees miss it with a chance of 7e-5 at most. ``slots``:
-    minwise coordinates. ``small``: documents of a node that is compared by its pairs.
+    children with chance 0.84, and ``wide`` later ones, of two children each, with 0.94
+    for all levels together, in 6.5 nodes on average, so all trees miss it with a chance
+    of 7e-5 at most. Narrow ones after that, 1.25 children each, keep one such node with
+    0.3 for ten levels, and the pair with 0.9. ``slots``: minwise coordinates. ``small``: documents of a node that is compared by its pairs.
     ``leader_trees``: trees whose large nodes are compared with their smallest document
     first; that only saves later work.
-    ``rest``: documents outside the largest component of a node that is compared on full
-    sets, and of a block of them; ``block`` and ``block_shingles``: of a block of that
-    component. ``levels``: branchings at most. ``broadcast_ids``: ids up to which a filter
+    ``block`` and ``block_shingles``: documents and shingles of a block; ``rest``: documents
+    outside the largest component of a node that is compared on full sets, a few blocks,
+    as branching on would copy each document as often. ``levels``: branchings at most. ``broadcast_ids``: ids up to which a filter
     is sent to all tasks (24 bytes each)."""
 
     words: int = 5
@@ -58,10 +61,11 @@ class DedupParams:
     slots: int = 64
     small: int = 50
     leader_trees: int = 3
-    rest: int = 200
+    rest: int = 3_000
     block: int = 1_000
     block_shingles: int = 1_000_000
-    levels: int = 4
+    wide: int = 4
+    levels: int = 24
     extra: float = 0.25
     broadcast_ids: int = 500_000
 
@@ -109,9 +113,10 @@ def sketch(docs: DataFrame, params: DedupParams) -> DataFrame:
 
 
 def _branch(rows: DataFrame, params: DedupParams, level: int) -> DataFrame:
-    """Children of each row's node: one coordinate, and a second one with chance ``extra``
-    at first and always later, chosen by the node alone, so that all its documents choose alike."""
-    extra = params.extra if level == 0 else 1.0
+    """Children of each row's node: one coordinate, and a second one with chance ``extra``,
+    always at the ``wide`` levels after the first, chosen by the node alone, so that all its
+    documents choose alike."""
+    extra = 1.0 if 1 <= level <= params.wide else params.extra
     first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(params.slots)).cast("int")
     second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(1)), F.lit(params.slots)).cast("int")
     more = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(1000)) < int(1000 * extra)
@@ -174,8 +179,13 @@ def _small_pairs(rows: DataFrame, params: DedupParams) -> DataFrame:
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8_192) -> np.ndarray:
     """Sizes of the intersections of all on the left with all on the right, exactly: products
-    of 0/1 columns, ``width`` shingles that both sides have at a time."""
-    names = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    of 0/1 columns, ``width`` shingles that both sides have at a time. Where both are one list, those of one
+    document alone are left out, so its overlap with itself is too small."""
+    if left is right:
+        names, held_by = np.unique(np.concatenate(left), return_counts=True)
+        names = names[held_by > 1]
+    else:
+        names = np.intersect1d(np.concatenate(left), np.concatenate(right))
     sides = []
     for sets in (left, right):
         flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -200,8 +210,8 @@ def _dealt(rows: DataFrame, params: DedupParams) -> DataFrame:
     Blocks of the largest component (left < 0) meet every block of the rest, and those meet
     each other. ``side``: 0 left, 1 right, 2 both. So no task holds a whole large node, and
     each document of the largest component is copied as often as the rest has blocks."""
-    blocks = lambda n, shingles, size: F.greatest(F.ceil(F.col(n) / size), F.ceil(F.col(shingles) / params.block_shingles)).cast("int")
-    cut = rows.withColumn("__most", blocks("n_most", "s_most", params.block)).withColumn("__rest", blocks("n_rest", "s_rest", params.rest))
+    blocks = lambda n, shingles: F.greatest(F.ceil(F.col(n) / params.block), F.ceil(F.col(shingles) / params.block_shingles)).cast("int")
+    cut = rows.withColumn("__most", blocks("n_most", "s_most")).withColumn("__rest", blocks("n_rest", "s_rest"))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("most"), F.col("__most")).otherwise(F.col("__rest"))).cast("int"))
     most = "transform(sequence(0, __rest - 1), k -> struct(-1 - part AS left, k AS right, 0 AS side))"
     rest = "transform(sequence(0, __most - 1), i -> struct(-1 - i AS left, part AS right, 1 AS side))"
@@ -220,7 +230,9 @@ def _leaf_links(rows: DataFrame, params: DedupParams) -> DataFrame:
         if not len(left) or not len(right):
             return rep[:0], rep[:0]
         sets = [np.frombuffer(x, U64) for x in group["set"].to_pylist()]
-        both = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+        on_left = [sets[i] for i in left]
+        on_right = on_left if np.array_equal(left, right) else [sets[i] for i in right]
+        both = _overlaps(on_left, on_right)
         u, v = np.nonzero(100 * both >= percent * (size[left][:, None] + size[right][None, :] - both))
         u, v = left[u], right[v]
         order = np.argsort(np.argsort(rep, kind="stable"), kind="stable")  # the smallest rep of a part is its root
