@@ -96,7 +96,26 @@ def test_minhash_in_a_node_of_near_copies_and_a_shared_passage(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expect = _brute(rows, 5)[1]
-    params = minhash_dedup.DedupParams(small=10, rest=30, block=50)
+    params = minhash_dedup.DedupParams(small=10, rest=150, block=50)
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.classes(docs, params).collect()} == expect
+
+
+def test_minhash_where_most_near_copies_are_below_the_threshold(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(700):  # 5 or 6 changes leave two copies of one text below 0.8, a third of them with a partner
+        copy = list(base)
+        for k in rng.sample(range(0, 120, 6), rng.choice([5, 6])):
+            copy[k] = f"x{i}_{k}"
+        rows.append(" ".join(copy))
+        if i % 3 == 0:
+            rows.append(" ".join([*copy[:-2], f"y{i}"]))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect = _brute(rows, 5)[1]
+    assert len(set(expect.values())) == 700
+    params = minhash_dedup.DedupParams(small=10, rest=100, block=40, wide=1)
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.classes(docs, params).collect()} == expect
 
 
