@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, embedding_dedup, hmm, language_id, minhash_dedup, mixing, quality, toxicity, url_filter, warc
+from quillspark.llm import conversation_repair, decision_list, decontaminate, embedding_dedup, filter_audit, hmm, language_id, minhash_dedup, mixing, quality, toxicity, url_filter, warc
 from quillspark.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,8 +132,43 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Toxic:
     return toxicity.fit(docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage, faults and cheapest repair of every conversation. A null conv_id is a conversation of its own;
+    null roles and texts are one space; null turns come first; different rows of one turn stand by
+    role and then digest of the text; repeated rows are duplicates; very long texts count whole; columns
+    other than those read are ignored; no rows give none."""
+    rows = conversation_repair.damaged(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversation_repair.summary(rows, conversation_repair.edits(rows))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every whole text, base rules, then the learned list. Null, empty and wordless texts
+    have no words and fail the base rules; a share at a limit passes; repeated rows are judged
+    alike; without labels of both kinds nothing but the base rules rejects; columns other than
+    those read are ignored; no documents give no rows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", decision_list.statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    docs = Scratch(spark, "statistics").save(docs.withColumn("base_failed", base), "statistics")
+    grades = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    rules = decision_list.learn(docs.where(~F.col("base_failed")).join(grades, "doc_id"))
+    kept = ~F.col("base_failed") & rules.verdict()
+    deciding = F.when(F.col("base_failed"), "base").otherwise(rules.rule())
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return docs.select("doc_id", *counts, "base_failed", kept.alias("kept"), deciding.alias("deciding_rule"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order and step of five filters, for each source. Null texts are empty, and so alike; a null
+    source is the empty one; a row without a doc_id repeats no text and has no label; rows that
+    repeat a doc_id each count, none of them repeats another; very long texts count whole; a share
+    at a limit passes; columns other than those read are ignored; no documents give no rows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit.audit(filter_audit.cells(docs, labels), filter_audit.LETTERS)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_url_filter, op2_embedding_dedup, op3_mixing, op4_hmm, op5_minhash_dedup, op6_warc_revisits, op7_quality, op8_language_id, op9_decontamination, op10_toxicity)
+    found = (op1_url_filter, op2_embedding_dedup, op3_mixing, op4_hmm, op5_minhash_dedup, op6_warc_revisits, op7_quality, op8_language_id, op9_decontamination, op10_toxicity, op11_conversation_repair, op12_quality_rules, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
@@ -148,5 +183,35 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >=
 """
 
 
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), first AS (SELECT text, min(doc_id) AS first FROM t GROUP BY 1),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN t.doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM t JOIN first USING (text) LEFT JOIN l ON l.doc_id = t.doc_id
+), cell AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, substr(o, step, 1) AS f, substr(o, 1, step - 1) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, o, step, f, n, good, toxic, fails, contains(fails, f) AS now, length(translate(fails, before, '')) < length(fails) AS earlier FROM cell, s
+), g AS (
+  SELECT part, o, step, f, sum(CASE WHEN NOT now AND NOT earlier THEN n ELSE 0 END) AS kept, sum(CASE WHEN now AND NOT earlier THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN now AND earlier THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN now AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN now AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY 1, 2, 3, 4
+)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": OP6_SQL}
+    return {"op6_warc_revisits": OP6_SQL, "op13_filter_audit": OP13_SQL}

@@ -10,14 +10,16 @@ import pytest
 
 import corpus_pipeline
 from quillspark.llm import queries
+from test_rules import cheapest, counts, damaged
 
-CLASHES = "host path rule verdict score size copies target taken language toxicity grade label held_out component_id node rep __text_hash __id __hash __language __toxicity __leak __size __row __block __page vec_id".split()
+CLASHES = "n kind digest row part segment audit cost first hot mask label_ n_words kept base_failed host path rule verdict score size copies target taken language toxicity grade label held_out component_id node rep __text_hash __id __hash __language __toxicity __leak __size __row __block __page vec_id".split()
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "embeddings": "vec_id long, embedding array<float>, label int",
     "pages": "page_id long, url string, html string",
     "benchmark": "item_id long, text string",
     "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 
 
@@ -40,7 +42,9 @@ def _rows():
     pages = [(i, f"http://h{i % 9}.{rng.choice(['net', 'org', 'com'])}/fr/{i}", "<p>" + "x" * (50 + i % 7 * 30)) for i in range(60)]
     pages += [(70, None, None), (71, "no scheme", ""), (72, "http://a.net/" + "y" * 20_000, "z" * 300_000), pages[3]]
     labels = [(d[0], int(d[0] % 5 > 0), int(d[0] % 4 == 0)) for d in docs[:120]] + [(3, None, None), (None, 1, 1), (4, 1, 1), (4, 1, 1)]
-    return {"documents": docs, "embeddings": vectors, "pages": pages, "benchmark": [(1, item), (1, item), (2, None), (None, item), (3, "")], "labels": labels}
+    turns = [(i // 4, i % 4, ["user", "assistant"][i % 2], f"turn {i}.") for i in range(80)]
+    turns += [(30, 0, None, None), (None, None, "user", "hello."), (31, None, "system", "x"), turns[2], turns[2], (32, 0, "user", "long. " * 60_000), (33, 1, "user", ""), (33, 1, "", "b.")]
+    return {"conversations": turns, "documents": docs, "embeddings": vectors, "pages": pages, "benchmark": [(1, item), (1, item), (2, None), (None, item), (3, "")], "labels": labels}
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +53,7 @@ def odd(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("odd")
     for name, rows in _rows().items():
         table = spark.createDataFrame(rows, SCHEMAS[name])
-        more = [c for c in CLASHES if c not in table.columns] if name in ("documents", "embeddings", "pages") else []
+        more = [c for c in CLASHES if c not in table.columns] if name in ("documents", "embeddings", "pages", "conversations") else []
         table.selectExpr("*", *(f"'own' AS {c}" for c in more)).coalesce(2).write.parquet(f"{root}/{name}.parquet")
     return str(root)
 
@@ -159,6 +163,38 @@ def test_op10(spark, odd):
     assert same[202] == same[203] == same[204]
 
 
+def test_op11(spark, odd):
+    rows = {r["conv_id"]: r for r in queries.op11_conversation_repair(spark, odd).collect()}
+    turns = _rows()["conversations"]
+    assert set(rows) == {t[0] for t in turns}
+    for conv, table in damaged(turns).items():
+        counts, lines = cheapest(table)
+        r = rows[conv]
+        assert tuple(r[c] for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")) == counts
+        assert r["repaired_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def test_op12(spark, odd):
+    rows = queries.op12_quality_rules(spark, odd).collect()
+    docs = _rows()["documents"]
+    assert len(rows) == len(docs)
+    texts = {d[0]: d[1] for d in docs}
+    for r in rows:
+        n = counts(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == n
+        assert r["base_failed"] == (n[0] < 10 or 100 * n[4] > 20 * n[0]) and not (r["base_failed"] and r["kept"])
+
+
+def test_op13(spark, odd):
+    rows = queries.op13_filter_audit(spark, odd).collect()
+    docs = _rows()["documents"]
+    assert {r["part"] for r in rows} == {d[3] or "" for d in docs} and len(rows) == 600 * len({r["part"] for r in rows})
+    for part in {r["part"] for r in rows}:
+        last = {r["kept"] for r in rows if r["part"] == part and r["step"] == 5}
+        sizes = {r["kept"] + r["removed"] for r in rows if r["part"] == part and r["step"] == 1}
+        assert len(last) == 1 and sizes == {sum((d[3] or "") == part for d in docs)}
+
+
 def test_pipeline(spark, odd):
     docs, columns = spark.read.parquet(f"{odd}/documents.parquet"), None
     for name, stage in corpus_pipeline.STAGES[:-1]:
