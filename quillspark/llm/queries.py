@@ -183,6 +183,48 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >=
 """
 
 
+_NEVER = "{'c': 1099511627776, 'a': '', 't': ''}"
+
+
+def _with(state: str, cost: str, edit: str, line: str | None = None) -> str:
+    """SQL of a state after an edit: cost, audit and repaired lines."""
+    lines = f"{state}.t" if line is None else f"{state}.t || CASE WHEN {state}.t = '' THEN '' ELSE chr(10) END || {line}"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {edit}, 't': {lines}}}"
+
+
+_STAYS = "(CASE WHEN kind = 'T' THEN 5 ELSE 0 END)"
+OP11_SQL = f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT)),
+         lambda c, b: list_reduce(range(8), lambda x, z: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295) % 20 AS k
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)
+), damaged AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0
+), placed AS (
+  SELECT *, translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ', '') AS solid, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM damaged
+), r AS (
+  SELECT id, turn, role, text, n, role[1:1] AS x, lag(role[1:1]) OVER (PARTITION BY id ORDER BY n) AS before,
+         CASE WHEN solid = '' THEN 'B' WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY n) > 1 THEN 'D' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'T' ELSE 'G' END AS kind FROM placed
+), facts AS (
+  SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, sum(CASE kind WHEN 'B' THEN 1 ELSE 0 END) AS blank, sum(CASE kind WHEN 'D' THEN 1 ELSE 0 END) AS duplicate,
+         sum(CASE kind WHEN 'T' THEN 1 ELSE 0 END) AS truncated, sum(CASE WHEN before || x NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal FROM r GROUP BY 1
+), fold AS (
+  SELECT id, CAST(0 AS BIGINT) AS n, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS e, {_NEVER} AS s, {{'c': CAST(5 AS BIGINT), 'a': 'I', 't': 'user:'}} AS u, {{'c': CAST(10 AS BIGINT), 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS a FROM facts
+  UNION ALL
+  SELECT id, n, e, s, u, least(a, {_with("u", "5", "'I'", "'assistant:'")}) AS a FROM (
+    SELECT id, n, e, s, least(u, {", ".join(_with(x, "5", "'I'", "'user:'") for x in "esa")}) AS u, a FROM (
+      SELECT id, n, {_with("e", "2", "'D'")} AS e, least({_with("s", "2", "'D'")}, CASE WHEN stays AND x = 's' THEN {_with("e", _STAYS, "'K'", "role || ':' || text")} ELSE {_NEVER} END) AS s,
+             least({_with("u", "2", "'D'")}, CASE WHEN stays THEN least({", ".join(_with(y, f"{_STAYS} + CASE x WHEN 'u' THEN 0 ELSE 1 END", "CASE x WHEN 'u' THEN 'K' ELSE 'R' END", "CASE x WHEN 'u' THEN role ELSE 'user' END || ':' || text") for y in "esa")}) ELSE {_NEVER} END) AS u,
+             least({_with("a", "2", "'D'")}, CASE WHEN stays THEN {_with("u", f"{_STAYS} + CASE x WHEN 'a' THEN 0 ELSE 1 END", "CASE x WHEN 'a' THEN 'K' ELSE 'R' END", "CASE x WHEN 'a' THEN role ELSE 'assistant' END || ':' || text")} ELSE {_NEVER} END) AS a
+      FROM (SELECT r.*, e, s, u, a, kind IN ('T', 'G') AS stays FROM fold JOIN r ON r.id = fold.id AND r.n = fold.n + 1)))
+), best AS (SELECT facts.*, least(e, a) AS best FROM fold JOIN facts USING (id, n))
+SELECT CAST(nullif(c.id, '') AS BIGINT) AS conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), '') AS id FROM conversations) c LEFT JOIN best USING (id)
+"""
+
+
 OP13_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -214,4 +256,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": OP6_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op6_warc_revisits": OP6_SQL, "op11_conversation_repair": OP11_SQL, "op13_filter_audit": OP13_SQL}
