@@ -22,6 +22,10 @@ INGEST_STEPS = (
 PHASES = ("pending", "ocr", "embedding", "vector_indexing", "ready")
 PHASE_FLOORS = {"ocr": 8, "embedding": 40, "vector_indexing": 75}
 
+# fixed values: entities that pages hold most, the ampersand last; any other beginning of an entity
+COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|copy|middot|nbsp|amp);)[#A-Za-z]"
+
 # fixed values: text patterns
 HTML_TAG = r"</?[A-Za-z][^>]*>"
 ASCII_TOKEN = r"[a-z0-9_]+"

@@ -19,10 +19,13 @@ def strip(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Decode the entities that the pages here hold; the ampersand last, so nothing is decoded twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Decode every HTML entity. The common ones are decoded in the JVM, the ampersand last, so that
+    nothing is decoded twice; texts with any other are decoded in Python, and only those travel."""
+    other = F.when(F.regexp_like(c, F.lit(C.OTHER_ENTITY)), c)
+    common = c
+    for entity, char in C.COMMON_ENTITIES:
+        common = F.replace(common, F.lit(entity), F.lit(char))
+    return F.coalesce(unescape_all(other), common)
 
 
 @F.pandas_udf(StringType())
@@ -31,10 +34,10 @@ def unescape_all(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else html.unescape(x))
 
 
-def clean(c: Column, every_entity: bool = False) -> Column:
+def clean(c: Column) -> Column:
     """Display text: entities decoded first, then tags become spaces, white space is collapsed
     and trimmed. Null becomes empty; comments and doctypes survive."""
-    decoded = (unescape_all if every_entity else unescape)(F.coalesce(c, F.lit("")))
+    decoded = unescape(F.coalesce(c, F.lit("")))
     return strip(F.regexp_replace(F.regexp_replace(decoded, C.HTML_TAG, " "), r"(?U)\s+", " "))
 
 

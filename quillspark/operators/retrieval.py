@@ -8,16 +8,24 @@ Scores are rounded to 6 places before they are ranked, and ties go to the smalle
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillspark.functions import constants as C
 from quillspark.functions import text as T
 from quillspark.scratch import Scratch
 
-#: Queries of one batch at most; more belong into several batches.
+#: Queries of one batch at most, and different terms of them; more belong into several batches.
 MOST_QUERIES = 10_000
+MOST_TERMS = 200_000
 
 
 def top_k(rows: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
@@ -57,20 +65,75 @@ def cosine(a: Column, b: Column, full_norms: bool = False) -> Column:
     return F.when(a.isNull() | b.isNull() | (n <= 0), 0.0).when(both > 0, dot / both).otherwise(0.0)
 
 
+class _Asked:
+    """Vectors of a batch of queries: one matrix for each length, with norms."""
+
+    def __init__(self, rows: list):
+        self.by_length: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        for n in {len(r[1]) for r in rows}:
+            own = [r for r in rows if len(r[1]) == n]
+            matrix = np.array([r[1] for r in own], np.float64).reshape(len(own), n)
+            self.by_length[n] = ([r[0] for r in own], matrix, np.linalg.norm(matrix, axis=1))
+
+    def scores(self, vectors: np.ndarray, same_length: bool) -> Iterator[tuple[list, np.ndarray]]:
+        """(query ids, rows x queries) of cosines, rounded, of vectors of one length."""
+        size, norms = vectors.shape[1], np.linalg.norm(vectors, axis=1)
+        for n, (ids, matrix, own) in self.by_length.items():
+            if same_length and n != size:
+                continue
+            k = min(n, size)
+            both = np.outer(np.where(norms == 0, 1.0, norms), np.where(own == 0, 1.0, own))  # a zero vector's product is 0 anyway
+            yield ids, np.round(vectors[:, :k] @ matrix[:, :k].T / both, 6)
+
+
+def best_rows(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best positive scores; ties go to the smaller ``order``."""
+    good = np.flatnonzero(scores > 0)
+    if len(good) > k:
+        least = np.partition(scores[good], -k)[-k]
+        above, ties = good[scores[good] > least], good[scores[good] == least]
+        good = np.concatenate([above, ties[np.argsort(order[ties], kind="stable")][: k - len(above)]])
+    return good
+
+
 def dense_track(queries: DataFrame, corpus: DataFrame, k: int, same_length: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, by, id, score, rank) of the ``k`` nearest of ``corpus`` (id, vector, group columns)
     to each of ``queries`` (query_id, query_vector); similarities above 0 alone.
 
+    The batch's vectors go to all tasks as matrices; each block of corpus rows is one product,
+    and only the ``k`` best of a block for each query (and group) are shuffled.
+
     ``by``: columns of ``corpus``; each of their groups has its own ``k`` nearest.
 
     ``same_length``: other lengths don't count; else the looser rule of :func:`cosine`.
     """
-    rows = against(corpus.where(F.size("vector") > 0), queries.where(F.size("query_vector") > 0).select("query_id", "query_vector"))
-    if same_length:
-        rows = rows.where(F.size("vector") == F.size("query_vector"))
-    score = F.round(cosine(F.col("query_vector"), F.col("vector"), full_norms=not same_length), 6)
-    rows = rows.select("query_id", *by, "id", score.alias("score")).where("score > 0")
-    return top_k(rows, k, ["query_id", *by], [F.desc("score"), F.asc("id")])
+    asked = queries.where(F.size("query_vector") > 0).select("query_id", F.col("query_vector").cast("array<double>"))
+    rows = asked.limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"a batch holds {MOST_QUERIES} queries at most")
+    spark, keys = corpus.sparkSession, list(by)
+    shared = spark.sparkContext.broadcast(_Asked([r for r in rows if None not in r[1]]))
+    block = max(1, 4_000_000 // max(1, len(rows)))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.assign(length=[len(v) for v in frame["vector"]])
+            for _, group in frame.groupby(["length", *keys], dropna=False, sort=False):
+                for at in range(0, len(group), block):
+                    part = group.iloc[at : at + block]
+                    order = part["id"].rank(method="first").to_numpy()
+                    found = []
+                    for ids, scores in shared.value.scores(np.stack(part["vector"].to_numpy()).astype(np.float64), same_length):
+                        for q, column in zip(ids, scores.T):
+                            good = best_rows(column, order, k)
+                            found.append(part.iloc[good][[*keys, "id"]].assign(query_id=q, score=column[good]))
+                    if found:
+                        yield pd.concat(found)[["query_id", *keys, "id", "score"]]
+
+    types = {f.name: f for f in [*corpus.schema.fields, *asked.schema.fields]}
+    schema = StructType([types["query_id"], *(types[c] for c in keys), types["id"], StructField("score", DoubleType())])
+    near = corpus.where(F.size("vector") > 0).select(*keys, "id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(score, schema)
+    return top_k(near, k, ["query_id", *by], [F.desc("score"), F.asc("id")])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -79,17 +142,45 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", phrase.alias("phrase"), F.array_distinct(F.transform(T.terms(phrase), lambda t: t["term"])).alias("query_terms"))
 
 
-def _containing(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+def batch_terms(terms: DataFrame, most: int = MOST_TERMS) -> list[str]:
+    """The distinct terms of a batch of queries, their number checked."""
+    found = [r[0] for r in terms.select("term").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} different terms in one batch")
+    return found
+
+
+def _containing(vocabulary: DataFrame, terms: list[str]) -> DataFrame:
     """(word, df, term, times): the terms that occur in each word, and how often without overlap.
 
-    A word is cut into its parts of the lengths that terms have, which meet the terms
-    by equality; so the cost follows the vocabulary, not vocabulary times terms."""
-    lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())  # a few small numbers
-    size = F.length("word")
-    of = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), size - (k - 1)), lambda i: F.substr("word", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    parts = F.array_distinct(F.flatten(F.array(*(of(k) for k in lengths)))) if lengths else F.array().cast("array<string>")
-    pairs = vocabulary.withColumn("term", F.explode(parts)).join(F.broadcast(terms), "term")
-    return pairs.withColumn("times", T.non_overlapping(F.col("word"), F.col("term")))
+    All terms are looked for at once, in one pass over each distinct word; so the cost
+    follows the length of the vocabulary, not the number or length of the terms."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast(terms)
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for term in shared.value:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for frame in frames:
+            out: list[tuple] = []
+            for word, df in zip(frame["word"], frame["df"]):
+                free, times = {}, {}  # where a term may begin again
+                for end, term in automaton.iter(word):
+                    begin = end + 1 - len(term)
+                    if begin >= free.get(term, 0):
+                        free[term], times[term] = end + 1, times.get(term, 0) + 1
+                out += [(word, df, term, n) for term, n in times.items()]
+                if len(out) >= 100_000:
+                    yield pd.DataFrame(out, columns=_FOUND)
+                    out = []
+            yield pd.DataFrame(out, columns=_FOUND)
+
+    schema = "word string, df long, term string, times int"
+    return vocabulary.mapInPandas(find, schema) if terms else vocabulary.sparkSession.createDataFrame([], schema)
+
+
+_FOUND = ["word", "df", "term", "times"]
 
 
 def lexical_track(queries: DataFrame, corpus: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -106,7 +197,7 @@ def lexical_track(queries: DataFrame, corpus: DataFrame, k: int, by: tuple[str,
     each = batch(asked).select("query_id", F.explode("query_terms").alias("term"))
     words = corpus.select(*keys, F.explode(F.regexp_extract_all("low", F.lit(f"{C.ASCII_TOKEN}|{C.CJK_RUN}"), F.lit(0))).alias("word"))
     words = scratch.save(words.groupBy(*keys, "word").agg(F.count("*").alias("n")), "words")
-    pairs = _containing(words.groupBy("word").agg(F.count("*").alias("df")), each.select("term").distinct())
+    pairs = _containing(words.groupBy("word").agg(F.count("*").alias("df")), batch_terms(each))
     pairs = scratch.save(pairs, "pairs")
     weights = pairs.join(F.broadcast(each), "term").groupBy("word", "query_id").agg(F.sum("times").alias("times"))
     counted = words.join(weights, "word").groupBy("query_id", *keys).agg(F.sum(F.col("n") * F.col("times")).alias("counted"))
@@ -166,14 +257,6 @@ def sparse_track(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return top_k(rows.where("score > 0"), k, ["query_id"], [F.desc("score"), F.asc("id")])
 
 
-def merged(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of two lexical tracks as one: of an id in both the better
-    score counts, ties go to the first track, then to the smaller id."""
-    rows = first.select("query_id", "id", "score", F.lit(1).alias("t")).union(second.select("query_id", "id", "score", F.lit(2).alias("t")))
-    best = rows.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min("t").alias("t"))
-    return top_k(best, k, ["query_id"], [F.desc("score"), F.asc("t"), F.asc("id")]).drop("t")
-
-
 def or_else(track: DataFrame, other: DataFrame) -> DataFrame:
     """``track``, and the rows of ``other`` for the queries that it has no row for."""
     missing = other.join(track.select("query_id").distinct(), "query_id", "left_anti")
@@ -204,18 +287,20 @@ def fuse(first: DataFrame, second: DataFrame, k: int, raw_single: bool = True, b
     hits could give.  ``raw_single``: a track that is alone keeps its own scores.
     Ties go to the better rank in the first track, then in the second.
     """
-    keys = list(by)
-    rows = first.select(*keys, "id", F.lit(1).alias("track"), "score", "rank").union(second.select(*keys, "id", F.lit(2).alias("track"), "score", "rank"))
-    tracks = F.count_distinct("track").alias("tracks")
-    active = rows.groupBy(*keys).agg(tracks)
-    at = lambda t: F.max(F.when(F.col("track") == t, F.col("rank")))
-    merged = rows.groupBy(*keys, "id").agg(
-        F.sum(1.0 / (C.FUSION_OFFSET + F.col("rank"))).alias("sum"), F.max("score").alias("raw"), at(1).alias("rank_1"), at(2).alias("rank_2")
+    keys = [*by, "id"]
+    track = lambda t, n: t.select(*(F.col(c).alias(f"{c}_{n}") for c in (*keys, "score", "rank")))
+    same = reduce(lambda x, y: x & y, (F.col(f"{c}_1").eqNullSafe(F.col(f"{c}_2")) for c in keys))
+    part = lambda n: F.coalesce(1.0 / (C.FUSION_OFFSET + F.col(f"rank_{n}")), F.lit(0.0))
+    both = track(first, 1).join(track(second, 2), same, "full_outer")
+    of = Window.partitionBy(*by)
+    rows = both.select(
+        *(F.coalesce(f"{c}_1", f"{c}_2").alias(c) for c in keys), (part(1) + part(2)).alias("sum"), F.greatest("score_1", "score_2").alias("raw"), "rank_1", "rank_2"
     )
-    fused = F.col("sum") / (F.col("tracks") / F.lit(float(C.FUSION_OFFSET + 1)))
-    score = F.when(F.col("tracks") == 1, F.col("raw")).otherwise(fused) if raw_single else fused
-    rows = merged.join(active, keys).select(*keys, "id", F.round(score, 6).alias("score"), "rank_1", "rank_2")
-    ranked = top_k(rows, k, keys, [F.desc("score"), F.asc_nulls_last("rank_1"), F.asc_nulls_last("rank_2")])
+    tracks = sum((F.max(F.when(F.col(f"rank_{n}").isNotNull(), 1).otherwise(0)).over(of) for n in (1, 2)), F.lit(0))
+    fused = F.col("sum") / (tracks / F.lit(float(C.FUSION_OFFSET + 1)))
+    score = F.when(tracks == 1, F.col("raw")).otherwise(fused) if raw_single else fused
+    rows = rows.select(*keys, F.round(score, 6).alias("score"), "rank_1", "rank_2")
+    ranked = top_k(rows, k, list(by), [F.desc("score"), F.asc_nulls_last("rank_1"), F.asc_nulls_last("rank_2")])
     return ranked.drop("rank_1", "rank_2")
 
 

@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A table in fewer files than there are cores is dealt over all of them; a large one is left as it lies."""
+    """A table in fewer parts than there are cores is dealt over all of them; a large one is left as it lies."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 GOLDEN = "id string, question string, reference_answer string, expected_citations_keywords array<string>, knowledge_base_hint string"

@@ -89,7 +89,7 @@ def test_tokens_and_types(spark):
 
 def test_clean_text(spark):
     assert one(spark, T.clean, "a&lt;b&gt;x&lt;/b&gt;&amp;lt; <td>1</td>\n  2") == "a x &lt; 1 2"
-    assert one(spark, lambda c: T.clean(c, every_entity=True), "&eacute;&#x41;") == "éA"
+    assert one(spark, T.clean, "&eacute;&#x41; &amp;lt; AT&T &notit; &ampx &#0;") == "éA &lt; AT&T ¬it; &x \ufffd"
 
 
 def test_terms(spark):
