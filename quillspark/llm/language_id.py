@@ -1,7 +1,6 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is made of pieces of
-labelled texts.  A text is cut into segments at white space, each segment is
+For each language a zstandard raw-content dictionary is made of labelled texts.  A text is cut into segments at white space, each segment is
 compressed with each dictionary, and the language whose sizes sum to least wins.
 Segments keep the dictionary in reach over the whole of a long text.  The margin
 to the second language says how sure that is; narrow margins can be rejected.
@@ -9,7 +8,6 @@ to the second language says how sure that is; narrow margins can be rejected.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +16,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.llm.shards import row_key
 
@@ -25,60 +24,49 @@ from quillspark.llm.shards import row_key
 @dataclass(frozen=True)
 class LangParams:
     """``rows``: labelled rows that a language's dictionary is made of, about.
-    ``dictionary``: bytes of a dictionary. ``piece``: bytes of a row's text that it is made
-    of at most, from a place given by a hash. ``languages``: more labels are refused, as
-    what is sent to tasks would have no bound.
+    ``dictionary``: bytes of a dictionary; ``together``: bytes of all of them, so that many
+    languages have smaller ones, of ``least`` bytes at least.
     ``segment``: bytes compressed together. ``margin``: part by which the second language
     must be larger than the first, with one byte at least, for a sure answer."""
 
     rows: int = 300
     dictionary: int = 65_536
-    piece: int = 512
-    languages: int = 1_000
+    together: int = 16_000_000
+    least: int = 256
     segment: int = 4_096
     margin: float = 0.003
     level: int = 5
     seed: int = 11
 
 
-def _piece(text: str, size: int) -> bytes:
-    """Up to ``size`` bytes of the text from a place that its own bytes decide."""
-    data = text.lower().encode("utf-8")
-    if len(data) <= size:
-        return data
-    start = zlib.crc32(data) % (len(data) - size + 1)
-    return data[start : start + size]
-
-
 def fit(labelled: DataFrame, params: LangParams = LangParams()) -> dict[str, bytes]:
     """Dictionaries by language of (text, lang) rows; rows with a null in either teach nothing.
 
-    Every language is learned.  The rows in use are bounded by ``rows`` a language (on
-    average; chosen by a hash of the row); equal pieces count once.
+    Every language is learned.  Of about ``rows`` rows of each, chosen by a hash of the row,
+    the different texts follow one another whole, in order of their hash, until the
+    dictionary is full; only the text at its end is cut there.  What is collected is the
+    dictionaries, ``together`` bytes or ``least`` a language.
     """
-    place = F.pmod(row_key(labelled, params.seed), F.lit(1 << 40)) / float(1 << 40)
-    rows = labelled.select("text", "lang", place.alias("place")).where("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(params.languages + 1).collect()
-    if len(counts) > params.languages:
-        raise ValueError(f"more than {params.languages} languages")
+    spark, p = labelled.sparkSession, params
+    place = F.pmod(row_key(labelled, p.seed), F.lit(1 << 40)) / float(1 << 40)
+    rows = labelled.select("text", "lang", place.alias("place")).where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     if not counts:
         return {}
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, params.rows / r["n"])).otherwise(share)
-    size, schema = params.piece, "lang string, piece binary"
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"lang": batch["lang"], "piece": [_piece(t, size) for t in batch["text"]]})
-
-    chosen = rows.where(F.col("text").isNotNull() & (F.col("place") < share)).select("text", "lang").mapInPandas(cut, schema).distinct()
-    out: dict[str, bytes] = {r["lang"]: b"" for r in counts}
-    for r in chosen.orderBy("lang", F.xxhash64("piece"), "piece").collect():  # rows x piece bytes a language
-        if len(out[r["lang"]]) < params.dictionary:
-            out[r["lang"]] += bytes(r["piece"]) + b" "
-    # Too little text makes no dictionary: fewer than 8 bytes can't be matched.
-    return {k: v[-params.dictionary :] for k, v in out.items() if len(v) >= 8}
+    size = max(p.least, min(p.dictionary, p.together // len(counts)))
+    shares = spark.createDataFrame([(r["lang"], min(1.0, p.rows / r["n"])) for r in counts], "lang string, share double")
+    shares = F.broadcast(shares) if len(counts) <= 100_000 else shares
+    content = F.concat(F.lower("text").cast("binary"), F.lit(b" "))
+    chosen = rows.join(shares, "lang").where(F.col("place") < F.col("share")).select("lang", content.alias("content")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("content"), "content")  # ``rows`` a language, about
+    before = F.coalesce(F.sum(F.octet_length("content").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = (F.lit(size) - F.col("before")).cast("int")
+    parts = chosen.withColumn("before", before).where(F.col("before") < size).select("lang", "before", F.substring(F.col("content"), F.lit(1), room).alias("content"))
+    out: dict[str, list] = {r["lang"]: [] for r in counts}
+    for r in parts.collect():
+        out[r["lang"]].append((r["before"], bytes(r["content"])))
+    joined = {lang: b"".join(x for _, x in sorted(found)) or b" " for lang, found in out.items()}
+    return {lang: x * -(-8 // len(x)) for lang, x in joined.items()}  # a dictionary has 8 bytes at least
 
 
 def segments(data: bytes, size: int) -> Iterator[bytes]:
@@ -127,8 +115,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: LangParams
     """Add one column ``into`` to every row: a struct of lang_pred, score (0 to 1, from the margin) and sure.
 
     A null text, or one without a letter, is ``und`` with score 0 and not sure; so
-    is every text if nothing was learned.  The dictionaries are at most
-    ``languages`` times ``dictionary`` bytes, which bounds what is sent to tasks.
+    is every text if nothing was learned.  The dictionaries are ``together`` bytes, or
+    ``least`` a language, which bounds what is sent to tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast((dictionaries, params))
     made: list[Judge] = []

@@ -115,17 +115,18 @@ def _tilts(histogram: DataFrame, plan: pd.DataFrame, params: MixParams) -> pd.Da
 
 
 def _round_block(block: pd.DataFrame, most: float) -> pd.DataFrame:
-    """Copies of the rows of one block, longest first, the error carried along."""
+    """Copies of the rows of one block, longest first, the error carried along.
+
+    A row stands for ``rows`` that are alike: each has ``copies``, and ``more`` of them one more."""
     block = block.sort_values(["size", "__id", "__row"], ascending=[False, True, True], na_position="last", kind="stable")
-    sizes, rates = block["size"].to_numpy(), block["rate"].to_numpy()
+    sizes, rates, rows = block["size"].to_numpy(), block["rate"].to_numpy(), block["rows"].to_numpy()
     whole = np.floor(rates + 1e-9)
-    copies, error = whole.astype("int64"), 0.0
-    for i in np.flatnonzero(rates - whole > 1e-9):
-        error += (rates[i] - whole[i]) * sizes[i]
-        if error >= sizes[i] / 2 and copies[i] < most:
-            copies[i] += 1
-            error -= sizes[i]
-    return block.assign(copies=copies)
+    copies, more, error = whole.astype("int64"), np.zeros(len(block), np.int64), 0.0
+    for i in np.flatnonzero((rates - whole > 1e-9) & (whole < most)):
+        error += rows[i] * (rates[i] - whole[i]) * sizes[i]
+        more[i] = min(max(int(np.floor(error / sizes[i] + 0.5)), 0), rows[i])
+        error -= more[i] * sizes[i]
+    return block.assign(copies=copies, more=more)
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -134,15 +135,16 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     Null sources are one source, last in order.  Null, empty and wordless texts
     have size 0, rate 0 and no copy.  Rows that repeat a doc_id count each on
     their own; ``__row``, a hash of the text, tells them apart, and full repeats
-    may trade their copies.  The number of sources is taken to fit in the driver:
+    are one row with a count until their copies are known.  The number of sources is taken to fit in the driver:
     their sizes and targets are collected, nothing else.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
     rows = sized(docs.select("doc_id", "text", "source")).select(
         "doc_id", F.xxhash64("text").alias("__row"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("part"), "source", "__size"
     )
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("rows"))
     rows = scratch.save(rows, "sizes")
-    histogram = scratch.save(rows.groupBy("part", "source", "__size").agg(F.count("*").alias("rows")), "histogram")
+    histogram = scratch.save(rows.groupBy("part", "source", "__size").agg(F.sum("rows").alias("rows")), "histogram")
     totals = histogram.groupBy("part", "source").agg(F.sum(F.col("rows") * F.col("__size")).alias("n"), F.sum("rows").alias("rows")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     plan = pd.DataFrame({"part": [r["part"] for r in totals], "source_size": [int(r["n"]) for r in totals], "rows": [int(r["rows"]) for r in totals]})
@@ -155,11 +157,13 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     by_source = spark.createDataFrame(plan[[c.split()[0] for c in schema.split(", ")]], schema)
     rate = F.when(F.col("__size") == 0, 0.0).when(F.col("target") <= 0, 0.0).when(F.col("full"), F.lit(float(params.most)))
     rate = rate.otherwise(F.least(F.exp(F.least(F.col("tilt") * F.col("__size") / F.col("scale"), F.lit(50.0))), F.lit(float(params.most))))
-    rated = rows.join(_small(by_source, len(plan)), "part").withColumn("rate", rate)
+    rated = rows.join(_small(by_source.withColumnRenamed("rows", "all"), len(plan)), "part").withColumn("rate", rate)
     rated = rated.withColumn("__block", F.pmod(F.xxhash64("doc_id", "__row"), F.col("blocks")))
     most = params.most
-    schema = "__id string, __row long, source string, size long, source_size long, target double, rate double, copies long"
+    schema = "__id string, __row long, source string, size long, source_size long, target double, rate double, rows long, copies long, more long"
     names = [c.split()[0] for c in schema.split(", ")]
-    rated = rated.select("part", "__block", F.col("doc_id").cast("string").alias("__id"), "__row", "source", F.col("__size").alias("size"), "source_size", "target", "rate")
+    rated = rated.select("part", "__block", F.col("doc_id").cast("string").alias("__id"), "__row", "source", F.col("__size").alias("size"), "source_size", "target", "rate", "rows")
     out = rated.groupBy("part", "__block").applyInPandas(lambda block: _round_block(block, most)[names], schema)
-    return out.select(F.col("__id").cast("long").alias("doc_id"), *names[1:])
+    each = out.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = (F.col("copies") + F.when(F.col("k") <= F.col("more"), 1).otherwise(0)).alias("copies")
+    return each.select(F.col("__id").cast("long").alias("doc_id"), *names[1:7], copies)

@@ -76,8 +76,6 @@ def test_no_language_is_dropped(spark):
     rows = [(i, f"{lang} " * 40, lang) for lang in ("aa", "bb") for i in range(400)] + [(900, "rare words " * 20, "zz")]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert set(language_id.fit(labelled)) == {"aa", "bb", "zz"}
-    with pytest.raises(ValueError):
-        language_id.fit(labelled, language_id.LangParams(languages=2))
 
 
 def test_segments_join_to_the_text():
@@ -85,6 +83,42 @@ def test_segments_join_to_the_text():
     assert b"".join(language_id.segments(data, 4096)) == data
 
 
+def test_two_thousand_languages(spark):
+    """None is dropped or refused; dictionaries shrink together."""
+    rng = random.Random(9)
+    own = {f"l{i}": [f"{chr(0x3400 + i * 3 + k)}{chr(97 + i % 26)}" for k in range(3)] for i in range(2_000)}
+    rows = [(" ".join(rng.choice(w) for _ in range(40)), lang) for lang, w in own.items() for _ in range(3)] + [("x", "short"), ("", "bare")]
+    found = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(found) == {*own, "short", "bare"} and all(8 <= len(v) <= 8_192 for v in found.values())
+    asked = [(" ".join(rng.choice(own[lang]) for _ in range(30)), lang) for lang in ("l0", "l777", "l1999")]
+    out = language_id.identify(spark.createDataFrame(asked, "text string, lang string"), found)
+    assert [r["lang"] for r in out.collect()] == [r["lang_pred"] for r in out.select("language.lang_pred").collect()]
+
+
+def test_dictionaries_hold_whole_texts_in_order_of_their_hash(spark):
+    texts = [f"text number {i} " + "ab " * i for i in range(40)]
+    found = language_id.fit(spark.createDataFrame([(t, "x") for t in texts * 2], "text string, lang string"), language_id.LangParams(dictionary=600))["x"]
+    assert len(found) == 600 and found.count(b"text number") == len(set(found.split(b"text number ")) - {b""})
+    whole = [t for t in texts if t.encode() + b" " in found]
+    assert len(whole) >= found.count(b"text number") - 1
+
+
+def test_language_against_plain_compression(spark):
+    """Sizes, prediction and score by a loop of single compressions."""
+    import zstandard
+
+    docs = _language_rows(30, 5)
+    found = language_id.fit(spark.createDataFrame(_language_rows(60, 6), "doc_id long, text string, lang string"))
+    out = language_id.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), found).select("doc_id", "language.*").collect()
+    for r, (_, text, _) in zip(sorted(out, key=lambda r: r["doc_id"]), sorted(docs)):
+        sizes = {}
+        for lang, content in found.items():
+            c = zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(x)) for x in language_id.segments(text.lower().encode(), 4_096))
+        (best, first), (second, _) = sorted((n, lang) for lang, n in sizes.items())[:2]
+        assert r["lang_pred"] == first and abs(r["score"] - min(1.0, (second - best) / (second - best + 0.01 * best + 1))) < 1e-12
+
+
 def test_language_without_labels(spark):
     found = language_id.fit(spark.createDataFrame([("a b", None), (None, None)], "text string, lang string"))
     assert found == {}

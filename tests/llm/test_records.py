@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,19 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         assert all(0 <= r["copies"] <= 2 for r in own)
 
 
+def test_mix_of_rows_alike(spark):
+    """Repeated rows are one row with a count in the rounding, and come back as many."""
+    rows = [(7, "w " * 9, "a")] * 30_000 + [(i, "w " * (i % 50 + 1), "abc"[i % 3]) for i in range(100, 2_100)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source", "target", "doc_id", "size", "copies").count().collect()
+    assert sum(r["count"] for r in mixed) == len(rows) and all(0 <= r["copies"] <= 2 for r in mixed)
+    assert sum(r["count"] for r in mixed if r["doc_id"] == 7) == 30_000
+    for source in "abc":
+        mine = [r for r in mixed if r["source"] == source]
+        assert abs(sum(r["count"] * r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 60
+    block = mixing._round_block(pd.DataFrame({"size": [9], "rate": [1.25], "rows": [1_000_000], "__id": ["7"], "__row": [1]}), 2.0)
+    assert (block["copies"].item(), block["more"].item()) == (1, 250_000)
+
+
 def test_mix_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
