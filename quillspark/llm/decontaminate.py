@@ -6,9 +6,9 @@ score against itself, so one threshold fits all.  A document is read in windows
 that overlap by half, wide enough to hold any segment.  A window whose terms'
 upper bounds together stay below the threshold is dropped at once, and so is one
 that can't reach it in any block of neighbouring segments; the others run block-max
-WAND.  An item whose words stand further apart than a window is retrieved by
-the shingles that it shares with the whole document, if they verify it.  Every item so retrieved is verified against the whole document,
-by the part of its word shingles that occur there.
+WAND.  A question has segments of its own, so an item is also found where its answer
+stands further away than a window.  Every item so retrieved is verified against the
+whole document, by the part of its word shingles that occur there.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.text import MARKS, U64, Words, grams, pieces, shingle_sets, words
+from quillspark.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -30,9 +32,10 @@ class DecontaminationParams:
     """``segment``: words of an item's segment; windows have twice as many. ``retrieve``:
     part of a segment's own score from which it is retrieved. ``block`` postings of a list have
     one maximum, and so have ``aligned`` neighbouring segments. ``shingle`` words and
-    ``overlap``: what verifies. ``items``: items of one index at most, which bounds what is
-    sent to tasks at once; more items make more indexes, all of which one scan of the passages
-    asks. Words are weighed over all items, so scores don't depend on it."""
+    ``overlap``: what verifies. ``items``, and ``megabytes`` of their text: what one index holds,
+    about; ``together``: indexes that are sent to tasks at once. Beyond these the passages are
+    scanned again, so no number of items is too large for a task or the driver. Words are
+    weighed over all items, so scores don't depend on any of the three."""
 
     segment: int = 48
     retrieve: float = 0.6
@@ -43,6 +46,8 @@ class DecontaminationParams:
     b: float = 0.75
     block: int = 8
     items: int = 20_000
+    megabytes: int = 32
+    together: int = 4
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -51,32 +56,38 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
-def _cut(found: Words, size: int) -> tuple[list[int], list[np.ndarray]]:
-    """The item and the words of every segment."""
+def _cut(texts: list[str], p: DecontaminationParams) -> tuple[list[int], list[np.ndarray]]:
+    """The item and the words of every segment: of whole items, then of questions that an answer follows."""
     owners, out = [], []
-    for i, n in enumerate(found.counts):
-        own = found.hashes[found.ends[i] - n : found.ends[i]]
-        for part in np.array_split(own, max(1, -(-n // size))):
-            if len(part):
-                owners.append(i)
-                out.append(part)
+    split = [question_and_answer(t) for t in texts]
+    for parts in (texts, [q if q != t else None for (q, _), t in zip(split, texts)]):
+        found = words(pa.array(parts, pa.string()), MARKS)
+        for i, n in enumerate(found.counts):
+            own = found.hashes[found.ends[i] - n : found.ends[i]]
+            if parts is not texts and n < p.shingle:  # the whole item then stands and falls with its answer
+                continue
+            for part in np.array_split(own, max(1, -(-n // p.segment))):
+                if len(part):
+                    owners.append(i)
+                    out.append(part)
     return owners, out
 
 
+@dataclass(frozen=True)
 class Statistics:
-    """Of the segments of all items: their number, mean length, and how many hold each word."""
+    """Of the segments of all items: their number and mean length, and of some words in how many they are."""
+
+    n: int
+    mean: float
+    vocabulary: np.ndarray  # ascending
+    df: np.ndarray
 
-    def __init__(self, segment: int):
-        self.segment, self.n, self.words = segment, 0, 0
-        self.vocabulary, self.df = np.zeros(0, U64), np.zeros(0, np.int64)
 
-    def add(self, texts: list[str]) -> Statistics:
-        _, segments = _cut(words(pa.array(texts, pa.string()), MARKS), self.segment)
-        own, counts = np.unique(np.concatenate([np.zeros(0, U64), *map(np.unique, segments)]), return_counts=True)
-        every, where = np.unique(np.concatenate([self.vocabulary, own]), return_inverse=True)
-        self.df = np.bincount(where, weights=np.concatenate([self.df, counts]), minlength=len(every)).astype(np.int64)
-        self.vocabulary, self.n, self.words = every, self.n + len(segments), self.words + sum(map(len, segments))
-        return self
+def weighed(texts: list[str], params: DecontaminationParams) -> Statistics:
+    """Statistics of items that are all there are."""
+    _, segments = _cut(texts, params)
+    own, counts = np.unique(np.concatenate([np.zeros(0, U64), *map(np.unique, segments)]), return_counts=True)
+    return Statistics(len(segments), sum(map(len, segments)) / max(1, len(segments)), own, counts)
 
 
 class Index:
@@ -86,14 +97,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], params: DecontaminationParams, whole: Statistics | None = None):
         self.params, self.ids = params, [i for i, _ in items]
-        self.statistics = whole or Statistics(params.segment).add([t for _, t in items])
-        texts = pa.array([t for _, t in items], pa.string())
-        found = words(texts, MARKS)
-        split = [question_and_answer(t) for _, t in items]
-        self.whole = self._parts(found)
+        plain = [t for _, t in items]
+        self.statistics = whole or weighed(plain, params)
+        split = [question_and_answer(t) for t in plain]
+        self.whole = self._parts(words(pa.array(plain, pa.string()), MARKS))
         self.question, self.answer = (self._parts(words(pa.array([s[k] for s in split], pa.string()), MARKS)) for k in (0, 1))
-        self._list_shingles()
-        self.item_of, segments = _cut(found, params.segment)
+        self.item_of, segments = _cut(plain, params)
         self.vocabulary = np.unique(np.concatenate(segments)) if segments else np.zeros(0, U64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.vocabulary >> U64(44)).astype(np.int64)] = True
@@ -104,23 +113,6 @@ class Index:
         """Of each text its distinct shingles and its number of words."""
         return list(zip(shingle_sets(found, self.params.shingle), found.counts.tolist()))
 
-    def _list_shingles(self) -> None:
-        """Shingles of all items in ascending order, and the item of each."""
-        sets = [s for s, _ in self.whole]
-        flat = np.concatenate([np.zeros(0, U64), *sets])
-        order = np.argsort(flat, kind="stable")
-        self.shingles, self.shingle_of = flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
-        self.marked = np.zeros(1 << 20, bool)
-        self.marked[(flat >> U64(44)).astype(np.int64)] = True
-
-    def sharing(self, hashes: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item) that have a shingle in common; ``owner`` is the row of each of ``hashes``."""
-        maybe = np.flatnonzero(self.marked[(hashes >> U64(44)).astype(np.int64)])
-        begin, end = (np.searchsorted(self.shingles, hashes[maybe], side) for side in ("left", "right"))
-        n = end - begin
-        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return set(zip(np.repeat(owner[maybe], n).tolist(), self.shingle_of[at].tolist()))
-
     def _weigh(self, segments: list[np.ndarray]) -> None:
         p, n = self.params, len(segments)
         lengths = np.array([len(s) for s in segments])
@@ -132,7 +124,7 @@ class Index:
         whole = self.statistics
         df = whole.df[np.searchsorted(whole.vocabulary, self.vocabulary)]
         idf = np.log1p((whole.n - df + 0.5) / (df + 0.5))
-        impact = idf[terms] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * lengths[segs] / max(whole.words / max(1, whole.n), 1)))
+        impact = idf[terms] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * lengths[segs] / max(whole.mean, 1)))
         own = np.bincount(segs, weights=impact, minlength=n)
         impact = impact / np.maximum(own[segs], 1e-12)
         order = np.lexsort((segs, terms))
@@ -232,8 +224,7 @@ def _windows(ends: np.ndarray, counts: np.ndarray, half: int) -> tuple[np.ndarra
 
 
 def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, float, float, float, float]]:
-    """(row, item, best score, question, answer and whole overlap) of items retrieved for a text;
-    the score is 0 if no window retrieved the item."""
+    """(row, item, best score, question, answer and whole overlap) of items retrieved for a text."""
     p, found = index.params, words(texts, MARKS)
     terms = index.terms(found.hashes)
     bound = np.concatenate([[0.0], np.cumsum(index.most[terms])])
@@ -250,14 +241,12 @@ def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, float, flo
     hashes, owner = grams(found, p.shingle)
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     last, own = -1, None
-    far = {key: 0.0 for key in index.sharing(hashes, owner) if key not in best}
-    for (row, item), score in sorted((best | far).items()):
+    for (row, item), score in sorted(best.items()):
         if row != last:
             last, own = row, np.unique(hashes[cuts[row] : cuts[row + 1]])
         parts = (index.question[item], index.answer[item], index.whole[item])
         question, answer, whole = (_share(part, own, found, row, p.shingle) for part in parts)
-        if (row, item) in best or max(whole, min(question, answer)) >= p.overlap - 1e-9:
-            yield row, item, score, question, answer, whole
+        yield row, item, score, question, answer, whole
 
 
 def _share(part: tuple[np.ndarray, int], own: np.ndarray, found: Words, row: int, size: int) -> float:
@@ -282,19 +271,58 @@ def matches(docs: DataFrame, items: DataFrame, params: DecontaminationParams = D
     items are never retrieved.  Items with the same id and other texts are each looked
     for, full repeats once; rows that repeat a doc_id are each judged.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "leaks")
     usable = items.select(F.col("item_id").cast("long"), "text").where("text is not null and item_id is not null").distinct()
-    shards = max(1, -(-usable.count() // params.items))
+    usable = scratch.save(usable, "items")
+    size = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-size["n"] // params.items), -(-size["bytes"] // (params.megabytes * 1_000_000)))
+    usable = usable.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    frequencies = scratch.save(_frequencies(usable, params), "words")
+    total = frequencies.groupBy().agg(*(F.sum(F.when(F.col("word").isNull(), F.col(c)).otherwise(0)).alias(c) for c in ("n", "words"))).first()
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 
-    def part(shard: int) -> list[tuple[int, str]]:
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text")
-        return [(r["item_id"], r["text"]) for r in rows.collect()]
+    def index(shard: int) -> Index:
+        """One bounded part of the items, with the weights that its words have over all items."""
+        rows = usable.where(F.col("shard") == shard)
+        own = rows.orderBy("item_id", "text").collect()
+        known = frequencies if shards == 1 else frequencies.join(_frequencies(rows, params).select("word").distinct(), "word", "left_semi")
+        df = known.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        word = df["word"].to_numpy(np.int64).view(U64)
+        order = np.argsort(word)
+        whole = Statistics(total["n"] or 0, (total["words"] or 0) / max(1, total["n"] or 0), word[order], df["n"].to_numpy(np.int64)[order])
+        return Index([(r["item_id"], r["text"]) for r in own], params, whole)
+
+    found = None
+    for first in range(0, shards, params.together):
+        shared = [spark.sparkContext.broadcast(index(shard)) for shard in range(first, min(shards, first + params.together))]
+        part = _asked(docs, shared, schema)
+        if shards > params.together:  # written, so that these indexes can go before the next come
+            part = scratch.save(part, "found")
+            for one in shared:
+                one.destroy()
+        found = part if found is None else found.unionByName(part)
+    enough = F.lit(params.overlap - 1e-9)
+    both = (F.col("question_overlap") >= enough) & (F.col("answer_overlap") >= enough)
+    found = found.withColumn("score", F.round("score", 9))  # sums in another order differ beyond
+    return found.withColumn("leaked", (F.col("overlap") >= enough) | both)
+
+
+def _frequencies(items: DataFrame, params: DecontaminationParams) -> DataFrame:
+    """(word, n, words): in how many segments each word is; where the word is null, n segments have so many words."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            _, segments = _cut(frame["text"].tolist(), params)
+            own, n = np.unique(np.concatenate([np.zeros(0, U64), *map(np.unique, segments)]), return_counts=True)
+            yield pd.DataFrame({"word": pd.array(own.view(np.int64), "Int64"), "n": n, "words": 0})
+            yield pd.DataFrame({"word": pd.array([None], "Int64"), "n": [len(segments)], "words": [sum(map(len, segments))]})
+
+    rows = items.select("text").mapInPandas(count, "word long, n long, words long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+
 
-    whole = Statistics(params.segment)
-    for shard in range(shards):
-        whole.add([t for _, t in part(shard)])
-    shared = [spark.sparkContext.broadcast(Index(part(shard), params, whole)) for shard in range(shards)]
+def _asked(docs: DataFrame, shared: list, schema: str) -> DataFrame:
+    """What all passages retrieve from the indexes, in one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,8 +335,4 @@ def matches(docs: DataFrame, items: DataFrame, params: DecontaminationParams = D
                         item = pa.array([index.ids[i] for i in columns[1]], pa.int64())
                         yield pa.RecordBatch.from_arrays([own, item, *(pa.array(c, pa.float64()) for c in columns[2:])], names=[c.split()[0] for c in schema.split(", ")])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-    enough = F.lit(params.overlap - 1e-9)
-    both = (F.col("question_overlap") >= enough) & (F.col("answer_overlap") >= enough)
-    found = found.withColumn("score", F.round("score", 9))  # sums in another order differ beyond
-    return found.withColumn("leaked", (F.col("overlap") >= enough) | both)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

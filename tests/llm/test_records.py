@@ -76,7 +76,7 @@ def test_leaks_against_brute_force(spark):
     docs += [(900, None), (901, ""), (902, "?!")]
     table = spark.createDataFrame(docs, "doc_id long, text string")
     tests = spark.createDataFrame(items + [(990, None), (991, ""), (992, items[3][1])], "item_id long, text string")
-    for params in (SETTINGS, decontaminate.DecontaminationParams(items=20)):
+    for params in (SETTINGS, decontaminate.DecontaminationParams(items=20), decontaminate.DecontaminationParams(items=25, together=1)):
         found: dict[int, set] = {}
         for r in decontaminate.matches(table, tests, params).where("leaked").collect():
             found.setdefault(r["doc_id"], set()).add(3 if r["item_id"] == 992 else r["item_id"])
