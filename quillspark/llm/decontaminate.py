@@ -41,7 +41,7 @@ class DecontaminationParams:
     retrieve: float = 0.6
     shingle: int = 5
     overlap: float = 0.8
-    aligned: int = 4
+    aligned: int = 2
     k1: float = 1.2
     b: float = 0.75
     block: int = 8
@@ -57,16 +57,18 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 def _cut(texts: list[str], p: DecontaminationParams) -> tuple[list[int], list[np.ndarray]]:
-    """The item and the words of every segment: of whole items, then of questions that an answer follows."""
+    """The item and the words of every segment: of the whole item, then of its question if an answer
+    follows, so that segments that share words are neighbours."""
     owners, out = [], []
     split = [question_and_answer(t) for t in texts]
-    for parts in (texts, [q if q != t else None for (q, _), t in zip(split, texts)]):
-        found = words(pa.array(parts, pa.string()), MARKS)
-        for i, n in enumerate(found.counts):
-            own = found.hashes[found.ends[i] - n : found.ends[i]]
-            if parts is not texts and n < p.shingle:  # the whole item then stands and falls with its answer
+    questions = [q if q != t else None for (q, _), t in zip(split, texts)]
+    found = [words(pa.array(parts, pa.string()), MARKS) for parts in (texts, questions)]
+    for i in range(len(texts)):
+        for k, of in enumerate(found):
+            n = of.counts[i]
+            if k and n < p.shingle:  # the whole item then stands and falls with its answer
                 continue
-            for part in np.array_split(own, max(1, -(-n // p.segment))):
+            for part in np.array_split(of.hashes[of.ends[i] - n : of.ends[i]], max(1, -(-n // p.segment))):
                 if len(part):
                     owners.append(i)
                     out.append(part)
@@ -130,27 +132,28 @@ class Index:
         order = np.lexsort((segs, terms))
         cuts = np.searchsorted(terms[order], np.arange(len(self.vocabulary) + 1))
         self.most = np.zeros(len(self.vocabulary) + 1)
-        self.postings = []
-        for t in range(len(self.vocabulary)):
-            part = order[cuts[t] : cuts[t + 1]]
-            ids, values = segs[part].tolist(), impact[part].tolist()
-            tops = [max(values[k : k + p.block]) for k in range(0, len(values), p.block)]
-            self.postings.append((ids, values, tops))
-            self.most[t] = max(values)
-
-        # the same maxima by blocks of segments, a run of (block, maximum) for each term
+        np.maximum.at(self.most, terms, impact)
+        # the same by blocks of neighbouring segments: a run of (block, maximum) for each term
+        self.segment_of, self.impact, self.at = segs[order], impact[order], cuts
         place = terms[order] * (-(-max(1, n) // p.aligned)) + segs[order] // p.aligned
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
         self.block_of = segs[order][first] // p.aligned
         self.block_most = np.maximum.reduceat(impact[order], first) if len(first) else np.zeros(0)
         self.block_at = np.searchsorted(terms[order][first], np.arange(len(self.vocabulary) + 1))
 
-    def reaches(self, own: np.ndarray, least: float) -> bool:
-        """Whether any block of segments could reach ``least`` with the distinct terms ``own``."""
-        begin, end = self.block_at[own], self.block_at[own + 1]
-        n = end - begin
-        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return len(at) > 0 and np.bincount(self.block_of[at], weights=self.block_most[at]).max() >= least
+    def blocks(self, own: np.ndarray, least: float) -> np.ndarray:
+        """Which blocks of segments could reach ``least`` with the distinct terms ``own``."""
+        at = _runs(self.block_at[own], self.block_at[own + 1])
+        return np.bincount(self.block_of[at], weights=self.block_most[at]) >= least if len(at) else np.zeros(0, bool)
+
+    def within(self, own: np.ndarray, blocks: np.ndarray) -> list[tuple[list, list]]:
+        """Postings (segments, impacts) of the distinct terms ``own`` in some blocks alone."""
+        begin, end = self.at[own], self.at[own + 1]
+        at = _runs(begin, end)
+        block, term = self.segment_of[at] // self.params.aligned, np.repeat(np.arange(len(own)), end - begin)
+        kept = np.flatnonzero(blocks[np.minimum(block, len(blocks) - 1)] & (block < len(blocks)))
+        cut = np.flatnonzero(np.diff(term[kept])) + 1
+        return [(self.segment_of[x].tolist(), self.impact[x].tolist()) for x in np.split(at[kept], cut) if len(x)]
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Term of each word, the last number for words that no item has."""
@@ -163,10 +166,14 @@ class Index:
         return out
 
     def retrieve(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """(segment, score) of all segments that reach ``least``: document-at-a-time
-        block-max WAND over the query's distinct terms."""
-        lists = [[self.postings[t][0], self.postings[t][1], self.postings[t][2], self.most[t], 0] for t in terms]
+        """(segment, score) of all segments that reach ``least``: document-at-a-time block-max WAND over
+        the query's distinct terms, in the blocks of segments that could reach it."""
         size, found, least = self.params.block, [], least - 1e-9
+        blocks = self.blocks(terms, least)
+        if not blocks.any():
+            return []
+        tops = lambda values: [max(values[k : k + size]) for k in range(0, len(values), size)]
+        lists = [[ids, values, tops(values), max(values), 0] for ids, values in self.within(terms, blocks)]
         while lists:
             lists.sort(key=lambda x: x[0][x[4]])
             bound, pivot = 0.0, -1
@@ -180,15 +187,15 @@ class Index:
             target = lists[pivot][0][lists[pivot][4]]
             while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][4]] == target:
                 pivot += 1
-            tops, after = 0.0, None  # maxima of the blocks that would hold the target
-            for ids, _, blocks, _, at in lists[: pivot + 1]:
+            most, after = 0.0, None  # maxima of the blocks that would hold the target
+            for ids, _, maxima, _, at in lists[: pivot + 1]:
                 k = at // size
                 while (k + 1) * size < len(ids) and ids[(k + 1) * size - 1] < target:
                     k += 1
-                tops += blocks[k]
+                most += maxima[k]
                 edge = ids[min((k + 1) * size, len(ids)) - 1]
                 after = edge if after is None else min(after, edge)
-            if tops >= least:
+            if most >= least:
                 goal = target + 1
                 score = 0.0
                 for x in lists[: pivot + 1]:
@@ -214,6 +221,12 @@ class Index:
         return found
 
 
+def _runs(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``begin`` up to its ``end``, one run after the other."""
+    n = end - begin
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _windows(ends: np.ndarray, counts: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, last word + 1) of windows of two halves, a half apart."""
     n = np.maximum(1, -(-counts // half) - 1)
@@ -233,8 +246,6 @@ def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, float, flo
     for w in np.flatnonzero(bound[stops] - bound[begins] >= p.retrieve - 1e-9):
         own = np.unique(terms[begins[w] : stops[w]])
         own = own[own < len(index.vocabulary)]
-        if not index.reaches(own, p.retrieve - 1e-9):
-            continue
         for segment, score in index.retrieve(own, p.retrieve):
             key = int(docs[w]), index.item_of[segment]
             best[key] = max(score, best.get(key, 0.0))

@@ -35,8 +35,8 @@ def test_wand_finds_all_above_the_threshold():
             own = np.array(sorted(rng.sample(range(len(index.vocabulary)), rng.randint(1, 60))))
             full: dict[int, float] = {}
             for t in own:
-                for segment, impact in zip(*index.postings[t][:2]):
-                    full[segment] = full.get(segment, 0.0) + impact
+                for k in range(index.at[t], index.at[t + 1]):
+                    full[index.segment_of[k]] = full.get(index.segment_of[k], 0.0) + index.impact[k]
             expect = {s: v for s, v in full.items() if v >= least - 1e-9}
             got = dict(index.retrieve(own, least))
             assert got.keys() == expect.keys()
