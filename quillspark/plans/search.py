@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import display, text as T
-from quillspark.operators import analytics, governance as G, retrieval as R
+from quillspark.operators import analytics, governance as G, retrieval as R, text_index, vector_index
 from quillspark.operators.documents import char_vectors
 from quillspark.plans import bindings as B
 from quillspark.plans.registry import query
+from quillspark.scratch import Scratch
 from quillspark.sources import files
 
 K = 6
@@ -36,7 +37,18 @@ SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT query_id, id, sco
   FROM post JOIN ask_term USING (term) JOIN df USING (term) JOIN len USING (id), st GROUP BY 1, 2)) WHERE rank <= {K}"""
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_track(B.questions(spark, d), R.postings(B.searchable(spark, d)), K)
+    """Answered from a kept index alone; it is written here as an ingest would write it."""
+    path = f"{Scratch(spark, 'text').root}/index"
+    text_index.add(B.searchable(spark, d).select("id", "low"), path)
+    return text_index.search(B.questions(spark, d), path, K)
+
+
+@query()
+def approximate_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """About the nearest vectors, from an inverted file with coded residuals; tests assert its recall."""
+    path = f"{Scratch(spark, 'vectors').root}/index"
+    vector_index.build(files.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), path)
+    return vector_index.search(B.questions(spark, d).select("query_id", "query_vector"), path, K)
 
 
 @query()
