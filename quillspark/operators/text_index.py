@@ -93,7 +93,12 @@ def add(corpus: DataFrame, path: str, generation: int = 0, removed: DataFrame |
     """Index ``corpus`` (id, low; one row an id) as one generation; its ids, and those of ``removed`` (id),
     no longer count in older generations. Generations are added in order; 0 begins an index.
     Texts without a term are no documents."""
-    spark, scratch = corpus.sparkSession, Scratch(corpus.sparkSession, "indexing")
+    with Scratch(corpus.sparkSession, "indexing") as scratch:
+        _add(corpus, path, generation, removed, scratch)
+
+
+def _add(corpus: DataFrame, path: str, generation: int, removed: DataFrame | None, scratch: Scratch) -> None:
+    spark = corpus.sparkSession
     found = corpus.select("id", T.terms(F.col("low")).alias("t"))
     found = found.select("id", "t", F.aggregate("t", F.lit(0.0), lambda s, t: s + t["weight"]).alias("length"))
     each = found.select("id", "length", F.explode("t").alias("t")).groupBy("id", F.col("t.term").alias("term"))
@@ -114,7 +119,6 @@ def add(corpus: DataFrame, path: str, generation: int = 0, removed: DataFrame |
     new, old = sums(spark.read.parquet(f"{path}/documents/generation={generation}")), sums(spark.read.parquet(f"{path}/gone/generation={generation}"))
     totals = spark.createDataFrame([(new["n"] - old["n"], new["length"] - old["length"])], "n long, length double")
     totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/generation={generation}")
-    scratch.drop(each)
 
 
 def _live(rows: DataFrame, path: str) -> DataFrame:

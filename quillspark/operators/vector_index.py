@@ -124,7 +124,12 @@ def build(vectors: DataFrame, path: str, params: IndexParams = IndexParams()) ->
 
     Null, zero and non-finite vectors, and those whose length is not the commonest, are
     left out: nothing is near them. Rows alike are each indexed."""
-    spark, scratch, p = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors"), params
+    with Scratch(vectors.sparkSession, "vectors") as scratch:
+        _build(vectors, path, params, scratch)
+
+
+def _build(vectors: DataFrame, path: str, p: IndexParams, scratch: Scratch) -> None:
+    spark = vectors.sparkSession
     rows = vectors.select("id", F.col("vector").cast("array<float>").alias("vector"), unit(F.col("vector")).alias("unit")).where("unit is not null")
     rows = scratch.save(rows, "unit")
     sizes = rows.groupBy(F.size("unit").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
@@ -151,7 +156,6 @@ def build(vectors: DataFrame, path: str, params: IndexParams = IndexParams()) ->
     probes = _probes(rows, coded, codec, p) if n else 1
     row = (json.dumps(codec.centres.tolist()), books, probes, kind, json.dumps(asdict(p)))
     spark.createDataFrame([row], "centres string, books array<string>, probes int, id_type string, params string").coalesce(1).write.mode("overwrite").parquet(f"{path}/codec")
-    scratch.drop(rows, sample, coded)
 
 
 def _probes(rows: DataFrame, coded: DataFrame, codec: _Codec, p: IndexParams) -> int:

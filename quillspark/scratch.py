@@ -58,6 +58,18 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+    def close(self) -> None:
+        """Delete all tables; nothing may read them any more."""
+        _delete(self.spark, self.root)
+        _LIVE.remove(self)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
 _LIVE: list[Scratch] = []
 
 

@@ -107,16 +107,3 @@ def test_answer_events(spark):
     rows = [(1, "[]", ["a", "b"], None), (2, "[]", [], "failed")]
     out = stateful.answer_events(spark.createDataFrame(rows, "query_id int, references string, deltas array<string>, error string")).orderBy("query_id", "seq").collect()
     assert [r["event"] for r in out] == ["status", "references", "status", "content", "content", "done", "status", "references", "status", "error"]
-
-
-def test_ingest_replaces_documents_that_come_again(spark, tmp_path):
-    from quillspark.streaming import ingest
-
-    schema = "id long, text string"
-    rows = [(1, "# A\nalpha beta"), (2, "plain text"), (3, None), (1, "# B\ngamma")]
-    ingest.start(events(spark, tmp_path, rows, schema), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(240)
-    receipts = spark.read.parquet(f"{tmp_path}/out/receipts")
-    chunks = ingest.current(spark.read.parquet(f"{tmp_path}/out/chunks"), receipts).orderBy("id").collect()
-    assert [(r["id"], r["content"]) for r in chunks] == [(1, "gamma"), (2, "plain text")]
-    terms = ingest.current(spark.read.parquet(f"{tmp_path}/out/postings"), receipts).collect()
-    assert sorted((r["id"], r["term"]) for r in terms) == [(1, "gamma"), (2, "plain"), (2, "text")]
