@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import MARKS, U64, Words, grams, pieces, shingle_sets, words
+from quillspark.llm.text import MARKS, U64, Words, grams, pieces, shingle_sets, small_batches, words
 from quillspark.scratch import Scratch
 
 
@@ -346,4 +346,4 @@ def _asked(docs: DataFrame, shared: list, schema: str) -> DataFrame:
                         item = pa.array([index.ids[i] for i in columns[1]], pa.int64())
                         yield pa.RecordBatch.from_arrays([own, item, *(pa.array(c, pa.float64()) for c in columns[2:])], names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm.shards import row_key
+from quillspark.llm.text import small_batches
 
 
 @dataclass(frozen=True)
@@ -127,4 +128,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: LangParams
             made.append(Judge(*shared.value))
         return pd.DataFrame([made[0].predict(t) for t in column], columns=["lang_pred", "score", "sure"])
 
-    return docs.withColumn(into, judge(F.col(text)))
+    return small_batches(docs).withColumn(into, judge(F.col(text)))

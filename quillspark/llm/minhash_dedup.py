@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.components import components
-from quillspark.llm.text import U64, mix, pieces, shingle_sets, unused, words
+from quillspark.llm.text import U64, mix, pieces, shingle_sets, small_batches, unused, words
 from quillspark.scratch import Scratch
 
 
@@ -108,7 +108,7 @@ def sketch(docs: DataFrame, params: DedupParams) -> DataFrame:
                     schema=schema,
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, rep long, n_shingles long, sig binary")
 
 

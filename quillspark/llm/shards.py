@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import pieces
+from quillspark.llm.text import pieces, small_batches
 from quillspark.scratch import Scratch
 
 RANGE_SCHEMA = "range int, state binary"
@@ -46,7 +46,7 @@ def packed_sample(rows: DataFrame, sample: int, seed: int, shard_rows: int, pack
                 label, key = (batch.column(k).slice(start, len(part)) for k in (1, 2))
                 yield pa.RecordBatch.from_arrays([label, key, pa.array(pack(part), pa.binary())], names=["label", "key", "places"])
 
-    chosen = rows.select("text", F.col("label").cast("int").alias("label"), row_key(rows, seed).alias("key")).where(share_of(F.col("key"), sample, total))
+    chosen = small_batches(rows).select("text", F.col("label").cast("int").alias("label"), row_key(rows, seed).alias("key")).where(share_of(F.col("key"), sample, total))
     packed = chosen.mapInArrow(run, "label int, key long, places binary").groupBy("key", "label").agg(F.first("places").alias("places"))
     shards = -(-min(total, sample) // shard_rows)
     return scratch.save(packed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), "sample")

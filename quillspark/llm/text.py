@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -149,6 +150,15 @@ def shingle_sets(found: Words, size: int) -> list[np.ndarray]:
     return out
 
 
+def small_batches(rows: DataFrame, most: int = 2_000) -> DataFrame:
+    """``rows`` as they are; Arrow batches of their session now hold ``most`` rows at most, since rows
+    with whole texts are large, and a task holds several copies of a batch."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= most:
+        conf.set(key, str(most))
+    return rows
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, or with marks before it that no column has; names are compared without case."""
     taken = {c.lower() for c in columns}

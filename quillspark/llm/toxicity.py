@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.shards import RANGE_SCHEMA, mean_of_ranges, packed_sample, range_rows
-from quillspark.llm.text import MARKS, U64, grams, pieces, words
+from quillspark.llm.text import MARKS, U64, grams, pieces, small_batches, words
 from quillspark.scratch import Scratch
 
 
@@ -147,4 +147,4 @@ def score(docs: DataFrame, model: Toxic, text: str = "text", into: str = "toxici
             out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn(into, toxicity(F.col(text)))
+    return small_batches(docs).withColumn(into, toxicity(F.col(text)))
