@@ -38,7 +38,7 @@ class MixParams:
     weights: Sequence[float] = (5.0, 2.0, 1.0)
     share: float = 1.5
     most: float = 2.0
-    block: int = 20_000
+    block: int = 2_000
     steps: int = 60
     tolerance: float = 1e-5
 
