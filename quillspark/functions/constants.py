@@ -40,6 +40,19 @@ UNTITLED = "未分章节"
 NO_EVIDENCE = ("无法在知识库中找到依据", "未在知识库中找到依据", "没有在知识库中找到依据")
 UNIT_SEPARATORS = "，,。；;！？\n"
 
+# fixed values: LaTeX fragments and what stands for them, in order
+PLAIN_MATH = (
+    (r"\\text\{([^}]*)\}", "$1"), (r"(?i)\^\{\\circ\}\s*([CF])?", "°$1"), (r"(?i)\\circ\s*([CF])?", "°$1"), (r"\\sim", " 至 "),
+    (r"\\leq?", "≤"), (r"\\geq?", "≥"), (r"\\times", "×"), (r"\\cdot", "·"), (r"\\pm", "±"), (r"\\%", "%"),
+    (r"\^\{([^}]*)\}", "^$1"), (r"_\{([^}]*)\}", "_$1"), (r"[{}]", ""), (r"\\([a-zA-Z]+)", "$1"), (r"(?U)\s+", " "),
+)
+# fixed values: delimiters of formulas in order, and lines that begin the references of an answer
+FORMULAS = (r"\$\$([\s\S]*?)\$\$", r"\$([^$\n]+)\$", r"\\\(([\s\S]*?)\\\)", r"\\\[([\s\S]*?)\\\]")
+REFERENCE_LINE = r"(?i)^(#{1,6}\s*)?(\*\*)?\s*(引用依据|引用内容|参考文档|参考资料|参考来源|References)\s*[:：]?\s*(\*\*)?\s*$"
+# fixed values: marks of recognised pages
+END_MARK = "<｜end▁of▁sentence｜>"
+GROUNDING = r"(?s)<\|ref\|>(.*?)<\|/ref\|><\|det\|>(.*?)<\|/det\|>"
+
 # fixed values: numbers
 SPARSE_DIMENSIONS = 500_000
 FUSION_OFFSET = 60

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import constants as C
+from quillspark.functions import text as T
+
 CLAUSE = r"\d+(?:\.\d+){1,4}"
 
 
@@ -52,16 +55,37 @@ def score_label(score: Column) -> Column:
 
 def plain_math(c: Column) -> Column:
     """LaTeX fragments as plain text, by fixed replacements in order."""
-    steps = (
-        (r"\\text\{([^}]*)\}", "$1"), (r"(?i)\^\{\\circ\}\s*([CF])?", "°$1"), (r"(?i)\\circ\s*([CF])?", "°$1"), (r"\\sim", " 至 "),
-        (r"\\leq?", "≤"), (r"\\geq?", "≥"), (r"\\times", "×"), (r"\\cdot", "·"), (r"\\pm", "±"), (r"\\%", "%"),
-        (r"\^\{([^}]*)\}", "^$1"), (r"_\{([^}]*)\}", "_$1"), (r"[{}]", ""), (r"\\([a-zA-Z]+)", "$1"), (r"(?U)\s+", " "),
-    )
-    for pattern, new in steps:
+    for pattern, new in C.PLAIN_MATH:
         c = F.regexp_replace(c, pattern, new)
     return F.trim(c)
 
 
+def normal_math(c: Column) -> Column:
+    """Formulas between any of four pairs of delimiters as plain text, without the delimiters.
+
+    The text is parted at each formula, so what is inside one alone is changed."""
+    for pattern in C.FORMULAS:
+        inside = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), plain_math)
+        pairs = F.zip_with(F.split(c, pattern, -1), inside, lambda text, formula: F.concat(text, F.coalesce(formula, F.lit(""))))
+        c = F.array_join(pairs, "")
+    return c
+
+
+def without_references(c: Column) -> Column:
+    """The lines before the first that begins a list of references; the text as it is without one."""
+    lines = F.split(c, "\r?\n", -1)
+    marks = F.transform(lines, lambda x: F.regexp_like(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), F.lit(C.REFERENCE_LINE)))
+    at = F.array_position(marks, True)
+    return F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), (at - 1).cast("int")), "\n")).otherwise(c)
+
+
+def normal_answer(c: Column) -> Column:
+    """An answer as it is shown: no references, plain formulas, no marks of citations, few empty lines."""
+    c = T.drop_citations(normal_math(without_references(c)))
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return T.strip(c)
+
+
 def at_offset(ts: Column, hours: int = 8) -> Column:
     """A UTC timestamp as wall time of a fixed offset."""
     return ts + F.expr(f"INTERVAL {hours} HOURS")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -159,3 +160,23 @@ def dense_literal(v: pd.Series) -> pd.Series:
     import math
 
     return v.map(lambda x: None if x is None else "[" + ",".join(f"{y:.8g}" for y in x if y is not None and math.isfinite(y)) + "]")
+
+
+@F.pandas_udf(StringType())
+def canonical_json(c: pd.Series) -> pd.Series:
+    """JSON of any shape with the names of all objects in order, at every depth; null if it is none.
+
+    Characters stand as they are, and numbers as Python writes them."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            return None
+
+    return c.map(one)
+
+
+def payload_hash(payload: Column, struct: bool = True) -> Column:
+    """SHA-256 of a payload's canonical JSON; equal for any order of its fields."""
+    return F.sha2(canonical_json(F.to_json(payload) if struct else payload), 256)

@@ -31,6 +31,22 @@ def hot_terms(docs: DataFrame, k: int = 20, least: int = 2) -> DataFrame:
     return rows.groupBy("term").agg(F.floor(F.sum("weight")).cast("long").alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 
+def term_sketches(docs: DataFrame, by: list[str], items: int = 10_000, least: int = 2) -> DataFrame:
+    """(by, sketch): frequent terms of ``docs`` (by, text) as one mergeable sketch a group, of bounded size.
+
+    A sketch holds ``items`` counters, so a term's count is too small by the group's terms
+    over three quarters of that at most. Kept by base and day, new days are added without the old texts."""
+    words = docs.select(*by, F.explode(T.terms(T.clean(F.col("text")))).alias("t")).where(F.length("t.term") >= least)
+    return words.groupBy(*by).agg(F.call_function("approx_top_k_accumulate", F.col("t.term"), F.lit(items)).alias("sketch"))
+
+
+def sketched_terms(sketches: DataFrame, k: int = 20, items: int = 10_000) -> DataFrame:
+    """(term, n): about the ``k`` most frequent terms of all the sketches together, merged without any text."""
+    whole = sketches.agg(F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(items)).alias("sketch"))
+    found = whole.select(F.explode(F.call_function("approx_top_k_estimate", F.col("sketch"), F.lit(k))).alias("x"))
+    return found.select(F.col("x.item").alias("term"), F.col("x.count").cast("long").alias("n"))
+
+
 def archive_counts(kbs: DataFrame, docs: DataFrame, permissions: DataFrame) -> DataFrame:
     """(kb, documents, live_documents, permissions), 0 where there are none."""
     a = docs.groupBy("kb").agg(F.count("*").alias("documents"), F.count_if(governance.live(F.col("status"))).alias("live_documents"))

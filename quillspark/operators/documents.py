@@ -204,8 +204,7 @@ def strip_grounding(c: Column) -> Column:
 
 def grounding_tags(c: Column) -> Column:
     """Array of (label, box, is_image) of all <|ref|>..<|/ref|><|det|>..<|/det|> pairs; a box that is no list of lists is null."""
-    pattern = r"(?s)<\|ref\|>(.*?)<\|/ref\|><\|det\|>(.*?)<\|/det\|>"
-    labels, boxes = (F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    labels, boxes = (F.regexp_extract_all(c, F.lit(C.GROUNDING), F.lit(i)) for i in (1, 2))
     box = lambda b: F.from_json(b, "array<array<double>>")
     return F.zip_with(labels, boxes, lambda a, b: F.struct(a.alias("label"), box(b).alias("box"), (a == "image").alias("is_image")))
 
@@ -219,6 +218,50 @@ def insert_images(c: Column, names: Column) -> Column:
     return F.when(F.size(names) > 0, F.array_join(merged, "\n")).otherwise(c)
 
 
+def image_names(page_no: Column, tags: Column) -> Column:
+    """A name for each tag of :func:`grounding_tags` that is an image with a box, null for the others."""
+    numbered = F.transform(tags, lambda t, i: F.struct(t["is_image"].alias("is_image"), (t["is_image"] & t["box"].isNotNull()).alias("good"), i.alias("i")))
+    before = lambda i: F.size(F.filter(F.slice(numbered, F.lit(1), i), lambda t: t["good"]))
+    return F.transform(numbered, lambda t: F.when(t["good"], F.concat(page_no.cast("string"), F.lit("_"), before(t["i"]).cast("string"), F.lit(".jpg"))))
+
+
+def without_tags(c: Column, names: Column) -> Column:
+    """A page's text with each image tag's first place as a link, in order, and no other tag.
+
+    ``names``: of each tag in order, null for those that become nothing. The fold carries the
+    text, as each replacement looks at what the one before left."""
+    whole = F.regexp_extract_all(c, F.lit(f"({C.GROUNDING})"), F.lit(1))
+    pairs = F.zip_with(whole, names, lambda w, n: F.struct(w.alias("tag"), n.alias("name")))
+    images = F.filter(pairs, lambda p: F.contains(p["tag"], F.lit("<|ref|>image<|/ref|>")))
+    others = F.filter(pairs, lambda p: ~F.contains(p["tag"], F.lit("<|ref|>image<|/ref|>")))
+
+    def linked(text: Column, p: Column) -> Column:
+        at = F.instr(text, p["tag"])
+        link = F.coalesce(F.concat(F.lit("![](images/"), p["name"], F.lit(")\n")), F.lit(""))
+        return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), link, F.substr(text, at + F.length(p["tag"])))).otherwise(text)
+
+    gone = lambda text, p: F.replace(text, p["tag"], F.lit(""))
+    text = F.aggregate(others, F.aggregate(images, F.aggregate(images, c, linked), gone), gone)
+    signs = F.replace(F.replace(text, F.lit("\\coloneqq"), F.lit(":=")), F.lit("\\eqqcolon"), F.lit("=:"))
+    return F.when(F.size(others) > 0, signs).otherwise(text)
+
+
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """(id, text, page_count) of recognised pages (id, page_no from 0, content): tags become image links or
+    nothing, each page is cleaned up, pages that broke off and are not usable are left out,
+    and the others follow one another with the page split after each."""
+    content = F.coalesce("content", F.lit(""))
+    rows = pages.select("id", "page_no", F.contains(content, F.lit(C.END_MARK)).alias("done"), F.replace(content, F.lit(C.END_MARK), F.lit("")).alias("content"))
+    rows = rows.withColumn("names", image_names(F.col("page_no"), grounding_tags(F.col("content"))))
+    rows = rows.select(F.struct("id", "page_no").alias("id"), "done", strip_grounding(without_tags(F.col("content"), F.col("names"))).alias("text"))
+    cleaned = sanitize(rows.select("id", "text"))
+    judged = cleaned.join(usable(cleaned), "id").join(rows.select("id", "done"), "id")
+    kept = judged.where(F.col("done") | F.col("usable")).groupBy("id.id").agg(F.array_sort(F.collect_list(F.struct(F.col("id.page_no").alias("page_no"), "text"))).alias("x"))
+    joined = kept.select("id", F.array_join(F.transform("x", lambda p: F.concat(p["text"], F.lit(f"\n\n{C.PAGE_SPLIT}\n"))), "").alias("text"))
+    counted = pages.groupBy("id").agg(F.count("*").alias("page_count"))
+    return counted.join(joined, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"), "page_count")
+
+
 def simple_outline(docs: DataFrame, most: int = 200) -> DataFrame:
     """(id, n, level, title): # headings by their marks, chapter-like and dotted-number lines as level 1; the first ``most``."""
     rows = numbered_lines(docs).withColumn("line", T.strip(F.col("line")))

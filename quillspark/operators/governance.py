@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import constants as C
+from quillspark.functions.text import payload_hash
 from quillspark.scratch import Scratch
 
 
@@ -110,26 +111,6 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
     return current.join(latest.select(*keys), keys, "left_anti").unionByName(latest.select(*current.columns))
 
 
-def delete_documents(ids: DataFrame, tables: dict[str, DataFrame], jobs: str = "jobs", receipts: str = "receipts") -> dict[str, DataFrame]:
-    """Every table without the rows of the documents ``ids`` (document_id); receipts go by their jobs."""
-    gone = ids.select("document_id").distinct()
-    out = {name: t.join(gone, "document_id", "left_anti") for name, t in tables.items() if name != receipts}
-    if receipts in tables:
-        dead = tables[jobs].join(gone, "document_id", "left_semi").select("job_id")
-        out[receipts] = tables[receipts].join(dead, "job_id", "left_anti")
-    return out
-
-
-def delete_bases(ids: DataFrame, tables: dict[str, DataFrame], sessions: str = "sessions") -> dict[str, DataFrame]:
-    """Every table without the rows of the bases ``ids`` (kb); sessions stay, without their base."""
-    gone = ids.select("kb").distinct()
-    out = {name: t.join(gone, "kb", "left_anti") for name, t in tables.items() if name != sessions}
-    if sessions in tables:
-        s = tables[sessions].join(gone.withColumn("__gone", F.lit(True)), "kb", "left")
-        out[sessions] = s.withColumn("kb", F.when(F.col("__gone").isNull(), F.col("kb"))).drop("__gone").select(*tables[sessions].columns)
-    return out
-
-
 def request_deletion(documents: DataFrame, jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents marked deleting, and their jobs asked to stop unless they have ended."""
     gone = ids.select("document_id", F.lit(True).alias("__gone")).distinct()
@@ -262,8 +243,8 @@ def progress(documents: DataFrame, jobs: DataFrame, receipts: DataFrame) -> Data
 
 
 def receipt_key(job: Column, step: Column, payload: Column) -> Column:
-    """job:step:hash, with the hash of a struct's JSON; fields must be in one order."""
-    return F.concat_ws(":", job, step, F.sha2(F.to_json(payload), 256))
+    """job:step:hash, with the hash of a payload (a struct, or JSON as text) of any shape and order of fields."""
+    return F.concat_ws(":", job, step, payload_hash(payload))
 
 
 def first_of_each(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import constants as C
 from quillspark.functions import text as T
+from quillspark.operators.governance import page_of_each
 from quillspark.scratch import Scratch
 
 #: Queries of one batch at most, and different terms of them; more belong into several batches.
@@ -270,6 +271,40 @@ def hybrid_track(queries: DataFrame, corpus: DataFrame, index: DataFrame, k: int
     return or_else(native, lexical_track(queries, corpus, k))
 
 
+def laddered(found: tuple[DataFrame, DataFrame], again: tuple[DataFrame, DataFrame], corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tracks of an index, (query_id, id, score, rank) each, with their fallbacks over the corpus itself.
+
+    A question that a track has nothing for gets the other scorer's track; one whose hits, of
+    both tracks, are all gone from ``corpus`` (id) gets both fallbacks instead."""
+    tracks = [or_else(a, b) for a, b in zip(found, again)]
+    hits = tracks[0].select("query_id", "id").union(tracks[1].select("query_id", "id"))
+    alive = hits.join(corpus.select("id"), "id", "left_semi").select("query_id").distinct()
+    return tuple(track.join(alive, "query_id", "left_semi").unionByName(other.join(alive, "query_id", "left_anti")) for track, other in zip(tracks, again))
+
+
+def search_bases(
+    queries: DataFrame, corpus: DataFrame, seen: DataFrame, base: str | None = None, filters: dict[str, object] | None = None, sort_by: str = "relevance",
+    number: int = 1, size: int = 20, depth: int = 5_000, shown: Column | None = None,
+) -> DataFrame:
+    """(query_id, id, kb, score, total, place): one page of each question's hits over the bases ``seen`` (kb).
+
+    ``corpus`` (id, kb, low, vector, created_at and what ``filters`` name) is cut to these bases, or
+    to the one asked for; none that may be seen gives no rows. Filters that are no text, or
+    empty, don't count. Each base gives ``depth`` hits, whose scores are merged as they are;
+    ``shown`` then decides on rows of the result. By date the latest come first, by anything
+    else the best; ties go to the smaller id."""
+    allowed = seen if not base else seen.where(F.col("kb") == base)
+    rows = corpus.join(F.broadcast(allowed.select("kb").distinct()), "kb", "left_semi") if base else corpus.join(allowed.select("kb").distinct(), "kb", "left_semi")
+    for name, value in (filters or {}).items():
+        if isinstance(value, str) and value:
+            rows = rows.where(F.col(name) == value)
+    dense, lexical = dense_track(queries, rows, 2 * depth, by=("kb",)), lexical_track(queries, rows, 2 * depth, by=("kb",))
+    hits = fuse(dense, lexical, depth, by=("query_id", "kb")).drop("rank").join(corpus.select("id", "created_at"), "id")
+    hits = hits if shown is None else hits.where(shown)
+    order = [F.desc("created_at") if sort_by == "date" else F.desc("score"), F.asc("id")]
+    return page_of_each(hits, ["query_id"], order, number, size).select("query_id", "id", "kb", "score", "total", "place")
+
+
 def sparse_literal(index: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, literal): ``{dim:weight,...}`` by dimension; null for those of ``ids`` without terms."""
     dims = index.select("term").distinct().withColumn("dim", T.sparse_dimension("term"))

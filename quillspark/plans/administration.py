@@ -214,9 +214,9 @@ def replaced_chunks(spark: SparkSession, d: str) -> DataFrame:
     return replace_documents(B.chunk_lines(spark, d).select("id", "pos", "content"), new, "id")
 
 
-@query(f"""WITH {B.RECEIPT} SELECT DISTINCT job_id, step, job_id || ':' || step || ':' || sha256('{{"part":' || part || ',"status":"' || status || '"}}') AS key FROM receipt""")
+@query(f"""WITH {B.RECEIPT} SELECT DISTINCT job_id, step, job_id || ':' || step || ':' || sha256('{{"part": ' || part || ', "status": "' || status || '"}}') AS key FROM receipt""")
 def receipt_keys(spark: SparkSession, d: str) -> DataFrame:
-    return B.receipts(spark, d).select("job_id", "step", G.receipt_key(F.col("job_id"), F.col("step"), F.struct("part", "status")).alias("key")).distinct()
+    return B.receipts(spark, d).select("job_id", "step", G.receipt_key(F.col("job_id"), F.col("step"), F.struct("status", "part")).alias("key")).distinct()
 
 
 @query("SELECT event_id, ts + INTERVAL 24 HOURS AS expires_at FROM events")

@@ -74,12 +74,12 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def searchable(spark: SparkSession, d: str) -> DataFrame:
-    """id, kb, created_at, low, vector of live documents: text cleaned and lower-cased once."""
+    """id, kb, doc_kind, created_at, low, vector of live documents: text cleaned and lower-cased once."""
     from quillspark.operators.governance import live
 
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     rows = docs(spark, d).where(live(F.col("status")))
-    return rows.select("id", "kb", "created_at", F.lower(T.clean(F.col("text"))).alias("low")).join(vectors, "id", "left")
+    return rows.select("id", "kb", "doc_kind", "created_at", F.lower(T.clean(F.col("text"))).alias("low")).join(vectors, "id", "left")
 
 
 # SQL of the same views
@@ -118,7 +118,7 @@ def clean_sql(c: str) -> str:
 
 
 SEARCH = f"""live AS (
-  SELECT d.id, d.kb, d.created_at, lower({clean_sql('d.text')}) AS low, CAST(v.embedding AS DOUBLE[]) AS vector
+  SELECT d.id, d.kb, d.doc_kind, d.created_at, lower({clean_sql('d.text')}) AS low, CAST(v.embedding AS DOUBLE[]) AS vector
   FROM doc d LEFT JOIN embeddings v ON v.vec_id = d.id WHERE d.status NOT IN ('disabled', 'deleting')),
 ask AS (
   SELECT b.item_id AS query_id, lower({clean_sql('b.text')}) AS phrase, CAST(v.embedding AS DOUBLE[]) AS query_vector

@@ -34,6 +34,13 @@ def hot_keywords(spark: SparkSession, d: str) -> DataFrame:
     return analytics.hot_terms(B.docs(spark, d).where(G.live(F.col("status"))))
 
 
+@query()
+def sketched_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The same from sketches kept by base and day."""
+    rows = B.docs(spark, d).where(G.live(F.col("status"))).withColumn("day", F.to_date("created_at"))
+    return analytics.sketched_terms(analytics.term_sketches(rows, ["kb", "day"]))
+
+
 @query(f"SELECT doc_id AS id, {TOKENS_SQL.format(c='text')} AS tokens FROM documents")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.count_tokens(F.col("text")).alias("tokens"))
@@ -134,12 +141,17 @@ def bbox_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey AS id, floor(least(g1, g2) / 999 * 800)::INTEGER / 800 AS x FROM (SELECT p_partkey, greatest(0.0, least(999.0, p_size * 25.0)) AS g1, greatest(0.0, least(999.0, p_retailprice)) AS g2 FROM part)
-WHERE floor(greatest(g1, g2) / 999 * 800) > floor(least(g1, g2) / 999 * 800)"""
+    """SELECT p_partkey AS id, round(x1 / 800, 6) AS x, round(y1 / 600, 6) AS y, round((x2 - x1) / 800, 6) AS width, round((y2 - y1) / 600, 6) AS height FROM (
+  SELECT p_partkey, greatest(0, a1 - px) AS x1, least(800, a2 + px) AS x2, greatest(0, b1 - py) AS y1, least(600, b2 + py) AS y2 FROM (
+    SELECT *, greatest(1, floor((a2 - a1) * 0.1)) AS px, greatest(1, floor((b2 - b1) * 0.1)) AS py FROM (
+      SELECT p_partkey, floor(least(g1, g2) / 999 * 800) AS a1, floor(greatest(g1, g2) / 999 * 800) AS a2, floor(least(h1, h2) / 999 * 600) AS b1, floor(greatest(h1, h2) / 999 * 600) AS b2
+      FROM (SELECT p_partkey, greatest(0.0, least(999.0, p_size * 25.0)) AS g1, greatest(0.0, least(999.0, p_retailprice)) AS g2, greatest(0.0, least(999.0, p_size * 40.0 - 100)) AS h1, greatest(0.0, least(999.0, p_retailprice / 2)) AS h2 FROM part))
+    WHERE a2 > a1 AND b2 > b1))"""
 )
 def bbox_grid(spark: SparkSession, d: str) -> DataFrame:
-    box = boxes.from_grid(F.col("p_size") * 25.0, F.lit(0.0), F.col("p_retailprice"), F.lit(999.0), F.lit(800), F.lit(600))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), box["x"].alias("x")).where("x is not null")
+    box = boxes.from_grid(F.col("p_size") * 25.0, F.col("p_size") * 40.0 - 100, F.col("p_retailprice"), F.col("p_retailprice") / 2, F.lit(800), F.lit(600), padding=0.1)
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), box.alias("b")).where("b is not null")
+    return rows.select("id", *(F.round(f"b.{c}", 6).alias(c) for c in ("x", "y", "width", "height")))
 
 
 @query("SELECT conv_id, turn, trim(regexp_replace(text || '[cite:1]^[2][^3]', '\\[cite:\\d+\\]|\\^\\[\\d+\\]|\\[\\^\\d+\\]', '', 'g')) AS text, left(trim(text), 40) AS title FROM conversations")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import display, text as T
-from quillspark.operators import analytics, governance as G
+from quillspark.operators import analytics, conversations as V, governance as G, lifecycle
 from quillspark.plans import bindings as B
 from quillspark.plans.registry import query
 from quillspark.sources.files import table
@@ -186,15 +186,57 @@ def receipt_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return G.first_of_each(rows, "key", [F.asc("ts"), F.asc("part"), F.asc("supp")]).select("job_id", "step", "ts", "part")
 
 
+_EIGHT = f"""{B.JOB}, {B.RECEIPT}, t_documents AS (SELECT doc_id AS document_id, source AS kb FROM documents), t_chunks AS (SELECT doc_id AS document_id, source AS kb, unnest(string_split(text, chr(10))) AS line FROM documents),
+t_pages AS (SELECT DISTINCT doc_id AS document_id, unnest(range(len(string_split(text, chr(10))) // 10 + 1)) AS page_no FROM documents), t_assets AS (SELECT page_id % 700 AS document_id FROM pages),
+t_results AS (SELECT doc_id AS document_id FROM labels), t_citations AS (SELECT event_id % 900 AS document_id, 'src' || (event_id % 25) AS kb FROM events)"""
+
+
+def _eight(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Documents and the seven tables that hang on them."""
+    docs = table(spark, d, "documents")
+    own = [F.col("doc_id").alias("document_id"), F.col("source").alias("kb")]
+    lines = F.split("text", "\n")
+    return {
+        "documents": docs.select(*own), "jobs": B.jobs(spark, d), "receipts": B.receipts(spark, d), "chunks": docs.select(*own, F.explode(lines).alias("line")),
+        "pages": docs.select(own[0], F.explode(F.sequence(F.lit(0), F.floor(F.size(lines) / 10).cast("int"))).alias("page_no")).distinct(),
+        "assets": table(spark, d, "pages").select((F.col("page_id") % 700).alias("document_id")), "results": table(spark, d, "labels").select(own[0]),
+        "citations": table(spark, d, "events").select((F.col("event_id") % 900).alias("document_id"), F.concat(F.lit("src"), F.col("event_id") % 25).alias("kb")),
+    }
+
+
+def _counts_sql(gone: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) FILTER (NOT ({test})) AS kept, count(*) FILTER ({test}) AS deleted FROM {source}" for name, (source, test) in gone.items())
+
+
+def _gone_sql(documents: str, bases: str | None = None) -> dict[str, tuple[str, str]]:
+    of = f"coalesce(document_id IN ({documents}), false)"
+    base = f" OR coalesce(kb IN ({bases}), false)" if bases else ""
+    out = {name: (f"t_{name}", of) for name in ("documents", "pages", "assets", "results")}
+    out |= {name: (f"t_{name}", of + base) for name in ("chunks", "citations")}
+    return out | {"jobs": ("job", of), "receipts": ("receipt", f"job_id IN (SELECT job_id FROM job WHERE {of})")}
+
+
+@query(f"WITH {_EIGHT} {_counts_sql(_gone_sql('SELECT doc_id FROM documents WHERE doc_id % 3 = 0'))}")
+def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the documents deleted, with all that hangs on them: rows kept and deleted by table."""
+    tables = _eight(spark, d)
+    return lifecycle.deleted_counts(tables, lifecycle.cascade(tables, "documents", tables["documents"].where("document_id % 3 = 0")))
+
+
 @query(
-    f"""WITH {B.JOB}, {B.RECEIPT}, gone AS (SELECT doc_id AS document_id FROM documents WHERE doc_id % 3 = 0)
-SELECT 'documents' AS name, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'jobs', count(*) FROM job WHERE document_id NOT IN (SELECT document_id FROM gone)
-UNION ALL SELECT 'receipts', count(*) FROM receipt WHERE job_id NOT IN (SELECT job_id FROM job WHERE document_id IN (SELECT document_id FROM gone))"""
+    f"""WITH {_EIGHT}, {B.KB}, {B.PERM}, t_sessions AS (SELECT event_id AS session_id, 'src' || (event_id % 25) AS kb FROM events WHERE event_type = 'signup'), gone AS (SELECT kb FROM kb WHERE NOT is_active)
+{_counts_sql(_gone_sql("SELECT document_id FROM t_documents WHERE kb IN (SELECT kb FROM gone)", "SELECT kb FROM gone"))}
+UNION ALL SELECT 'permissions', count(*) FILTER (kb NOT IN (SELECT kb FROM gone)), count(*) FILTER (kb IN (SELECT kb FROM gone)) FROM perm UNION ALL SELECT 'bases', count(*) FILTER (is_active), count(*) FILTER (NOT is_active) FROM kb
+UNION ALL SELECT 'sessions', count(*), 0 FROM t_sessions UNION ALL SELECT 'attached sessions', count(*) FILTER (kb NOT IN (SELECT kb FROM gone)), count(*) FILTER (kb IN (SELECT kb FROM gone)) FROM t_sessions"""
 )
-def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
-    left = G.delete_documents(docs.where("document_id % 3 = 0"), {"documents": docs, "jobs": B.jobs(spark, d), "receipts": B.receipts(spark, d)})
-    return analytics.table_counts(left)
+def base_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """The inactive bases deleted: their documents and permissions go, sessions stay without a base."""
+    bases = B.kbs(spark, d)
+    sessions = table(spark, d, "events").where("event_type = 'signup'").select(F.col("event_id").alias("session_id"), F.concat(F.lit("src"), F.col("event_id") % 25).alias("kb"))
+    tables = _eight(spark, d) | {"permissions": B.permissions(spark, d), "bases": bases, "sessions": sessions}
+    left = lifecycle.cascade(tables, "bases", bases.where("NOT is_active"), lifecycle.BASE_KEYS)
+    attached = {"attached sessions": sessions.where("kb IS NOT NULL")}
+    return lifecycle.deleted_counts(tables | attached, left | {"attached sessions": left["sessions"].where("kb IS NOT NULL")})
 
 
 @query(f"WITH {B.JOB} SELECT job_id, CASE WHEN document_id % 4 = 0 AND status NOT IN ('succeeded','dead','failed','cancelled') THEN 'cancel_requested' ELSE status END AS status FROM job")
@@ -206,11 +248,8 @@ def deletion_requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 2, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, turn)::INTEGER AS n FROM conversations")
 def session_detail(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    role = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
-    order = Window.partitionBy("conv_id").orderBy(F.floor(F.col("turn") / 2), role, "turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.row_number().over(order).alias("n"))
+    rows = table(spark, d, "conversations").withColumn("half", F.floor(F.col("turn") / 2))
+    return V.detail(rows, "conv_id", "half", "turn").drop("half")
 
 
 @query("SELECT user_id AS session_id, coalesce(n, 0) AS messages FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = user_id")

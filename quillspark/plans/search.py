@@ -155,17 +155,29 @@ FROM f JOIN doc d USING (id) WHERE d.created_at >= TIMESTAMP '2023-12-31 17:00:0
 )
 def multi_kb_page(spark: SparkSession, d: str) -> DataFrame:
     """The search over bases between two days, latest first: the second page of five, with totals."""
-    hits = _by_kb(spark, d).drop("rank").join(B.docs(spark, d).where(G.live(F.col("status"))).select("id", "created_at"), "id")
+    seen = G.accessible(B.users(spark, d).where("user_id = 7"), B.kbs(spark, d), B.permissions(spark, d)).select("kb")
     iso = display.iso_offset(display.at_offset(F.col("created_at")))
-    shown = hits.where(G.within_dates(iso, "2024-01-01T01", "2024-01-03"))
-    return G.page_of_each(shown, ["query_id"], [F.desc("created_at"), F.asc("id")], 2, 5).select("query_id", "id", "kb", "score", "total", "place")
+    return R.search_bases(B.questions(spark, d), B.searchable(spark, d), seen, sort_by="date", number=2, size=5, depth=DEPTH, shown=G.within_dates(iso, "2024-01-01T01", "2024-01-03"))
+
+
+@query(
+    f"""{_BY_KB.replace("WHERE l.kb IN (SELECT kb FROM seen)", "WHERE l.kb IN (SELECT kb FROM seen) AND l.doc_kind = 'en'")}
+SELECT query_id, id, kb, score, total, place::INTEGER AS place FROM (SELECT f.*, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM f) WHERE place <= 20"""
+)
+def filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    """English documents alone, by relevance; an empty filter and one that is no text don't count."""
+    seen = G.accessible(B.users(spark, d).where("user_id = 7"), B.kbs(spark, d), B.permissions(spark, d)).select("kb")
+    return R.search_bases(B.questions(spark, d), B.searchable(spark, d), seen, filters={"doc_kind": "en", "kb": "", "id": 3}, depth=DEPTH)
 
 
 @query()
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Vectors with BM25 and sparse hits; a question without those is answered by occurrences."""
     asked, corpus = B.questions(spark, d), B.searchable(spark, d)
-    return R.fuse(R.dense_track(asked, corpus, 2 * K), R.hybrid_track(asked, corpus, R.postings(corpus), 2 * K), K)
+    dense, lexical = R.dense_track(asked, corpus, 2 * K), R.lexical_track(asked, corpus, 2 * K)
+    index = R.postings(corpus)
+    native = R.fuse(R.bm25_track(asked, index, 2 * K), R.sparse_track(asked, index, 2 * K), 2 * K)
+    return R.fuse(*R.laddered((dense, native), (dense, lexical), corpus), K)
 
 
 @query(

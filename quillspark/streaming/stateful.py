@@ -6,9 +6,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from quillspark.functions import constants as C
 from quillspark.operators.components import components
@@ -67,19 +68,49 @@ def login_blocks(events: DataFrame, limit: int = C.LOGIN_LIMIT, window: float =
     return rows.groupBy("realm").applyInPandasWithState(step, LOGIN_SCHEMA, "counters string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _episodes(rows: DataFrame, window: float) -> DataFrame:
+    """(key, slot, episode): which attempts of a key can act on each other.
+
+    A counter ends ``window`` after its first failure, so a pause of that length ends
+    whatever it held. Attempts are reduced to a row for each key and slot of ``window``
+    seconds before they are put in order, so a key that is a third of all rows is short."""
+    slots = rows.select(F.explode(F.array(_subject(), _address())).alias("key"), "slot", "at").groupBy("key", "slot").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    order = Window.partitionBy("key").orderBy("slot")
+    apart = F.coalesce(F.col("first") - F.lag("last").over(order) >= window, F.lit(True))
+    return slots.withColumn("new", apart.cast("int")).withColumn("episode", F.sum("new").over(order)).select("key", "slot", "episode")
+
+
+def _subject() -> Column:
+    return F.concat(F.lit("s"), F.col("subject"))
+
+
+def _address() -> Column:
+    return F.concat(F.lit("a"), F.col("address"))
+
+
+def login_groups(rows: DataFrame, window: float, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``component``: attempts that subjects and addresses connect while a counter can last."""
+    rows = rows.withColumn("slot", F.floor(F.col("at") / window))
+    known = scratch.save(_episodes(rows, window), "episodes")
+    node = lambda key: F.concat_ws("#", F.col("episode"), key)
+    of = lambda rows, key, name: rows.join(known.withColumnRenamed("key", "__key"), (F.col("__key") == key) & (rows["slot"] == known["slot"])).select(rows["*"], node(key).alias(name))
+    rows = scratch.save(of(of(rows, _subject(), "a"), _address(), "b"), "attempts")
+    found = components(rows.select("a", "b").distinct(), scratch)
+    return rows.join(found, F.col("a") == F.col("node")).drop("a", "b", "node", "slot")
+
+
 def login_blocks_batch(events: DataFrame, limit: int = C.LOGIN_LIMIT, window: float = C.LOGIN_WINDOW) -> DataFrame:
     """The same over a finished table (event_id, at, subject, address, success); it needs no realm.
 
-    Subjects and addresses that attempts connect are followed together, in order of time.
+    Subjects and addresses that attempts connect, without a pause in which all counters
+    end, are followed together in order of time.
     Spark shuffles and sorts them; a task reads its rows batch after batch and holds the
     counters that have not ended, so no history is held whole. Null subjects or addresses
     count as empty ones."""
     scratch = Scratch(events.sparkSession, "logins")
     subject, address = F.coalesce(F.lower(F.trim("subject")), F.lit("")), F.coalesce(F.col("address").cast("string"), F.lit(""))
     rows = events.select("event_id", F.col("at").cast("double").alias("at"), subject.alias("subject"), address.alias("address"), "success")
-    pairs = rows.select(F.concat(F.lit("s"), "subject").alias("a"), F.concat(F.lit("a"), "address").alias("b")).distinct()
-    known = components(pairs, scratch)
-    keyed = rows.join(known, F.concat(F.lit("s"), "subject") == F.col("node")).select("component", *rows.columns)
+    keyed = login_groups(rows, window, scratch)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, counters = None, {}
@@ -124,11 +155,6 @@ def request_rate(events: DataFrame, time: str = "ts", size: str = "5 minutes", s
     return counted.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "requests", F.round(F.col("requests") / seconds, 6).alias("per_second"))
 
 
-def idle(sessions: DataFrame, now: str, hours: int = 24) -> DataFrame:
-    """Sessions (session_id, updated_at) that have been idle longer than ``hours``."""
-    return sessions.where(F.col("updated_at") < F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS"))
-
-
 def answer_events(answers: DataFrame) -> DataFrame:
     """(query_id, seq, event, data) of each answer (query_id, references, deltas, error): status,
     references, status, the deltas, then done or error."""

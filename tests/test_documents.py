@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from quillspark.functions import boxes, display, text as T
-from quillspark.operators import documents as D
+from quillspark.functions import boxes, constants as C, display, text as T
+from quillspark.operators import analytics, documents as D
 
 
 def outline(spark, text):
@@ -189,3 +189,46 @@ def test_char_vectors(spark):
     rows = {r["id"]: r["vector"] for r in D.char_vectors(spark.createDataFrame([(1, "aAb"), (2, ""), (3, None)], "id long, text string")).collect()}
     assert len(rows[1]) == 256 and abs(rows[1][97] - 2 / 5**0.5) < 1e-12 and abs(rows[1][98] - 1 / 5**0.5) < 1e-12
     assert set(rows[2]) == set(rows[3]) == {0.0}
+
+
+def test_formulas_and_answers(spark):
+    cases = {
+        r"t $$\text{flow}^{2}$$ end": "t flow^2 end", r"$a_{1}$ and $b$": "a_1 and b", r"\(x \leq 3\)": "x ≤ 3", r"\[20^{\circ} C\]": "20°C",
+        r"5 $\sim$ 7": "5 至 7", "cost $5\nand $6": "cost $5\nand $6", r"$\alpha\cdot\beta$": "alpha·beta", "plain {x}": "plain {x}", r"$10\%$": "10%",
+        r"$$a$$$$b$$": "ab", r"\( {a} \) \[ {b} \]": "a b", "": "", "$ $": "", r"$x\times y$ $z\pm 1$": "x× y z± 1",
+    }
+    assert {t: one(spark, display.normal_math, t) for t in cases} == cases
+    refs = {"a\n## References:\nb": "a", "a\r\n**参考资料**\r\nb": "a", "引用依据：": "", "References are good\nb": "References are good\nb", "a\nb": "a\nb", "x\n  参考文档 \ny\nReferences": "x"}
+    assert {t: one(spark, display.without_references, t) for t in refs} == refs
+    assert one(spark, display.normal_answer, " Use $M^{2}$ bolts [cite:1]^[2].  \n\n\n\nDone[^3]\nReferences\n[1] x") == "Use M^2 bolts .\n\nDone"
+
+
+def test_pages_are_assembled(spark):
+    tag = lambda label, box: f"<|ref|>{label}<|/ref|><|det|>{box}<|/det|>"
+    end, image, bad = C.END_MARK, tag("image", "[[1, 2, 3, 4]]"), tag("image", "oops")
+    pages = [
+        ("d", 1, f"{tag('title', '[[1,1,2,2]]')}Second page \\\\coloneqq two{end}".replace("\\\\", "\\")),
+        ("d", 0, f"First\n{image}\nmiddle {image}{bad}{tag('image', '[[5,6,7,8]]')}tail{end}"),
+        ("d", 2, "too short"), ("d", 3, "this page broke off but has more than twenty characters"), ("e", 0, None), ("e", 1, "x"),
+    ]
+    rows = {r["id"]: (r["text"], r["page_count"]) for r in D.assemble_pages(spark.createDataFrame(pages, "id string, page_no int, content string")).collect()}
+    split = f"\n\n{C.PAGE_SPLIT}\n"
+    text, count = rows["d"]
+    parts = text.split(split)
+    assert count == 4 and len(parts) == 4 and parts[3] == "" and parts[1] == "Second page := two" and parts[2].startswith("this page broke off")
+    assert "<|" not in text and "0_0.jpg" in parts[0] and "0_2.jpg" in parts[0] and parts[0].endswith("tail") and rows["e"] == ("", 2)
+
+
+def test_keyword_sketches_stay_within_their_bound(spark):
+    import random
+
+    rng = random.Random(1)
+    docs = [(f"k{i % 3}", i % 4, " ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(200))) for i in range(60)]
+    rows = spark.createDataFrame(docs, "kb string, day int, text string")
+    exact = {r["term"]: r["n"] for r in analytics.hot_terms(rows, k=100_000).collect()}
+    sketches = analytics.term_sketches(rows, ["kb", "day"])
+    assert sketches.count() == 12
+    found = analytics.sketched_terms(sketches, 20).collect()
+    bound = sum(exact.values()) / (0.75 * 10_000)
+    assert len(found) == 20 and all(abs(r["n"] - exact[r["term"]]) <= bound for r in found)
+    assert {r["term"] for r in found[:5]} == set(sorted(exact, key=lambda t: (-exact[t], t))[:5])

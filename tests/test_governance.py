@@ -1,10 +1,12 @@
 import datetime
+import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import display
-from quillspark.operators import analytics, governance as G
+from quillspark.functions import display, text as T
+from quillspark.operators import analytics, governance as G, lifecycle
 from quillspark.sources import files
 
 
@@ -42,11 +44,24 @@ def test_live_documents(spark):
 def test_cascades(spark):
     make = lambda rows, schema: spark.createDataFrame(rows, schema)
     tables = {"documents": make([(1,), (2,)], "document_id int"), "jobs": make([(9, 1), (8, 2)], "job_id int, document_id int"), "receipts": make([(9,), (8,), (9,)], "job_id int")}
-    out = G.delete_documents(make([(1,), (1,)], "document_id int"), tables)
+    out = lifecycle.cascade(tables, "documents", make([(1,), (1,)], "document_id int"))
     assert {k: v.count() for k, v in out.items()} == {"documents": 1, "jobs": 1, "receipts": 1}
-    out = G.delete_bases(make([("a",)], "kb string"), {"sessions": make([(1, "a"), (2, "b"), (3, None)], "id int, kb string"), "chunks": make([("a",), ("b",)], "kb string")})
+    assert {r["name"]: (r["kept"], r["deleted"]) for r in lifecycle.deleted_counts(tables, out).collect()} == {"documents": (1, 1), "jobs": (1, 1), "receipts": (1, 2)}
+    tables |= {"documents": make([(1, "a"), (2, "b")], "document_id int, kb string"), "sessions": make([(1, "a"), (2, "b"), (3, None)], "id int, kb string"), "chunks": make([(1, "a"), (2, "b"), (1, "b"), (None, None)], "document_id int, kb string")}
+    out = lifecycle.cascade(tables, "bases", make([("a",)], "kb string"), lifecycle.BASE_KEYS)
     assert {r["id"]: r["kb"] for r in out["sessions"].collect()} == {1: None, 2: "b", 3: None}
-    assert out["chunks"].count() == 1
+    assert sorted((tuple(r) for r in out["chunks"].collect()), key=repr) == [(2, "b"), (None, None)]
+    assert [r[0] for r in out["receipts"].collect()] == [8] and out["documents"].count() == 1
+    with pytest.raises(ValueError):
+        lifecycle.order_of([lifecycle.Key("a", "x", "b"), lifecycle.Key("b", "x", "a")])
+
+
+def test_payload_hashes_of_any_shape(spark):
+    texts = ['{"b": [1, {"z": "é", "a": null}], "a": 1.50}', '{ "a":1.5,"b":[1,{"a":null,"z":"\\u00e9"}]}', "[]", "no json", None]
+    rows = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.canonical_json("t")).collect()]
+    assert rows == ['{"a": 1.5, "b": [1, {"a": null, "z": "é"}]}'] * 2 + ["[]", None, None]
+    own = spark.createDataFrame([(2, "x")], "part int, status string").select(G.receipt_key(F.lit("j"), F.lit("s"), F.struct("status", "part")).alias("a"), G.receipt_key(F.lit("j"), F.lit("s"), F.struct("part", "status")).alias("b")).first()
+    assert own["a"] == own["b"] == "j:s:" + hashlib.sha256(json.dumps({"part": 2, "status": "x"}, sort_keys=True).encode()).hexdigest()
 
 
 def test_deletion_requests(spark):

@@ -1,5 +1,6 @@
 import time
 
+from quillspark.scratch import Scratch
 from quillspark.streaming import stateful
 
 
@@ -67,6 +68,21 @@ def test_login_blocks_over_many_attempts_equal_one_pass(spark):
     assert sorted(tuple(r) for r in found) == attempts(rows)
 
 
+def test_a_shared_address_over_a_year_is_many_groups(spark, tmp_path):
+    """Pauses part what one address connects, and the answers stay those of one pass."""
+    import random
+
+    dice, rows, at = random.Random(5), [], 0.0
+    for i in range(3_000):
+        at += dice.choice([1.0, 30.0, 200.0, 899.0, 900.0, 901.0, 20_000.0]) if i % 3 == 0 else dice.random() * 60
+        rows.append(("r", i, at, f"u{dice.randrange(200)}", "shared" if i % 10 else f"a{i}", dice.random() < 0.15))
+    table = spark.createDataFrame(rows, LOGINS)
+    found = stateful.login_blocks_batch(table).collect()
+    assert sorted(tuple(r) for r in found) == attempts(rows)
+    groups = stateful.login_groups(table.drop("realm"), 900.0, Scratch(spark, "test")).groupBy("component").count().collect()
+    assert len(groups) > 300 and max(r["count"] for r in groups) < 300
+
+
 def test_login_query_equals_one_pass(spark):
     from quillspark.plans import registry
 
