@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +30,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 @dataclass(frozen=True)
 class WarcParams:
     """``least``: payload bytes from which equal payloads are revisits.
-    ``records``: records of one archive file at most, which bounds a reading task."""
+    ``records`` and ``megabytes``: what one archive file holds at most, before compression,
+    so that no archive outgrows a reading task; a single record may be larger.
+    ``written``: the time in the headers, in UTC; that of writing unless given."""
 
     least: int = 100
     records: int = 2_000
+    megabytes: int = 512
+    written: datetime | None = None
 
 
 def headers(pages: DataFrame) -> DataFrame:
@@ -64,7 +71,14 @@ def _id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
+def _date(written: datetime | None) -> Column:
+    """The time of writing as WARC has it."""
+    if written is not None:
+        return F.lit(written.strftime("%Y-%m-%dT%H:%M:%SZ"))
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def records(pages: DataFrame, revisits: DataFrame, written: datetime | None = None) -> DataFrame:
     """One text column ``value``, a whole record a row, with fresh headers.
 
     The payload is shuffled once, by (page_id, digest); a page of any digest goes
@@ -87,7 +101,7 @@ def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), _id(F.col("page_id"))),
-        F.lit("WARC-Date: 2024-01-01T00:00:00Z"),
+        F.concat(F.lit("WARC-Date: "), _date(written)),
         F.concat(F.lit("WARC-Target-URI: "), _clean(F.col("url"))),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _id(F.col("refers_to")))),
@@ -101,25 +115,25 @@ def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str, params: WarcParams = WarcParams()) -> None:
     """Write deduplicated archives of all rows of ``pages`` (page_id, url, html) to ``path``."""
     scratch = Scratch(pages.sparkSession, "warc")
-    revisits = scratch.save(resolve(headers(pages), scratch, params), "revisits")
-    out = records(pages, revisits).write.mode("overwrite").option("compression", "gzip")
-    out.option("lineSep", END).option("maxRecordsPerFile", params.records).text(path)
-    scratch.drop(revisits)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of one archive's bytes."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            at += 1  # line ends between records
-            continue
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        begin = stop + 4
-        at = begin + int(fields["content-length"])
-        yield fields, data[begin:at]
+    found = scratch.save(headers(pages), "headers")
+    revisits = scratch.save(resolve(found, scratch, params), "revisits")
+    largest = (found.agg(F.max("payload_bytes").alias("n")).first()["n"] or 0) + 4_096  # and its headers
+    most = max(1, min(params.records, params.megabytes * 1_000_000 // largest))
+    out = records(pages, revisits, params.written).write.mode("overwrite").option("compression", "gzip")
+    out.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+    scratch.close()
+
+
+def parse(archive: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record; one record is held at a time."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # line ends between records
+        fields: dict[str, str] = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        yield fields, archive.read(int(fields["content-length"]))
 
 
 _PAGE = re.compile(r"<urn:x-page:(-?\d+)>")
@@ -134,7 +148,7 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for data in batch["content"]:
             rows = []
-            for fields, block in parse(gzip.decompress(data)):
+            for fields, block in parse(gzip.GzipFile(fileobj=io.BytesIO(data))):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 kind = fields["warc-type"]
                 length = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])

@@ -2,7 +2,10 @@
 
 import gzip
 import hashlib
+import io
 import random
+import re
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
@@ -152,6 +155,17 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         assert all(0 <= r["copies"] <= 2 for r in own)
 
 
+def test_archives_are_bounded_and_dated(spark, tmp_path):
+    path = str(tmp_path / "large")
+    rows = [(i, f"http://a/{i}", chr(97 + i % 26) * 400_000 + str(i)) for i in range(12)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, warc.WarcParams(megabytes=1))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
+    sizes = [len(gzip.decompress(bytes(f["content"]))) for f in files]
+    assert max(sizes) <= 1_000_000 and len(sizes) >= 6 and warc.scan(spark, path).count() == 12
+    when = re.search(rb"WARC-Date: (\S+)\r\n", gzip.decompress(bytes(files[0]["content"])))[1].decode()
+    assert abs(datetime.strptime(when, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc) - datetime.now(timezone.utc)) < timedelta(minutes=10)
+
+
 def test_mix_of_rows_alike(spark):
     """Repeated rows are one row with a count in the rounding, and come back as many."""
     rows = [(7, "w " * 9, "a")] * 30_000 + [(i, "w " * (i % 50 + 1), "abc"[i % 3]) for i in range(100, 2_100)]
@@ -192,12 +206,13 @@ def test_archives_round_trip(spark):
 
 def test_every_file_is_a_warc(spark):
     path = f"{Scratch(spark, 'test').root}/warc"
-    warc.write(spark.createDataFrame(_pages(), "page_id long, url string, html string"), path)
+    warc.write(spark.createDataFrame(_pages(), "page_id long, url string, html string"), path, warc.WarcParams(written=datetime(2031, 5, 6, 7, 8, 9)))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
     seen = 0
     for f in files:
         data = gzip.decompress(bytes(f["content"]))
-        for fields, block in warc.parse(data):
+        for fields, block in warc.parse(io.BytesIO(data)):
+            assert fields["warc-date"] == "2031-05-06T07:08:09Z"
             seen += 1
             assert int(fields["content-length"]) == len(block) and fields["warc-record-id"].startswith("<urn:")
             assert (fields["warc-type"] == "revisit") == ("warc-refers-to" in fields)
