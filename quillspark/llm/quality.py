@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.shards import RANGE_SCHEMA, mean_of_ranges, packed_sample, range_rows
-from quillspark.llm.text import SPACES, U64, mix, pieces, words
+from quillspark.llm.text import SPACES, U64, mix, pieces, small_batches, words
 from quillspark.scratch import Scratch
 
 
@@ -144,4 +144,4 @@ def grade(docs: DataFrame, model: Ordinal, at_least: int = 1, text: str = "text"
         above = 1 - _sigmoid(model.thresholds[None, :] - np.concatenate(out)[:, None])
         return pd.DataFrame({"expected_grade": above.sum(axis=1), "tail_prob": above[:, at_least - 1]})
 
-    return docs.withColumn(into, graded(F.col(text)))
+    return small_batches(docs).withColumn(into, graded(F.col(text)))
