@@ -31,41 +31,49 @@ def fold(doc_id: str, parts: int) -> F.Column:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url by the rules, else by the method. Null and odd urls have an empty host and
-    path and are allowed; repeated rows are each judged, ties at the cut are allowed, no rows give none."""
+    path and are allowed; repeated rows are each judged, ties at the cut are allowed, no rows give none.
+    Very long urls are judged whole; columns other than those read are ignored."""
     judged = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors. Null, empty, zero and non-finite ones link with nothing;
-    equal vectors link with each other, rows that repeat a vec_id each count, a null vec_id stays alone."""
+    equal vectors link with each other, rows that repeat a vec_id each count, a null vec_id stays alone.
+    Vectors of any length are compared with those of their own length; columns other than those read are
+    ignored; an empty table gives no rows."""
     found = embedding_dedup.classes(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document. Null, empty and wordless texts have size 0 and take
-    nothing; repeated rows each count, ties in size go by hash; null sources are the last source."""
+    nothing; repeated rows each count, ties in size go by hash; null sources are the last source.
+    Very long texts count whole; columns other than those read are ignored; an empty table gives no rows."""
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of whole texts. Null and empty texts are their end alone; repeated rows
-    each count and score alike; without training rows (N = 0) the base spreads over unknown words."""
+    each count and score alike; without training rows (N = 0) the base spreads over unknown words.
+    Very long texts are scored whole; columns other than those read are ignored; an empty table gives no rows."""
     return hmm.language_model(read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out")))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal documents. Null, empty and wordless texts link with nothing; repeated
-    rows share their component; a row without a doc_id has none and a null kept."""
+    rows share their component; a row without a doc_id has none and a null kept.
+    Very long texts are compared whole; a similarity at the threshold links; columns other than those read are
+    ignored; an empty table gives no rows."""
     found = minhash_dedup.classes(read(spark, sf_dir, "documents"), minhash_dedup.DedupParams(words=4))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages, read back. A null html is an empty payload; of equal payloads the smallest
-    page_id is the response; rows that repeat it are responses too; no pages give no rows."""
+    page_id is the response; rows that repeat it are responses too; no pages give no rows.
+    Very long payloads are one record; columns other than those read are ignored."""
     path = f"{Scratch(spark, 'archives').root}/warc"
     warc.write(read(spark, sf_dir, "pages"), path)
     return warc.scan(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,7 +81,9 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document. Null texts and those without a letter are ``und`` with score 0; of
-    equal sizes the first language by name counts; repeated rows are judged alike."""
+    equal sizes the first language by name counts; repeated rows are judged alike.
+    Very long texts are judged whole, in segments; columns other than those read are ignored; an empty
+    table gives no rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
     dictionaries = language_id.fit(docs.where(~F.col("held_out")))
     found = language_id.identify(docs.select("doc_id", "held_out", "text"), dictionaries)
@@ -92,7 +102,8 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probability of every document. Null and empty texts have score 0, so the
-    thresholds decide; repeated rows are graded alike; a tail probability of 0.5 is kept."""
+    thresholds decide; repeated rows are graded alike; a tail probability of 0.5 is kept.
+    Very long texts are graded whole; columns other than those read are ignored; an empty table gives no rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 2).alias("held_out"))
     labels = read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 2)
     model = quality.fit(graded(docs, sampled(labels, "quality", 16_000)))
@@ -112,14 +123,18 @@ def sampled(labels: DataFrame, column: str, rows: int) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document, item) of all leaks. Null and empty texts leak nothing, nor do such items; rows that
     repeat a doc_id are each judged, full repeats of an item count once; an overlap at the
-    threshold counts."""
+    threshold counts.
+    Very long texts are asked whole, in windows; columns other than those read are ignored; an
+    empty table on either side gives no rows."""
     found = decontaminate.matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.where("leaked").drop("leaked")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document. Null, empty and wordless texts have the intercept's; a score of 0.7
-    is predicted toxic; repeated rows score alike; without labels all have one score."""
+    is predicted toxic; repeated rows score alike; without labels all have one score.
+    Very long texts are scored whole; columns other than those read are ignored; an empty table
+    gives no rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
     rows = toxicity.score(docs, toxicity_model(docs.where(~F.col("held_out")), read(spark, sf_dir, "labels")))
     return rows.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))

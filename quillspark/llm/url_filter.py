@@ -2,8 +2,8 @@
 
 Both models are variable-order Markov models of the characters of a URL: one of
 URLs that rules accept, one of those that rules reject.  The counts of all
-n-grams up to ``order`` characters are made by one grouping; a model keeps its
-``most_grams`` commonest ones.  A character's probability interpolates all
+n-grams up to ``order`` characters are made by one grouping; a model keeps those
+that were seen often enough.  A character's probability interpolates all
 orders that were seen in its context (Witten-Bell), so the order varies with the
 context.  A URL's score is the difference of its two log likelihoods divided by
 its length; the cut is calibrated on labelled URLs that neither model has seen.
