@@ -58,5 +58,7 @@ SPARSE_DIMENSIONS = 500_000
 FUSION_OFFSET = 60
 CHUNK_TOKENS, CHUNK_OVERLAP, PARAGRAPH_TOKENS = 512, 64, 256
 EMBED_BATCH = 25
+SCAN_CHUNKS = 5_000
+DEBUG_DEPTH, DEBUG_CHARACTERS = (1, 50), 1024
 LOGIN_LIMIT, LOGIN_WINDOW = 5, 900
 BUCKET_SIZE, BUCKET_REFILL = 10.0, 10.0

@@ -113,7 +113,7 @@ def sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
     return R.sparse_literal(R.postings(corpus), corpus)
 
 
-@query()
+@query("SELECT vec_id AS id, '[' || array_to_string(list_transform(list_filter(embedding, lambda x: isfinite(x)), lambda x: printf('%.8g', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
 def dense_literals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), T.dense_literal("embedding").alias("literal"))
 

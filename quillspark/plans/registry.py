@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillspark.plans import administration, corpus, relational, search, sessions  # noqa: F401  they register on import
+    from quillspark.plans import administration, corpus, records, recognition, relational, search, sessions  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:

@@ -95,11 +95,15 @@ def answerable(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{_CITED}, line AS (SELECT query_id, index, '[cite:' || index || '] 文档《' || document_id || '》 | 章节: ' || document_id || ' | 页: ' || (CASE WHEN page_start = 0 THEN '?' ELSE page_start::VARCHAR END) || chr(10) || snippet AS line FROM cited)
+    f"""{_CITED}, {B.KB}, line AS (SELECT query_id, index, '[cite:' || index || '] 文档《' || coalesce(kb.name, document_id) || '》 | 章节: ' || document_id || ' | 页: ' || (CASE WHEN page_start = 0 THEN '?' ELSE page_start::VARCHAR END) || chr(10) || snippet AS line
+FROM cited LEFT JOIN kb ON kb.kb = document_id AND kb.is_active)
 SELECT a.query_id, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY index), '(无检索结果)') AS context FROM ask a LEFT JOIN line USING (query_id) GROUP BY 1"""
 )
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
-    return R.contexts(_cited(spark, d).withColumn("document_title", F.lit("")), B.questions(spark, d))
+    """Active bases give the titles; a citation of another has its id in the title's place."""
+    titles = B.kbs(spark, d).where("is_active").select(F.col("kb").alias("document_id"), F.col("name").alias("document_title"))
+    cited = _cited(spark, d).join(titles, "document_id", "left").na.fill("", ["document_title"])
+    return R.contexts(cited, B.questions(spark, d))
 
 
 _GOLDEN = f"""{_CITED}, kw AS (SELECT query_id, list_distinct(regexp_extract_all(phrase, '[a-z0-9_]+')) AS k0, phrase FROM ask),
