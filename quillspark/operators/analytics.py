@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -97,9 +99,44 @@ def evaluation_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def evaluation_run(summary: DataFrame, run_key: str, golden_file: str) -> DataFrame:
-    """(run_key, golden_file, summary_json): one row to append to the table of runs."""
-    return summary.select(F.lit(run_key).alias("run_key"), F.lit(golden_file).alias("golden_file"), F.to_json(F.struct("*")).alias("summary_json"))
+def case_results(cases: DataFrame, cited: DataFrame, answered: DataFrame) -> DataFrame:
+    """One row for each golden case (id, question, reference_answer, expected_citations_keywords): keyword_hit_ratio and
+    citation_count over ``cited`` (query_id, index, snippet), has_hit from ``answered`` (query_id, has_hit).
+
+    A case without citations has none; one without keywords hits all."""
+    keywords = F.coalesce("expected_citations_keywords", F.array().cast("array<string>"))
+    rows = evaluation(cases.select(F.col("id").alias("query_id"), F.lit("").alias("answer"), keywords.alias("keywords")), cited)
+    rows = rows.join(answered.select("query_id", "has_hit"), "query_id", "left").withColumnRenamed("query_id", "id")
+    kept = cases.select("id", "question", F.coalesce("reference_answer", F.lit("")).alias("reference_answer"))
+    return kept.join(rows, "id").withColumn("has_hit", F.coalesce("has_hit", F.lit(False)))
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """One row over :func:`case_results`: cases, hit_coverage, avg_keyword_hit, avg_citation_count; 0 without cases."""
+    mean = lambda c, places: F.round(F.coalesce(F.avg(c), F.lit(0.0)), places)
+    return results.agg(
+        F.count("*").alias("cases"), mean(F.col("has_hit").cast("int"), 4).alias("hit_coverage"),
+        mean(F.col("keyword_hit_ratio"), 4).alias("avg_keyword_hit"), mean(F.col("citation_count"), 3).alias("avg_citation_count"),
+    )
+
+
+def keep_run(results: DataFrame, path: str, run_key: str, golden_file: str) -> str:
+    """Append a run of :func:`case_results` to the tables ``cases`` and ``runs`` under ``path``; returns its id.
+
+    The cases are written first and the summary is taken from what was written, so a run
+    that ``runs`` lists is whole, and one that broke off is not listed."""
+    spark, run = results.sparkSession, uuid.uuid4().hex
+    place = f"{path}/cases/run_id={run}"
+    results.write.mode("overwrite").parquet(place)
+    written = spark.read.schema(results.schema).parquet(place)
+    head = [F.lit(run).alias("run_id"), F.lit(run_key).alias("run_key"), F.lit(golden_file).alias("golden_file")]
+    run_summary(written).select(*head, "*", F.to_json(F.struct("*")).alias("summary_json")).coalesce(1).write.mode("append").parquet(f"{path}/runs")
+    return run
+
+
+def kept_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The runs that are whole, each with its summary as columns and as JSON."""
+    return spark.read.parquet(f"{path}/runs")
 
 
 def user_counts(users: DataFrame) -> DataFrame:

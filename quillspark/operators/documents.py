@@ -35,9 +35,9 @@ def outline(docs: DataFrame) -> DataFrame:
 
     Sections of ``docs`` (id, text) in order.  A heading starts one; lines before the
     first are a section without title, there even if empty.  A titled section without
-    content is dropped.  Page splits count pages and are no content; a section ends on
+    content is dropped, unless its title is that of the untitled one.  Page splits count pages and are no content; a section ends on
     the page where the next begins.  An empty document is one section without pages.
-    jump: the heading is more than one level below the one before it.
+    jump: the heading is more than one level below the one before it; the first never is.
     """
     by_line = Window.partitionBy("id").orderBy("pos")
     rows = numbered_lines(docs).withColumn("__text", T.strip(F.col("line"))).withColumn("split", F.col("__text") == C.PAGE_SPLIT)
@@ -57,11 +57,10 @@ def outline(docs: DataFrame) -> DataFrame:
     paths = titled.groupBy("id").agg(ordered.alias("h"))
     paths = paths.select("id", F.posexplode(_paths(F.transform("h", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"))))).alias("n", "section_path"))
     paths = paths.select("id", (F.col("n") + 1).alias("section"), "section_path")
-    # levels of the section before: the untitled one counts as level 1
     before = Window.partitionBy("id").orderBy("section")
     out = sections.join(paths, ["id", "section"], "left")
     level = F.coalesce("heading.level", F.lit(1))
-    out = out.withColumn("level", level).withColumn("jump", F.coalesce(F.col("level") > F.lag("level").over(before) + 1, F.lit(False)))
+    out = out.withColumn("level", level).withColumn("jump", (F.col("section") > 1) & F.coalesce(F.col("level") > F.lag("level").over(before) + 1, F.lit(False)))
     # a document may begin with a heading, or have no line: the untitled section is there all the same
     missing = docs.select("id").join(sections.where("section = 0").select("id"), "id", "left_anti")
     title = F.coalesce("heading.title", F.lit(C.UNTITLED))
@@ -72,7 +71,7 @@ def outline(docs: DataFrame) -> DataFrame:
         F.lit("").alias("content"), F.lit(1).alias("page_start"), F.lit(1).cast("long").alias("page_end"), F.lit(False).alias("jump"),
     )
     both = named.unionByName(lead).join(docs.select("id", (T.strip(F.coalesce("text", F.lit(""))) == "").alias("blank")), "id")
-    both = both.where(F.col("blank") & (F.col("section") == 0) | ~F.col("blank") & ((F.col("content") != "") | (F.col("section") == 0)))
+    both = both.where(F.col("blank") & (F.col("section") == 0) | ~F.col("blank") & ((F.col("content") != "") | (F.col("title") == C.UNTITLED)))
     page = lambda c: F.when(~F.col("blank"), F.col(c)).cast("int").alias(c)
     return both.select("id", F.col("section").cast("int"), "title", "level", "section_path", T.path_id(F.col("section_path")).alias("section_id"), "content", page("page_start"), page("page_end"), "jump")
 

@@ -127,6 +127,24 @@ def golden_summary(spark: SparkSession, d: str) -> DataFrame:
     return analytics.evaluation_summary(golden_eval(spark, d))
 
 
+_RUN = f"""WITH g AS ({_GOLDEN}), h AS ({_CITED} SELECT a.query_id, coalesce(max(c.score) >= 0.05, false) AS has_hit FROM ask a LEFT JOIN cited c USING (query_id) GROUP BY 1), r AS (SELECT * FROM g JOIN h USING (query_id))"""
+_RUN_ROW = "SELECT '{key}' AS run_key, 'benchmark' AS golden_file, count(*) AS cases, round(avg(CASE WHEN has_hit THEN 1 ELSE 0 END), 4) AS hit_coverage, round(avg(keyword_hit_ratio), 4) AS avg_keyword_hit, round(avg(citation_count), 3) AS avg_citation_count FROM r{where}"
+
+
+@query(f"{_RUN} {_RUN_ROW.format(key='all', where='')} UNION ALL {_RUN_ROW.format(key='even', where=' WHERE query_id % 2 = 0')}")
+def golden_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs that are kept, of all cases and of every other one; each evaluates its own cases."""
+    phrase = F.lower(T.clean(F.col("query")))
+    keywords = F.slice(F.array_sort(F.array_distinct(F.transform(T.terms(phrase), lambda t: t["term"]))), 1, 5)
+    asked, scratch = B.questions(spark, d), Scratch(spark, "runs")
+    cases = asked.select(F.col("query_id").alias("id"), F.col("query").alias("question"), F.lit(None).cast("string").alias("reference_answer"), keywords.alias("expected_citations_keywords"))
+    cited = scratch.save(_cited(spark, d).select("query_id", "index", "snippet", "score"), "cited")
+    answered = R.answerable(cited, asked, 0.05)
+    for key, some in (("all", cases), ("even", cases.where("id % 2 = 0"))):
+        analytics.keep_run(analytics.case_results(some, cited, answered), f"{scratch.root}/kept", key, "benchmark")
+    return analytics.kept_runs(spark, f"{scratch.root}/kept").drop("run_id", "summary_json")
+
+
 def _by_kb(spark: SparkSession, d: str) -> DataFrame:
     """Fused tracks within each base that user 7 may read, merged without rescaling."""
     seen = G.accessible(B.users(spark, d).where("user_id = 7"), B.kbs(spark, d), B.permissions(spark, d)).select("kb")

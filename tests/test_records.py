@@ -58,3 +58,28 @@ def test_headers(spark):
     one = spark.createDataFrame([(" http://h// ", "a b*~", 1), (" ", "j", 2), (None, "j", 3)], "b string, j string, d int")
     urls = [r["u"] for r in one.orderBy("d").select(records.callback_url(F.col("b"), F.col("j"), F.col("d")).alias("u")).collect()]
     assert urls == ["http://h/api/v2/ocr/callback?" + urlencode({"job_id": "a b*~", "document_id": 1}), None, None]
+
+
+def test_golden_file_and_kept_runs(spark, tmp_path):
+    import json
+
+    from quillspark.operators import analytics
+    from quillspark.sources import files
+
+    cases = [
+        {"id": "a", "question": "q", "reference_answer": "r", "expected_citations_keywords": ["Bolt", "nut", "图"], "knowledge_base_hint": "k"},
+        {"id": "b", "question": "q", "expected_citations_keywords": []}, {"id": "c", "question": "q"},
+    ]
+    (tmp_path / "golden.json").write_text(json.dumps(cases, indent=1, ensure_ascii=False))
+    golden = files.golden_cases(spark, f"{tmp_path}/golden.json")
+    cited = spark.createDataFrame([("a", 1, "a bolt"), ("a", 2, "图 3"), ("b", 1, "x")], "query_id string, index int, snippet string")
+    answered = spark.createDataFrame([("a", True), ("b", False)], "query_id string, has_hit boolean")
+    results = analytics.case_results(golden, cited, answered)
+    got = {r["id"]: (r["has_hit"], r["keyword_hit_ratio"], r["citation_count"], r["reference_answer"]) for r in results.collect()}
+    assert got == {"a": (True, 0.6667, 2, "r"), "b": (False, 1.0, 1, ""), "c": (False, 1.0, 0, "")}
+    first = analytics.keep_run(results, f"{tmp_path}/runs", "one", "golden.json")
+    second = analytics.keep_run(results.limit(0), f"{tmp_path}/runs", "none", "golden.json")
+    rows = {r["run_id"]: r for r in analytics.kept_runs(spark, f"{tmp_path}/runs").collect()}
+    assert set(rows) == {first, second} and json.loads(rows[first]["summary_json"]) == {"cases": 3, "hit_coverage": 0.3333, "avg_keyword_hit": 0.8889, "avg_citation_count": 1.0}
+    assert (rows[second]["cases"], rows[second]["hit_coverage"], rows[second]["avg_citation_count"]) == (0, 0.0, 0.0)
+    assert spark.read.parquet(f"{tmp_path}/runs/cases").where(F.col("run_id") == first).count() == 3
