@@ -153,3 +153,23 @@ def test_upsert_and_staging(spark):
     up = spark.createDataFrame([("x/Plan.v1.pdf", " ", "weird", b"%PDF-", datetime.datetime(2024, 3, 5))], "name string, title string, doc_kind string, content binary, uploaded_at timestamp")
     r = files.staged(up).first()
     assert (r["name"], r["title"], r["doc_kind"]) == ("Plan.v1.pdf", "Plan.v1", "other") and r["path"].startswith("2024/03/05/")
+
+
+def test_error_texts_are_made_after_the_joins(spark):
+    docs = spark.createDataFrame([(1, 5, "ready"), (2, 6, "ready")], "document_id long, uploader long, status string")
+    jobs = spark.createDataFrame([(10, 1, "failed", None), (11, 2, "running", "old")], "job_id long, document_id long, status string, last_error string")
+    errors = spark.createDataFrame([(10, "e")], "job_id long, error string")
+    marked, updated, audit = G.dead_letters(docs, jobs, errors, most=6, note=3, text=F.repeat("error", F.lit(9)))
+    assert sorted(map(tuple, marked.collect())) == [(1, 5, "failed"), (2, 6, "ready")]
+    assert sorted(map(tuple, updated.collect())) == [(10, 1, "dead", "eeeeee"), (11, 2, "running", "old")]
+    assert [(r["actor"], r["target_id"], r["details"]) for r in audit.collect()] == [(5, "1", '{"job_id":10,"error":"eee"}')]
+    plan = updated._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "repeat" not in plan[plan.index("SortMergeJoin") :]
+
+
+def test_batch_deletions_fold_no_strings(spark):
+    asked = spark.createDataFrame([(1, "k", "owner", 7), (1, "k", "owner", 7), (2, "k", "editor", 7), (3, "k", "admin", 8)], "request_id long, kb string, role string, document_id long")
+    there = spark.createDataFrame([(7, "k")], "document_id long, kb string")
+    rows = G.batch_deletions(asked, there)
+    assert sorted(map(tuple, rows.collect())) == [(1, 200, 1), (2, 403, 0), (3, 404, 0)]
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
