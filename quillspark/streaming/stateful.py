@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +20,14 @@ from quillspark.scratch import Scratch
 Counters = dict[str, tuple[int, float]]
 
 
-def _fold_logins(state: Counters, events: pd.DataFrame, limit: int, window: float) -> list[dict]:
-    """Attempts in order against the counters of subjects and addresses, which are changed.
+def _fold_logins(state: Counters, events: list, limit: int, window: float) -> list[dict]:
+    """Attempts (named tuples) in order against the counters of subjects and addresses, which are changed.
 
     A counter ends ``window`` after its first failure. An attempt whose subject or address
     has reached ``limit`` is refused and counts nothing; a success clears both; a failure
     counts for both, and the one that reaches the limit is itself answered as blocked."""
     out = []
-    for row in events.itertuples(index=False):
+    for row in events:
         keys = (f"subject:{row.subject}", f"address:{row.address}")
         live = {k: state[k] for k in keys if k in state and state[k][1] > row.at}
         blocked = max((n for n, _ in live.values()), default=0) >= limit
@@ -40,8 +41,8 @@ def _fold_logins(state: Counters, events: pd.DataFrame, limit: int, window: floa
             else:
                 live = {}
         out.append({"event_id": row.event_id, "failures": max((n for n, _ in live.values()), default=0), "blocked": blocked})
-    if len(events):
-        now = events["at"].iloc[-1]
+    if events:
+        now = events[-1].at
         for k in [k for k, (_, ends) in state.items() if ends <= now]:
             del state[k]
     return out
@@ -60,7 +61,7 @@ def login_blocks(events: DataFrame, limit: int = C.LOGIN_LIMIT, window: float =
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
         counters = {k: (n, ends) for k, n, ends in json.loads(state.get[0])} if state.exists else {}
-        out = _fold_logins(counters, events, limit, window)
+        out = _fold_logins(counters, list(events.itertuples(index=False)), limit, window)
         state.update((json.dumps([[k, n, ends] for k, (n, ends) in counters.items()]),))
         yield pd.DataFrame(out)
 
@@ -99,6 +100,20 @@ def login_groups(rows: DataFrame, window: float, scratch: Scratch) -> DataFrame:
     return rows.join(found, F.col("a") == F.col("node")).drop("a", "b", "node", "slot")
 
 
+def _followed(batches: Iterator[pd.DataFrame], limit: int, window: float) -> Iterator[pd.DataFrame]:
+    """Attempts sorted by ``component`` and time, each component with counters of its own; one frame a
+    batch, however many components, most of which are a few rows, it holds."""
+    last, counters = None, {}
+    for batch in batches:
+        out, components, rows = [], batch["component"].to_numpy(), list(batch.itertuples(index=False))
+        starts = [0, *(np.flatnonzero(components[1:] != components[:-1]) + 1).tolist(), len(rows)]
+        for begin, end in zip(starts, starts[1:]):
+            if begin < end and components[begin] != last:
+                last, counters = components[begin], {}
+            out += _fold_logins(counters, rows[begin:end], limit, window)
+        yield pd.DataFrame(out, columns=["event_id", "failures", "blocked"])
+
+
 def login_blocks_batch(events: DataFrame, limit: int = C.LOGIN_LIMIT, window: float = C.LOGIN_WINDOW) -> DataFrame:
     """The same over a finished table (event_id, at, subject, address, success); it needs no realm.
 
@@ -112,14 +127,7 @@ def login_blocks_batch(events: DataFrame, limit: int = C.LOGIN_LIMIT, window: fl
     rows = events.select("event_id", F.col("at").cast("double").alias("at"), subject.alias("subject"), address.alias("address"), "success")
     keyed = login_groups(rows, window, scratch)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, counters = None, {}
-        for batch in batches:
-            for component, part in batch.groupby("component", sort=False):
-                if component != last:
-                    last, counters = component, {}
-                yield pd.DataFrame(_fold_logins(counters, part, limit, window))
-
+    run = lambda batches: _followed(batches, limit, window)
     return keyed.repartition("component").sortWithinPartitions("component", "at", "event_id").mapInPandas(run, LOGIN_SCHEMA)
 
 

@@ -83,6 +83,17 @@ def test_a_shared_address_over_a_year_is_many_groups(spark, tmp_path):
     assert len(groups) > 300 and max(r["count"] for r in groups) < 300
 
 
+def test_many_small_groups_of_logins_are_one_frame_a_batch():
+    """Groups that end within a batch start anew, one that goes on into the next keeps its counters."""
+    import pandas as pd
+
+    rows = [(i, float(i), f"u{i // 7}", "x", False, f"c{i // 7}") for i in range(700)]
+    table = pd.DataFrame(rows, columns=["event_id", "at", "subject", "address", "success", "component"])
+    frames = list(stateful._followed(iter([table[:333], table[333:333], table[333:]]), 5, 900.0))
+    assert [len(f) for f in frames] == [333, 0, 367]
+    assert pd.concat(frames)["failures"].tolist() == [min(i % 7 + 1, 5) for i in range(700)]
+
+
 def test_login_query_equals_one_pass(spark):
     from quillspark.plans import registry
 
