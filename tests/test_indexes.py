@@ -124,3 +124,17 @@ def test_empty_indexes(spark, tmp_path):
     assert VI.search(spark.createDataFrame([(1, [1.0])], "query_id int, query_vector array<double>"), str(tmp_path / "v"), 3).count() == 0
     TI.add(_corpus(spark, []), str(tmp_path / "t"))
     assert TI.search(spark.createDataFrame([(1, "a")], "query_id int, query string"), str(tmp_path / "t"), 3).count() == 0
+
+
+def test_repeated_ids_have_one_length_and_blocks_are_cut_in_order(spark, tmp_path):
+    rows = [(i, "bolt " * (i % 3 + 1) + f"w{i}") for i in range(700)] + [(7, "nut nut"), (7, "bolt")]
+    path = f"{tmp_path}/index"
+    TI.add(spark.createDataFrame(rows, "id long, low string").repartition(4), path)
+    lengths = [(r["id"], r["length"]) for r in spark.read.parquet(f"{path}/documents").orderBy("id").collect()]
+    assert lengths == [(i, float(sum(len(low.split()) for j, low in rows if j == i))) for i in range(700)]
+    found = [r for r in TI.blocks(spark, path).where("term = 'bolt'").collect()]
+    assert sorted(i for r in found for i in r["ids"]) == list(range(700)) and len(found) < 16
+    for r in found:
+        assert r["n"] == len(r["ids"]) == len(r["weights"]) == len(r["lengths"]) <= TI.BLOCK and r["ids"] == sorted(r["ids"])
+        assert r["most_weight"] == max(r["weights"]) and r["least_length"] == min(r["lengths"])
+        assert all(w == sum(low.split().count("bolt") for j, low in rows if j == i) for i, w in zip(r["ids"], r["weights"]))
